@@ -1,5 +1,6 @@
 """Case-insensitive substring tests over several columns."""
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -13,8 +14,15 @@ def any_of(tests: list[Column]) -> Column:
 
 def contains_any(column: Column, words: list[str]) -> Column:
     """True where the lower-cased ``column`` holds one of the words; NULL stays NULL."""
-    lowered = F.lower(column)
-    return any_of([lowered.contains(word.lower()) for word in words])
+    lowered, wanted = F.lower(column), [word.lower() for word in words]
+    # A word that contains another one adds nothing.
+    needed = [w for w in wanted if not any(o != w and o in w for o in wanted)]
+    return any_of([lowered.contains(word) for word in needed])
+
+
+def _fragment(pattern: str) -> str:
+    """The longest piece of an ILIKE pattern between its wildcards."""
+    return max(re.split("[%_]", pattern.lower()), key=len)
 
 
 def ilike_any(columns: list[str], patterns: list[str]) -> Column:
@@ -22,12 +30,13 @@ def ilike_any(columns: list[str], patterns: list[str]) -> Column:
 
     A plain ``%word%`` is looked up once in the columns joined by newline, which no
     log field contains. A pattern with an inner wildcard could span fields there, so
-    it is tested against each column.
+    it is tested against each column, once its longest fragment is known to occur.
     """
     plain = [p for p in patterns if p[0] == p[-1] == "%" and not set(p[1:-1]) & {"%", "_"}]
-    joined = F.concat_ws("\n", *[F.col(c) for c in columns])
+    joined = F.lower(F.concat_ws("\n", *[F.col(c) for c in columns]))
     tests = [contains_any(joined, [p[1:-1] for p in plain])] if plain else []
     for pattern in patterns:
         if pattern not in plain:
-            tests += [F.coalesce(F.col(c).ilike(pattern), F.lit(False)) for c in columns]
+            each = any_of([F.coalesce(F.col(c).ilike(pattern), F.lit(False)) for c in columns])
+            tests.append(joined.contains(_fragment(pattern)) & each)
     return any_of(tests)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loghelm.operators.parse import FORMATS, UNKNOWN_FORMAT, matches, strip
+from loghelm.operators.parse import FORMATS, UNKNOWN_FORMAT, parse_flags, strip
 
 SAMPLE_LINES = 100
 COMBINED = {"apache_access", "nginx_access"}
@@ -28,11 +28,8 @@ def detect_formats(samples: DataFrame, file: str) -> DataFrame:
     The highest share wins and ties go to the earlier format, except that combined lines
     whose latency has a decimal point are nginx (seconds), not Apache (microseconds).
     """
-    line = strip(F.col("value"))
-    tested = samples.where(line != "").select(
-        file, line.alias("_line"), *[matches(line, f).alias(n) for n, f in FORMATS.items()]
-    )
-    shares = tested.groupBy(file).agg(
+    lines = samples.select(file, strip(F.col("value")).alias("_line")).where(F.col("_line") != "")
+    shares = parse_flags(lines, "_line").groupBy(file).agg(
         *[F.avg(F.col(n).cast("double")).alias(n) for n in FORMATS],
         F.count_if(F.col("_line").rlike(SECONDS_LATENCY)).alias("_in_seconds"),
     )

@@ -96,32 +96,52 @@ def native_row_rules() -> list[RowRule]:
     return [sqli_rule(), xss_rule(), command_injection_rule(), path_traversal_rule()]
 
 
-RULES_PER_MASK = 60
+CONDITIONS_PER_MASK = 60
 
 
-def match_rows(log: DataFrame, rules: list[RowRule], filters: Filters | None = None) -> DataFrame:
-    """One finding per row and rule that holds, from a single scan for all rules.
+def expand_hits(rows: DataFrame, conditions: list[Column], keep: list) -> DataFrame:
+    """``keep`` and ``_n``, the number of a condition, for every condition a row meets.
 
     All conditions are computed in one projection, where Spark evaluates what they share
     (such as a lower-cased URL) once, and packed into the bits of a few numbers. Only a
     row with a set bit is expanded.
     """
+    starts = range(0, len(conditions), CONDITIONS_PER_MASK)
+    masks = {f"_mask{start}": _mask(conditions[start:start + CONDITIONS_PER_MASK]) for start in starts}
+    numbers = [_set_bits(F.col(f"_mask{start}"), start) for start in starts]
+    kept = rows.select(*keep, *[column.alias(name) for name, column in masks.items()])
+    names = [c for c in kept.columns if c not in masks]
+    return kept.select(*names, F.explode(F.concat(*numbers) if numbers else _no_numbers()).alias("_n"))
+
+
+def _no_numbers() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _mask(conditions: list[Column]) -> Column:
+    none = F.lit(0).cast("bigint")
+    bits = none
+    for position, condition in enumerate(conditions):
+        bits = bits + F.when(condition, F.lit(1 << position).cast("bigint")).otherwise(none)
+    return bits
+
+
+def _set_bits(mask: Column, start: int) -> Column:
+    """Numbers of the conditions whose bit is set; empty, without further work, for 0."""
+    positions = F.sequence(F.lit(0), F.lit(CONDITIONS_PER_MASK - 1))
+    found = F.filter(positions, lambda i: F.getbit(mask, i) == 1)
+    return F.when(mask != 0, F.transform(found, lambda i: i + F.lit(start))).otherwise(_no_numbers())
+
+
+def match_rows(log: DataFrame, rules: list[RowRule], filters: Filters | None = None) -> DataFrame:
+    """One finding per row and rule that holds, from a single scan for all rules."""
     rows = apply_filters(log, filters)
     for rule in rules:
         if rule.staged:
             rows = rows.withColumns(rule.staged)
-    masks = {
-        f"_mask{start}": _mask(rules[start:start + RULES_PER_MASK])
-        for start in range(0, len(rules), RULES_PER_MASK)
-    }
-    none = F.array().cast("array<int>")
-    numbers = [_set_bits(F.col(name), start) for name, start in zip(masks, range(0, len(rules), RULES_PER_MASK))]
-    hits = rows.select(
-        F.col("upload_id").alias("dataset_id"), "timestamp", "ip", "url", "query_string",
-        *[column.alias(name) for name, column in masks.items()],
-    ).select(
-        "dataset_id", "timestamp", "ip", "url", "query_string",
-        F.explode(F.concat(*numbers) if numbers else none).alias("_n"),
+    hits = expand_hits(
+        rows, [rule.condition for rule in rules],
+        [F.col("upload_id").alias("dataset_id"), "timestamp", "ip", "url", "query_string"],
     )
     about = F.array(*[
         F.struct(
@@ -141,46 +161,29 @@ def match_rows(log: DataFrame, rules: list[RowRule], filters: Filters | None = N
     )
 
 
-def _mask(rules: list[RowRule]) -> Column:
-    bits = F.lit(0).cast("bigint")
-    for position, rule in enumerate(rules):
-        bits = bits + F.when(rule.condition, F.lit(1 << position).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return bits
-
-
-def _set_bits(mask: Column, start: int) -> Column:
-    """Rule numbers of the bits set in ``mask``; empty, without further work, for 0."""
-    positions = F.sequence(F.lit(0), F.lit(RULES_PER_MASK - 1))
-    found = F.filter(positions, lambda i: F.getbit(mask, i) == 1)
-    return F.when(mask != 0, F.transform(found, lambda i: i + F.lit(start))).otherwise(F.array().cast("array<int>"))
-
-
 def findings_of(df: DataFrame) -> DataFrame:
     return df.select(*FINDING_COLUMNS)
 
 
-def _candidates(log: DataFrame) -> DataFrame:
-    """Rows as candidates of the counting detectors: what they target, and the URL."""
-    none = F.lit(None).cast("string")
+COUNTING_DETECTORS = [BRUTE_FORCE, ENUMERATION, SCANNER]
 
-    def candidate(test: Column, detector: str, target: Column, url: Column) -> Column:
-        return F.when(
-            test, F.struct(F.lit(detector).alias("detector"), target.alias("target"), url.alias("path"))
-        )
 
-    url, agent = F.col("url"), F.col("user_agent")
-    return log.select(
-        "upload_id", "ip", "timestamp", "status_code",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    candidate(contains_any(url, LOGIN_WORDS), BRUTE_FORCE, url, none),
-                    candidate(contains_any(url, PROBE_PATHS), ENUMERATION, none, url),
-                    candidate(contains_any(agent, SCANNER_NAMES), SCANNER, agent, none),
-                )
-            )
-        ).alias("_c"),
-    ).select("upload_id", "ip", "timestamp", "status_code", "_c.*")
+def _candidates(log: DataFrame, detectors: list[str]) -> DataFrame:
+    """Rows as candidates of the counting detectors: what they target, and the URL."""
+    tests = {
+        BRUTE_FORCE: contains_any(F.col("url"), LOGIN_WORDS),
+        ENUMERATION: contains_any(F.col("url"), PROBE_PATHS),
+        SCANNER: contains_any(F.col("user_agent"), SCANNER_NAMES),
+    }
+    columns = ["upload_id", "ip", "timestamp", "status_code"]
+    names = F.array(*[F.lit(name) for name in detectors])
+    hits = expand_hits(log, [tests[name] for name in detectors], [*columns, "url", "user_agent"])
+    detector = F.col("detector")
+    return hits.withColumn("detector", F.get(names, F.col("_n"))).select(
+        *columns, "detector",
+        F.when(detector == BRUTE_FORCE, F.col("url")).when(detector == SCANNER, F.col("user_agent")).alias("target"),
+        F.when(detector == ENUMERATION, F.col("url")).alias("path"),
+    )
 
 
 def _text(column: str) -> Column:
@@ -191,9 +194,7 @@ def counted_findings(
     log: DataFrame, filters: Filters | None = None, only: str | None = None
 ) -> DataFrame:
     """Brute force, directory enumeration and scanner findings (or ``only`` one of them)."""
-    candidates = _candidates(apply_filters(log, filters))
-    if only:
-        candidates = candidates.where(F.col("detector") == only)
+    candidates = _candidates(apply_filters(log, filters), [only] if only else COUNTING_DETECTORS)
     group = ["detector", "upload_id", "ip", "target"]
     counts = (
         candidates.groupBy(*group, "path")

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from loghelm.functions.agents import bot_class
 from loghelm.functions.urls import percent_decode, target_path, target_query, url_template
 
+# The time comes first: a line that does not match is a single field, and no time.
 FIELDS = [
-    "ip", "time", "method", "target", "query", "protocol", "status",
-    "bytes", "referrer", "agent", "latency", "host", "request",
+    "time", "ip", "method", "target", "query", "protocol", "status",
+    "bytes", "referrer", "agent", "latency", "host",
 ]
 WHITESPACE = " \t\r\n\x0b\x0c"
 
@@ -37,22 +38,22 @@ class Layout:
 
 
 # Line layouts. A match may start after any whitespace in the line.
-LEAD = r"(?:.*?\s)?"
+LEAD = r"(?:.*?\s)??"
 CLIENT_AND_TIME = LEAD + r"(\S++)\s++\S++\s++\S++\s++\[([^\]]++)\]\s++"
 LAZY_REQUEST = r'"(\S+)\s+(.+?)\s+(HTTP/\d\.\d)"\s++'
 GREEDY_REQUEST = r'"(\S+)\s+(.+)\s+(HTTP/\d\.\d)"\s++'
-ANY_REQUEST = r'"([^"]++)"\s++'
+# Any quoted text: first word, and as protocol the last one if HTTP is in it.
+ANY_REQUEST = r'"(?=[^"])([^" ]*+)(?: ([^"]*?))??(?: ([^" ]*HTTP[^" ]*))?"\s++'
 STATUS_AND_BYTES = r"(\d{3})\s++(\S++)"
 REFERRER_AND_AGENT = r'\s++"([^"]*+)"\s++"([^"]*+)"'
 LATENCY = r"(?:\s++([0-9.]++))?"
 
 REQUEST_GROUPS = ("ip", "time", "method", "target", "protocol", "status", "bytes")
-MALFORMED_GROUPS = ("ip", "time", "request", "status", "bytes")
 CLIENT_GROUPS = ("referrer", "agent")
 
 COMBINED_MALFORMED = Layout(
     CLIENT_AND_TIME + ANY_REQUEST + STATUS_AND_BYTES + REFERRER_AND_AGENT,
-    MALFORMED_GROUPS + CLIENT_GROUPS,
+    REQUEST_GROUPS + CLIENT_GROUPS,
 )
 ERROR_NGINX = (
     r".*?(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})\s+\[\w+\]\s+\d+#\d+:\s+(?:\*\d+)?\s*"
@@ -79,7 +80,7 @@ class LogFormat:
     name: str
     layouts: tuple[Layout, ...]
     time: Callable[[Column], Column]
-    latency_to_ms: float | None = None
+    latency_per_ms: float | None = None  # latency units in a millisecond
     splits_target: bool = True
     decodes: bool = True
     error_log: bool = False
@@ -102,7 +103,7 @@ FORMATS = {
                 COMBINED_MALFORMED,
             ),
             _access_time,
-            latency_to_ms=0.001,
+            latency_per_ms=1000.0,
         ),
         LogFormat(
             "apache_error",
@@ -118,7 +119,7 @@ FORMATS = {
             "clf",
             (
                 Layout(CLIENT_AND_TIME + GREEDY_REQUEST + STATUS_AND_BYTES, REQUEST_GROUPS),
-                Layout(CLIENT_AND_TIME + ANY_REQUEST + STATUS_AND_BYTES, MALFORMED_GROUPS),
+                Layout(CLIENT_AND_TIME + ANY_REQUEST + STATUS_AND_BYTES, REQUEST_GROUPS),
             ),
             _access_time,
         ),
@@ -132,7 +133,7 @@ FORMATS = {
                 ),
             ),
             lambda text: F.try_to_timestamp(F.regexp_replace(text, r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss")),
-            latency_to_ms=1.0, splits_target=False, decodes=False, plus_is_space=True,
+            latency_per_ms=1.0, splits_target=False, decodes=False, plus_is_space=True,
             comment="#", has_bytes=False,
         ),
         LogFormat(
@@ -145,7 +146,7 @@ FORMATS = {
                 COMBINED_MALFORMED,
             ),
             _access_time,
-            latency_to_ms=1000.0,
+            latency_per_ms=0.001,
         ),
         LogFormat(
             "nginx_error",
@@ -166,121 +167,107 @@ def _not_dash(text: Column) -> Column:
     return F.when((text != "-") & (text != ""), text)
 
 
-def _joined(words: Column, start: Column | int, length: Column) -> Column:
-    return F.array_join(F.slice(words, start, length), " ")
+def strip(line: Column) -> Column:
+    return F.btrim(line, F.lit(WHITESPACE))
 
 
-def _request_parts(request: Column) -> tuple[Column, Column, Column]:
-    """Method, target and protocol of a request that is not ``METHOD target HTTP/x.y``."""
-    words = F.split(request, " ")
-    size = F.size(words)
-    last = F.element_at(words, -1)
-    has_protocol = (size > 1) & last.contains("HTTP")
-    target = (
-        F.when(has_protocol & (size == 2), "/")
-        .when(has_protocol, _joined(words, 2, size - 2))
-        .when(size > 1, _joined(words, 2, size - 1))
-        .otherwise("/")
-    )
-    return words[0], target, F.when(has_protocol, last).otherwise("UNKNOWN")
+def _fields_of(lines: DataFrame, fmt: LogFormat, line: str, hit: str) -> DataFrame:
+    """Adds ``hit``: the fields of ``line`` by the first layout that matches, joined."""
+    found = lines.withColumn(hit, fmt.layouts[0].fields(F.col(line)))
+    for layout in fmt.layouts[1:]:
+        matched = F.instr(hit, "\n") > 0
+        found = found.withColumn(hit, F.when(matched, F.col(hit)).otherwise(layout.fields(F.col(line))))
+    return found
 
 
-def strip(line: Column) -> Column:
-    return F.btrim(line, F.lit(WHITESPACE))
+def _field(parts: str, name: str) -> Column:
+    return F.get(parts, F.lit(FIELDS.index(name)))
 
 
-def matches(line: Column, fmt: LogFormat) -> Column:
-    """Whether a stripped line parses in the format, its time and byte count included."""
-    rewritten = fmt.layouts[0].fields(line)
-    for layout in fmt.layouts[1:]:
-        rewritten = F.when(F.instr(rewritten, "\n") > 0, rewritten).otherwise(layout.fields(line))
-    parts = F.split(rewritten, "\n")
-    valid = (F.size(parts) == len(FIELDS)) & fmt.time(F.get(parts, F.lit(FIELDS.index("time")))).isNotNull()
-    if fmt.comment:
-        valid = valid & ~line.startswith(fmt.comment)
+def _valid(fmt: LogFormat, parts: str, timestamp: Column) -> Column:
+    valid = (F.size(parts) == len(FIELDS)) & timestamp.isNotNull()
+    if not fmt.error_log:
+        valid = valid & _field(parts, "status").try_cast("int").isNotNull()
     if fmt.has_bytes:
-        size = F.get(parts, F.lit(FIELDS.index("bytes")))
+        size = _field(parts, "bytes")
         valid = valid & ((size == "-") | size.try_cast("bigint").isNotNull())
     return F.coalesce(valid, F.lit(False))
 
 
+def parse_flags(lines: DataFrame, line: str) -> DataFrame:
+    """Adds a boolean column per format: whether the stripped ``line`` parses in it."""
+    tested = lines
+    for name, fmt in FORMATS.items():
+        tested = _fields_of(tested, fmt, line, name)
+        tested = tested.withColumn(name, F.split(name, "\n"))
+        flag = _valid(fmt, name, fmt.time(_field(name, "time")))
+        if fmt.comment:
+            flag = flag & ~F.col(line).startswith(fmt.comment)
+        tested = tested.withColumn(name, flag)
+    return tested
+
+
 def parse_lines(lines: DataFrame, format_name: str, line: str = "value") -> DataFrame:
     """All columns of ``lines`` but blank and comment lines, plus the entry and ``parsed``.
 
-    ``parsed`` is false, and the entry columns are NULL, for a line outside the format.
+    ``parsed`` is false for a line outside the format, whose entry columns mean nothing.
     """
     fmt = FORMATS[format_name]
     kept = lines.columns
     text = lines.withColumn("_line", strip(F.col(line))).where(F.col("_line") != "")
     if fmt.comment:
         text = text.where(~F.col("_line").startswith(fmt.comment))
-    text = text.withColumn("_hit", fmt.layouts[0].fields(F.col("_line")))
-    for layout in fmt.layouts[1:]:
-        text = text.withColumn(
-            "_hit",
-            F.when(F.instr("_hit", "\n") > 0, F.col("_hit")).otherwise(layout.fields(F.col("_line"))),
-        )
+    text = _fields_of(text, fmt, "_line", "_f").select(*kept, F.split("_f", "\n").alias("_f"))
     # The generator keeps filters above it from being pushed below, where each would
-    # run the regular expression once more.
-    text = text.select(*kept, F.explode(F.array(F.split("_hit", "\n"))).alias("_f"))
-    text = text.withColumn("_ok", F.size("_f") == len(FIELDS))
+    # run the regular expression and the time parser once more.
+    row = F.struct(F.col("_f").alias("f"), fmt.time(_field("_f", "time")).alias("at"))
+    text = text.select(*kept, F.explode(F.array(row)).alias("_r"))
 
     def field(name: str) -> Column:
-        return F.when(F.col("_ok"), F.get("_f", F.lit(FIELDS.index(name))))
-
-    method, target, protocol = field("method"), field("target"), field("protocol")
-    if any("request" in layout.groups for layout in fmt.layouts):
-        odd = F.when(field("request") != "", field("request"))
-        odd_method, odd_target, odd_protocol = _request_parts(odd)
-        method = F.when(odd.isNotNull(), odd_method).otherwise(method)
-        target = F.when(odd.isNotNull(), odd_target).otherwise(target)
-        protocol = F.when(odd.isNotNull(), odd_protocol).otherwise(protocol)
+        return _field("_r.f", name)
 
     if fmt.error_log:
-        method = F.when(F.col("_ok"), F.coalesce(_given(method), F.lit("-")))
-        target = F.when(F.col("_ok"), F.coalesce(_given(target), F.lit("-")))
-        status, size = F.lit(500), F.lit(0).cast("bigint")
+        no_request, status, size = "-", F.lit(500), F.lit(0).cast("bigint")
     else:
-        status = field("status").try_cast("int")
-        size = F.lit(0).cast("bigint")
+        no_request, status, size = "/", field("status").try_cast("int"), F.lit(0).cast("bigint")
         if fmt.has_bytes:
             size = F.when(field("bytes") == "-", 0).otherwise(field("bytes").try_cast("bigint"))
-
+    protocol = _given(field("protocol"))
+    if len(fmt.layouts) > 1:
+        protocol = F.coalesce(protocol, F.lit("UNKNOWN"))
+    agent = _not_dash(field("agent"))
+    if fmt.plus_is_space:
+        agent = F.translate(agent, "+", " ")
+    latency = F.lit(None).cast("double")
+    if fmt.latency_per_ms:
+        latency = field("latency").try_cast("double") / fmt.latency_per_ms
     staged = text.select(
-        *kept, "_ok",
-        fmt.time(field("time")).alias("timestamp"),
-        F.when(F.col("_ok"), F.coalesce(_given(field("ip")), F.lit("-"))).alias("ip"),
-        method.alias("method"),
-        target.alias("_target"),
+        *kept,
+        F.col("_r.at").alias("timestamp"),
+        F.coalesce(_given(field("ip")), F.lit("-")).alias("ip"),
+        F.coalesce(_given(field("method")), F.lit("-")).alias("method"),
+        F.coalesce(_given(field("target")), F.lit(no_request)).alias("_target"),
         field("query").alias("_query"),
-        _given(protocol).alias("protocol"),
         status.cast("int").alias("status_code"),
         size.alias("bytes_sent"),
-        field("latency").try_cast("double").alias("_latency"),
+        latency.alias("response_time_ms"),
         _not_dash(field("referrer")).alias("referrer"),
-        _not_dash(field("agent")).alias("user_agent"),
+        agent.alias("user_agent"),
         _given(field("host")).alias("host"),
+        protocol.alias("protocol"),
+        _valid(fmt, "_r.f", F.col("_r.at")).alias("parsed"),
     )
     if fmt.splits_target:
         url, query = target_path(F.col("_target")), target_query(F.col("_target"))
     else:
         url, query = F.col("_target"), _not_dash(F.col("_query"))
+    staged = staged.withColumn("url", url).withColumn("query_string", query)
     if fmt.decodes:
-        url, query = percent_decode(url), percent_decode(query)
-    agent = F.col("user_agent")
-    if fmt.plus_is_space:
-        agent = F.translate(agent, "+", " ")
-    latency = F.lit(None).cast("double")
-    if fmt.latency_to_ms == 0.001:
-        latency = F.col("_latency") / 1000.0
-    elif fmt.latency_to_ms:
-        latency = F.col("_latency") * fmt.latency_to_ms
-    good = F.col("_ok") & F.col("timestamp").isNotNull() & F.col("status_code").isNotNull() & F.col("bytes_sent").isNotNull()
+        staged = staged.withColumn("url", percent_decode(F.col("url")))
+        staged = staged.withColumn("query_string", percent_decode(F.col("query_string")))
     return staged.select(
-        *kept, "timestamp", "ip", "method", url.alias("url"), query.alias("query_string"),
-        "status_code", "bytes_sent", latency.alias("response_time_ms"), "referrer",
-        agent.alias("user_agent"), "host", "protocol",
-        F.coalesce(good, F.lit(False)).alias("parsed"),
+        *kept, "timestamp", "ip", "method", "url", "query_string", "status_code", "bytes_sent",
+        "response_time_ms", "referrer", "user_agent", "host", "protocol", "parsed",
     )
 
 

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loghelm.functions.urls import percent_decode
 from loghelm.operators.detect_format import detect_formats, sample_lines
 from loghelm.operators.parse import entries, parse
 from loghelm.schema import DATASET_SCHEMA, LOG_SCHEMA, conform
-from loghelm.sources.lines import checksums, file_heads, read_lines
+from loghelm.sources.lines import checksums, file_heads, plain_path, read_lines
 
 FILES_PER_BATCH = 10_000  # bounds the file list that one job carries
 REGISTRY_SCHEMA = T.StructType(DATASET_SCHEMA.fields + [T.StructField("deleted", T.BooleanType())])
@@ -143,7 +144,8 @@ class LogStore:
         )
         parsed = None
         for name in sorted({row.format for row in batch}):
-            lines = read_lines(self.spark, [row.path for row in batch if row.format == name])
+            paths = [plain_path(row.path) for row in batch if row.format == name]
+            lines = read_lines(self.spark, paths)
             rows = entries(parse(lines, name, as_of))
             parsed = rows if parsed is None else parsed.unionByName(rows)
         ids = F.broadcast(known.select("path", "upload_id"))
@@ -152,9 +154,10 @@ class LogStore:
         totals = stored.groupBy("upload_id").agg(F.count(F.lit(1)).alias("total_entries"))
         registry = known.join(totals, "upload_id", "left").select(
             F.col("upload_id").alias("id"),
-            F.element_at(F.split("path", "/"), -1).alias("filename"),
+            percent_decode(F.element_at(F.split("path", "/"), -1)).alias("filename"),
             "format", F.coalesce("total_entries", F.lit(0).cast("bigint")).alias("total_entries"),
-            F.col("format").alias("parser_used"), "confidence", F.col("path").alias("original_path"),
+            F.col("format").alias("parser_used"), "confidence",
+            percent_decode(F.col("path")).alias("original_path"),
             F.col("length").alias("file_size"), "checksum",
             F.col("modificationTime").alias("last_modified"),
         )

@@ -1,5 +1,7 @@
 """Reading raw log files as lines."""
 
+from urllib.parse import unquote
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,6 +9,11 @@ from pyspark.sql import functions as F
 HEAD_BYTES = 8192  # fixed value: how much of a file format detection looks at
 
 
+def plain_path(uri: str) -> str:
+    """What ``spark.read`` takes for a value of a ``path`` column, which is URI-encoded."""
+    return unquote(uri)
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """``value, path`` for plain, ``.gz`` and ``.bz2`` files. A missing path raises."""
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
@@ -19,7 +26,10 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, length, modificationTime`` of every file below a folder; reads no content."""
+    """``path, length, modificationTime`` of every file below a folder; reads no content.
+
+    Spark lists no empty files.
+    """
     return _files(spark, folder).select("path", "length", "modificationTime")
 
 
@@ -34,7 +44,7 @@ def checksums(spark: SparkSession, folder: str, largest: int = 1 << 30) -> DataF
         "path", "length", "modificationTime", F.sha2("content", 256).alias("checksum")
     )
     long = list_files(spark, folder).where(F.col("length") > largest)
-    long_paths = [row.path for row in long.select("path").toLocalIterator()]
+    long_paths = [plain_path(row.path) for row in long.select("path").toLocalIterator()]
     if not long_paths:
         return small
     digest = read_lines(spark, long_paths).groupBy("path").agg(

@@ -153,3 +153,10 @@ def run_to_files(
     return query
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark dropped, over the batches still in the query's history."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
