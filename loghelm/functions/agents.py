@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loghelm.functions.text import contains_any
+from loghelm.functions.text import contains_sql
 
 # Words per bot class, classes in order of precedence.
 BOT_WORDS = {
@@ -14,12 +14,10 @@ BOT_WORDS = {
 }
 
 
-def bot_class(agent: Column) -> Column:
-    """Class of the first word list that has a hit, ``unknown`` otherwise."""
-    result = F.when(agent.isNull() | agent.isin("", "-"), "unknown")
-    for name, words in BOT_WORDS.items():
-        result = result.when(contains_any(agent, words), name)
-    return result.otherwise("unknown")
+def bot_class(agent: str) -> Column:
+    """Class of the first word list that has a hit in the column, ``unknown`` otherwise."""
+    cases = " ".join(f"WHEN {contains_sql(agent, words)} THEN '{name}'" for name, words in BOT_WORDS.items())
+    return F.expr(f"CASE WHEN {agent} IS NULL OR {agent} IN ('', '-') THEN 'unknown' {cases} ELSE 'unknown' END")
 
 
 def browser_family(agent: Column) -> Column:

@@ -5,23 +5,27 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IPV4_TEXT = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
+from loghelm.functions.text import quoted
 
+IPV4_TEXT = r"^\d{1,3}(\.\d{1,3}){3}$"
 
-def ipv4_number(address: Column) -> Column:
-    """Dotted address as a number; NULL for anything that is not IPv4 text."""
-    parts = F.split(address, r"\.")
-    octets = [F.try_element_at(parts, F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
-    total = F.lit(0).cast("bigint")
-    for octet in octets:
-        total = total * 256 + octet
-    return F.when(address.rlike(IPV4_TEXT), total)
 
+def network_sql(address: str, cidr: str) -> str:
+    """SQL: membership of the column in an IPv4 network; NULL for anything but IPv4 text.
 
-def in_network(address: Column, cidr: str) -> Column:
-    """Membership in an IPv4 network. An IPv6 network compares the text before ``::``."""
+    An IPv6 network compares the text before ``::``.
+    """
     network = ipaddress.ip_network(cidr, strict=False)
-    if network.version == 4:
-        first, last = int(network.network_address), int(network.broadcast_address)
-        return ipv4_number(address).between(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))
-    return F.lower(address).startswith(str(network.network_address).split("::")[0].lower() + ":")
+    if network.version == 6:
+        start = str(network.network_address).split("::")[0].lower() + ":"
+        return f"startswith(lower({address}), {quoted(start)})"
+    number = " + ".join(
+        f"CAST(split_part({address}, '.', {i}) AS BIGINT) * {256 ** (4 - i)}L" for i in (1, 2, 3, 4)
+    )
+    first, last = int(network.network_address), int(network.broadcast_address)
+    is_ipv4 = f"rlike({address}, {quoted(IPV4_TEXT)})"
+    return f"(CASE WHEN {is_ipv4} THEN {number} END BETWEEN {first}L AND {last}L)"
+
+
+def in_network(address: str, cidr: str) -> Column:
+    return F.expr(network_sql(address, cidr))

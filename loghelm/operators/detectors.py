@@ -5,12 +5,12 @@ detectors share a second scan: rows become candidates of a detector and its targ
 counted per distinct URL (which combines on the map side) and then per target.
 """
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.functions.text import contains_any, ilike_any
+from loghelm.functions.text import contains_sql, ilike_sql
 from loghelm.operators.filters import Filters, apply_filters
 from loghelm.schema import FINDING_COLUMNS
 
@@ -41,7 +41,7 @@ NATIVE = "Native Detection"
 
 @dataclass(frozen=True)
 class RowRule:
-    """A condition on one log row. ``staged`` are helper columns the condition names.
+    """A condition on one log row, as a SQL expression over the log columns.
 
     With a ``prefix`` the evidence is one text, without it URL and query are separate.
     """
@@ -50,9 +50,8 @@ class RowRule:
     title: str
     severity: str
     provider: str
-    condition: Column
+    condition: str
     prefix: str | None = None
-    staged: dict[str, Column] = field(default_factory=dict)
     source: str | None = None
     status: str | None = None
 
@@ -67,7 +66,7 @@ def _evidence(prefix: str | None) -> Column:
 
 
 def _row_detector(rule_id: str, title: str, severity: str, patterns: list[str], prefix: str = "") -> RowRule:
-    return RowRule(rule_id, title, severity, NATIVE, ilike_any(REQUEST_FIELDS, patterns), prefix)
+    return RowRule(rule_id, title, severity, NATIVE, ilike_sql(REQUEST_FIELDS, patterns), prefix)
 
 
 def sqli_rule() -> RowRule:
@@ -99,7 +98,7 @@ def native_row_rules() -> list[RowRule]:
 CONDITIONS_PER_MASK = 60
 
 
-def expand_hits(rows: DataFrame, conditions: list[Column], keep: list) -> DataFrame:
+def expand_hits(rows: DataFrame, conditions: list[str], keep: list) -> DataFrame:
     """``keep`` and ``_n``, the number of a condition, for every condition a row meets.
 
     All conditions are computed in one projection, where Spark evaluates what they share
@@ -118,12 +117,9 @@ def _no_numbers() -> Column:
     return F.array().cast("array<int>")
 
 
-def _mask(conditions: list[Column]) -> Column:
-    none = F.lit(0).cast("bigint")
-    bits = none
-    for position, condition in enumerate(conditions):
-        bits = bits + F.when(condition, F.lit(1 << position).cast("bigint")).otherwise(none)
-    return bits
+def _mask(conditions: list[str]) -> Column:
+    bits = [f"CASE WHEN {c} THEN {1 << position}L ELSE 0L END" for position, c in enumerate(conditions)]
+    return F.expr(" + ".join(bits))
 
 
 def _set_bits(mask: Column, start: int) -> Column:
@@ -136,9 +132,6 @@ def _set_bits(mask: Column, start: int) -> Column:
 def match_rows(log: DataFrame, rules: list[RowRule], filters: Filters | None = None) -> DataFrame:
     """One finding per row and rule that holds, from a single scan for all rules."""
     rows = apply_filters(log, filters)
-    for rule in rules:
-        if rule.staged:
-            rows = rows.withColumns(rule.staged)
     hits = expand_hits(
         rows, [rule.condition for rule in rules],
         [F.col("upload_id").alias("dataset_id"), "timestamp", "ip", "url", "query_string"],
@@ -148,7 +141,7 @@ def match_rows(log: DataFrame, rules: list[RowRule], filters: Filters | None = N
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("rule_title"),
             F.lit(r.severity).alias("severity"), F.array(F.lit(r.provider)).alias("providers"),
         )
-        for r in rules or [RowRule("", "", "", "", F.lit(False))]
+        for r in rules or [RowRule("", "", "", "", "false")]
     ])
     evidence = _evidence(None)
     for prefix in {r.prefix for r in rules if r.prefix is not None}:
@@ -171,9 +164,9 @@ COUNTING_DETECTORS = [BRUTE_FORCE, ENUMERATION, SCANNER]
 def _candidates(log: DataFrame, detectors: list[str]) -> DataFrame:
     """Rows as candidates of the counting detectors: what they target, and the URL."""
     tests = {
-        BRUTE_FORCE: contains_any(F.col("url"), LOGIN_WORDS),
-        ENUMERATION: contains_any(F.col("url"), PROBE_PATHS),
-        SCANNER: contains_any(F.col("user_agent"), SCANNER_NAMES),
+        BRUTE_FORCE: contains_sql("url", LOGIN_WORDS),
+        ENUMERATION: contains_sql("url", PROBE_PATHS),
+        SCANNER: contains_sql("user_agent", SCANNER_NAMES),
     }
     columns = ["upload_id", "ip", "timestamp", "status_code"]
     names = F.array(*[F.lit(name) for name in detectors])

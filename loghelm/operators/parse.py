@@ -399,7 +399,7 @@ def entries(parsed: DataFrame) -> DataFrame:
         parsed.where("parsed")
         .drop("parsed")
         .withColumn("normalized_url", url_template(F.col("url")))
-        .withColumn("bot_classification", bot_class(F.col("user_agent")))
+        .withColumn("bot_classification", bot_class("user_agent"))
         .withColumn("url", percent_decode(F.col("url")))
         .withColumn("query_string", percent_decode(F.col("query_string")))
     )

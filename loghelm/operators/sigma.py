@@ -1,7 +1,7 @@
 """Sigma rules as Spark conditions, evaluated together in one scan of the log.
 
-A rule is a mapping, as read from YAML. Each named selection becomes a boolean column,
-and the rule's condition becomes a Spark SQL expression over those columns, so operator
+A rule is a mapping, as read from YAML. Each named selection becomes a SQL test over the
+log columns, and the rule's condition a SQL expression over those tests, so operator
 precedence and parentheses are Spark's own. An absent (NULL) field never matches.
 """
 
@@ -10,11 +10,12 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.functions.net import in_network
-from loghelm.functions.text import any_of
+from loghelm.functions.net import network_sql
+from loghelm.functions.text import quoted
 from loghelm.operators.detectors import RowRule, match_rows
 from loghelm.operators.filters import Filters
 
@@ -34,6 +35,8 @@ FIELD_NAMES = {
 }
 COLUMN_OF = {alias: column for column, aliases in FIELD_NAMES.items() for alias in aliases}
 EXTENSION_FIELDS = {"c-uri-extension", "cs-uri-extension"}
+EXTENSION_PATTERN = r"\.([^./]+)$"
+NUMBER_COLUMNS = {"upload_id", "status_code", "bytes_sent"}
 KEYWORD_COLUMNS = ["url", "query_string", "referrer", "user_agent"]
 LOG_COLUMNS = {
     "upload_id", "ip", "method", "url", "query_string", "status_code", "bytes_sent", "referrer",
@@ -52,10 +55,6 @@ class RulePack:
     ignored: list[str] = field(default_factory=list)
 
 
-def _never_null(test: Column) -> Column:
-    return F.coalesce(test, F.lit(False))
-
-
 def _wildcards(value: str) -> tuple[str, str | None]:
     """The value as plain text, and as a pattern if it has an unescaped ``*`` or ``?``."""
     pieces = re.findall(r"\\[*?]|.", value, flags=re.S)
@@ -65,83 +64,85 @@ def _wildcards(value: str) -> tuple[str, str | None]:
     return plain, "".join({"*": ".*", "?": "."}.get(p, re.escape(p[-1])) for p in pieces)
 
 
-def _value_test(column: Column, modifier: str, value) -> Column:
+# How a text value is compared: plainly, and as a pattern when it has wildcards.
+TEXT_TESTS = {
+    "": ("lower({0}) = {1}", "^{}$"),
+    "contains": ("contains(lower({0}), {1})", "{}"),
+    "startswith": ("startswith(lower({0}), {1})", "^{}"),
+    "endswith": ("endswith(lower({0}), {1})", "{}$"),
+}
+
+
+def _value_test(column: str, modifier: str, value) -> str:
     """One value of one field. Text compares without case; ``*`` and ``?`` are wildcards."""
     if value is None:
-        return column.isNull()
+        return f"{column} IS NULL"
     text = str(value)
     if modifier == "re":
-        return _never_null(column.rlike(text))
-    if modifier == "cidr":
-        return _never_null(in_network(column, text))
-    plain, pattern = _wildcards(text)
-    low = F.lower(column.cast("string"))
-    plain_tests = {
-        "": (low == plain.lower(), "^{}$"),
-        "contains": (low.contains(plain.lower()), "{}"),
-        "startswith": (low.startswith(plain.lower()), "^{}"),
-        "endswith": (low.endswith(plain.lower()), "{}$"),
-    }
-    if modifier not in plain_tests:
+        re.compile(text)
+        test = f"rlike({column}, {quoted(text)})"
+    elif modifier == "cidr":
+        test = network_sql(column, text)
+    elif modifier in TEXT_TESTS:
+        comparison, frame = TEXT_TESTS[modifier]
+        plain, pattern = _wildcards(text)
+        test = comparison.format(column, quoted(plain.lower()))
+        if pattern:
+            test = f"rlike({column}, {quoted('(?is)' + frame.replace('{}', pattern))})"
+    else:
         raise RuleError(f"unsupported modifier {modifier!r}")
-    test, frame = plain_tests[modifier]
-    if pattern:
-        test = column.cast("string").rlike("(?is)" + frame.replace("{}", pattern))
-    return _never_null(test)
+    return f"coalesce({test}, false)"
 
 
-def field_test(spec: str, values) -> Column:
+def _joined(tests: list[str], word: str) -> str:
+    if not tests:
+        raise RuleError("empty selection")
+    return "(" + f" {word} ".join(tests) + ")"
+
+
+def field_test(spec: str, values) -> str:
     """``field|modifier: value(s)``: any value may match, with ``|all`` every one must."""
     name, *modifiers = spec.split("|")
-    column_name = COLUMN_OF.get(name, name)
-    if column_name not in LOG_COLUMNS:
+    column = COLUMN_OF.get(name, name)
+    if column not in LOG_COLUMNS:
         raise RuleError(f"unknown field {name!r}")
-    column = F.col(column_name)
     if name in EXTENSION_FIELDS:
-        column = F.regexp_extract(column, r"\.([^./]+)$", 1)
+        column = f"regexp_extract({column}, {quoted(EXTENSION_PATTERN)}, 1)"
+    elif column in NUMBER_COLUMNS:
+        column = f"CAST({column} AS STRING)"
     every = "all" in modifiers
     rest = [m for m in modifiers if m != "all"]
     if len(rest) > 1:
         raise RuleError(f"unsupported modifiers {rest!r}")
-    tests = [
-        _value_test(column, rest[0] if rest else "", value)
-        for value in (values if isinstance(values, list) else [values])
-    ]
-    return _all_of(tests) if every else any_of(tests)
-
-
-def _all_of(tests: list[Column]) -> Column:
-    combined = tests[0]
-    for test in tests[1:]:
-        combined = combined & test
-    return combined
+    listed = values if isinstance(values, list) else [values]
+    return _joined([_value_test(column, rest[0] if rest else "", v) for v in listed], "AND" if every else "OR")
 
 
-def keyword_test(words: list) -> Column:
+def keyword_test(words: list) -> str:
     """Any word anywhere in url, query string, referrer or user agent."""
-    text = F.concat_ws("\n", *[F.col(column) for column in KEYWORD_COLUMNS])
+    text = f"concat_ws('\n', {', '.join(KEYWORD_COLUMNS)})"
     tests = []
     for word in map(str, words):
         if _wildcards(word)[1] is None:
             tests.append(_value_test(text, "contains", word))  # one field holds it whole
         else:
-            tests += [_value_test(F.col(column), "contains", word) for column in KEYWORD_COLUMNS]
-    return any_of(tests)
+            tests += [_value_test(column, "contains", word) for column in KEYWORD_COLUMNS]
+    return _joined(tests, "OR")
 
 
-def selection_test(selection) -> Column:
+def selection_test(selection) -> str:
     """A mapping is the AND of its fields; a list is the OR of mappings or keywords."""
     if isinstance(selection, dict):
-        return _all_of([field_test(spec, values) for spec, values in selection.items()])
+        return _joined([field_test(spec, values) for spec, values in selection.items()], "AND")
     if not isinstance(selection, list):
         return keyword_test([selection])
     tests = [selection_test(item) for item in selection if isinstance(item, dict)]
     words = [item for item in selection if not isinstance(item, dict)]
-    return any_of(tests + ([keyword_test(words)] if words else []))
+    return _joined(tests + ([keyword_test(words)] if words else []), "OR")
 
 
-def condition_sql(condition: str, columns: dict[str, str]) -> str:
-    """The condition with each selection name replaced by its column.
+def condition_sql(condition: str, selections: dict[str, str]) -> str:
+    """The condition with each selection name replaced by its test.
 
     ``1 of x*`` and ``x*`` are the OR, ``all of x*`` the AND of the matching names;
     ``them`` and ``*`` stand for every selection.
@@ -149,9 +150,9 @@ def condition_sql(condition: str, columns: dict[str, str]) -> str:
 
     def matching(pattern: str) -> list[str]:
         if pattern in ("them", "*"):
-            return [c for n, c in columns.items() if not n.startswith("_")]
+            return [c for n, c in selections.items() if not n.startswith("_")]
         stem = pattern.removesuffix("*")
-        found = [c for n, c in columns.items() if (n.startswith(stem) if pattern.endswith("*") else n == pattern)]
+        found = [c for n, c in selections.items() if (n.startswith(stem) if pattern.endswith("*") else n == pattern)]
         if not found:
             raise RuleError(f"no selection named {pattern!r}")
         return found
@@ -162,7 +163,7 @@ def condition_sql(condition: str, columns: dict[str, str]) -> str:
             return text.lower()
         quantity, pattern = token.group("quantity"), token.group("pattern") or text
         joint = " and " if quantity and quantity.lower() == "all" else " or "
-        return "(" + joint.join(f"`{c}`" for c in matching(pattern)) + ")"
+        return "(" + joint.join(matching(pattern)) + ")"
 
     token = r"(?P<quantity>1|any|all)\s+of\s+(?P<pattern>[\w*-]+)|[\w*-]+"
     if re.sub(token, "", condition, flags=re.I).strip(" ()\t\n"):
@@ -170,22 +171,22 @@ def condition_sql(condition: str, columns: dict[str, str]) -> str:
     return re.sub(token, replace, condition, flags=re.I)
 
 
-def compile_rule(rule: dict, number: int = 0) -> RowRule:
+def compile_rule(rule: dict) -> RowRule:
     detection = rule.get("detection") or {}
     condition = detection.get("condition")
     if not condition:
         raise RuleError("no condition")
     if isinstance(condition, list):
         condition = " or ".join(f"({c})" for c in condition)
-    columns = {name: f"_rule{number}_{i}" for i, name in enumerate(n for n in detection if n != "condition")}
-    staged = {columns[name]: selection_test(detection[name]) for name in columns}
+    selections = {name: selection_test(s) for name, s in detection.items() if name != "condition"}
+    test = f"({condition_sql(condition, selections)})"
+    F.expr(test)  # an ill-formed condition fails here, with its rule
     return RowRule(
         rule_id=str(rule.get("id", "unknown")),
         title=rule.get("title", "Unknown Rule"),
         severity=rule.get("level", "medium"),
         provider="Sigma",
-        condition=F.expr(condition_sql(condition, columns)),
-        staged=staged,
+        condition=test,
         source=json.dumps(rule, default=str),
         status=rule.get("status", "experimental"),
     )
@@ -203,8 +204,8 @@ def compile_pack(rules: list[dict]) -> RulePack:
         else:
             seen.add(rule.get("id"))
             try:
-                pack.rules.append(compile_rule(rule, number))
-            except (RuleError, ValueError, TypeError, AttributeError) as error:
+                pack.rules.append(compile_rule(rule))
+            except (PySparkException, ValueError, TypeError, AttributeError, re.error) as error:
                 pack.failed[label] = str(error)
     return pack
 

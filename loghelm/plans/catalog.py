@@ -234,7 +234,7 @@ def _bot_class(spark: SparkSession, directory: str) -> DataFrame:
     texts = _table(spark, directory, "documents").select(
         F.lit("documents").alias("origin"), F.col("text").alias("user_agent")
     )
-    return agents.unionByName(texts).groupBy("origin", bot_class(F.col("user_agent")).alias("class")).agg(
+    return agents.unionByName(texts).groupBy("origin", bot_class("user_agent").alias("class")).agg(
         F.count(F.lit(1)).alias("count")
     )
 

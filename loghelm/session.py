@@ -17,6 +17,8 @@ CLUSTER_SETTINGS = {
     # Rule packs make long expressions. Above this size the JIT gives up on a fused
     # method, so Spark should fall back to its split per-operator code.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Do not record the Python call site of every Column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

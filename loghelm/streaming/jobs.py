@@ -100,9 +100,9 @@ def probe_alerts(log: DataFrame, size: str = "1 hour", watermark: str = WATERMAR
     candidates = log.withWatermark("timestamp", watermark).select(
         "upload_id", "ip", "timestamp", "status_code",
         F.explode(F.array_compact(F.array(
-            F.when(contains_any(F.col("url"), LOGIN_WORDS),
+            F.when(contains_any("url", LOGIN_WORDS),
                    F.struct(F.lit("brute_force").alias("alert"), F.col("url").alias("target"))),
-            F.when(contains_any(F.col("url"), PROBE_PATHS),
+            F.when(contains_any("url", PROBE_PATHS),
                    F.struct(F.lit("directory_enumeration").alias("alert"), F.lit("").alias("target"))),
         ))).alias("_c"),
     )
