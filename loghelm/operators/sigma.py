@@ -10,7 +10,6 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +63,7 @@ def _wildcards(value: str) -> tuple[str, str | None]:
     return plain, "".join({"*": ".*", "?": "."}.get(p, re.escape(p[-1])) for p in pieces)
 
 
+OPERATORS = ("and", "or", "not")
 # How a text value is compared: plainly, and as a pattern when it has wildcards.
 TEXT_TESTS = {
     "": ("lower({0}) = {1}", "^{}$"),
@@ -159,7 +159,7 @@ def condition_sql(condition: str, selections: dict[str, str]) -> str:
 
     def replace(token: re.Match) -> str:
         text = token.group(0)
-        if text.lower() in ("and", "or", "not"):
+        if text.lower() in OPERATORS:
             return text.lower()
         quantity, pattern = token.group("quantity"), token.group("pattern") or text
         joint = " and " if quantity and quantity.lower() == "all" else " or "
@@ -168,9 +168,19 @@ def condition_sql(condition: str, selections: dict[str, str]) -> str:
     token = r"(?P<quantity>1|any|all)\s+of\s+(?P<pattern>[\w*-]+)|[\w*-]+"
     if re.sub(token, "", condition, flags=re.I).strip(" ()\t\n"):
         raise RuleError(f"unsupported condition {condition!r}")
+    _check_form(re.sub(token, lambda m: m[0].lower() if m[0].lower() in OPERATORS else "T", condition, flags=re.I))
     return re.sub(token, replace, condition, flags=re.I)
 
 
+def _check_form(shape: str) -> None:
+    """Reduce a condition, its selections written ``T``, to a single ``T`` or fail."""
+    before, rest = "", " ".join(shape.replace("(", " ( ").replace(")", " ) ").split())
+    while before != rest:
+        before, rest = rest, re.sub(r"not T\b|\bT (?:and|or) T\b|\( T \)", "T", rest)
+    if rest != "T":
+        raise RuleError(f"ill-formed condition {shape!r}")
+
+
 def compile_rule(rule: dict) -> RowRule:
     detection = rule.get("detection") or {}
     condition = detection.get("condition")
@@ -180,7 +190,6 @@ def compile_rule(rule: dict) -> RowRule:
         condition = " or ".join(f"({c})" for c in condition)
     selections = {name: selection_test(s) for name, s in detection.items() if name != "condition"}
     test = f"({condition_sql(condition, selections)})"
-    F.expr(test)  # an ill-formed condition fails here, with its rule
     return RowRule(
         rule_id=str(rule.get("id", "unknown")),
         title=rule.get("title", "Unknown Rule"),
@@ -205,7 +214,7 @@ def compile_pack(rules: list[dict]) -> RulePack:
             seen.add(rule.get("id"))
             try:
                 pack.rules.append(compile_rule(rule))
-            except (PySparkException, ValueError, TypeError, AttributeError, re.error) as error:
+            except (ValueError, TypeError, AttributeError, re.error) as error:
                 pack.failed[label] = str(error)
     return pack
 
