@@ -15,7 +15,7 @@ from loghelm.operators.filters import Filters, apply_filters
 from loghelm.operators.rule_pack import default_pack
 from loghelm.operators.sigma import compile_pack, sigma_by_rule, sigma_findings
 from loghelm.schema import DATASET_SCHEMA, conform
-from loghelm.session import scratch_dir
+from loghelm.session import prepare_session, scratch_dir
 from loghelm.sources.access_view import read_access_log, request_rows, with_classes
 from loghelm.sources.datasets import LogStore, files_to_import, inventory, scan_counts
 from loghelm.sources.lines import read_lines
@@ -51,16 +51,14 @@ def plain(df: DataFrame) -> DataFrame:
 
 def _log_query(build: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return plain(build(read_access_log(spark, directory)))
+        return plain(build(read_access_log(prepare_session(spark), directory)))
 
     return run
 
 
 def _query(build: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return plain(build(spark, directory))
+        return plain(build(prepare_session(spark), directory))
 
     return run
 

@@ -34,6 +34,17 @@ def build_session(app_name: str = "loghelm", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
+# Those that results or speed depend on and that a running session can still take.
+RUNTIME_SETTINGS = ["spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"]
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Set what the operators need on a session that someone else built."""
+    for key in RUNTIME_SETTINGS:
+        spark.conf.set(key, CLUSTER_SETTINGS[key])
+    return spark
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new path under the cluster's shared checkpoint folder.
 
