@@ -334,42 +334,49 @@ def parse_unknown(lines: DataFrame, as_of: str, line: str = "value") -> DataFram
     body = F.col("_line")
 
     def first(pattern: str, group: int = 1) -> Column:
-        return _given(F.regexp_extract(body, pattern, group))
+        return F.regexp_extract(body, pattern, group)
 
+    # Extracts get columns of their own, as each is looked at twice below.
     looks_json = body.startswith("{") & body.endswith("}")
     staged = text.select(
         *kept, "_line",
         F.when(looks_json, F.from_json("_line", JSON_SCHEMA)).alias("_j"),
         F.regexp_extract_all("_line", F.lit(QUOTED_PATTERN), 1).alias("_quoted"),
+        first(IP_PATTERN).alias("_ip"),
+        first(METHOD_PATTERN).alias("_method"),
+        first(PATH_PATTERN).alias("_path"),
+        first(PATH_PATTERN, 2).alias("_query"),
+        first(STATUS_PATTERN).alias("_any_status"),
         first(STATUS_BYTES_PATTERN).alias("_status"),
         first(STATUS_BYTES_PATTERN, 2).alias("_bytes"),
-        first(DURATION_PATTERN).try_cast("double").alias("_took"),
+        first(DURATION_PATTERN).alias("_duration"),
+        first(BRACKET_PATTERN).alias("_bracket"),
     )
     last = F.try_element_at("_quoted", F.lit(-1))
     second_last = F.try_element_at("_quoted", F.lit(-2))
-    browser = F.lit("Mozilla|Opera")
     agent = F.when(last.rlike("Mozilla|Opera|compatible"), last).when(
-        F.rlike(second_last, browser), second_last
+        second_last.rlike("Mozilla|Opera"), second_last
     )
+    duration = F.col("_duration").try_cast("double")
     took = (
-        F.when(body.endswith("ms"), F.col("_took"))
-        .when(body.endswith("µs"), F.col("_took") / 1000.0)
-        .when(body.endswith("s"), F.col("_took") * 1000.0)
-        .otherwise(F.col("_took"))
+        F.when(body.endswith("ms"), duration)
+        .when(body.endswith("µs"), duration / 1000.0)
+        .when(body.endswith("s"), duration * 1000.0)
+        .otherwise(duration)
     )
     # Only the part before a blank is read, so a zone offset is not applied.
     stamp = F.try_to_timestamp(
-        F.substring_index(F.ltrim(first(BRACKET_PATTERN)), " ", 1), F.lit("d/MMM/yyyy:HH:mm:ss")
+        F.substring_index(F.ltrim("_bracket"), " ", 1), F.lit("d/MMM/yyyy:HH:mm:ss")
     )
     found = _json_fields(F.col("_j"))
-    status = F.coalesce(F.col("_status"), first(STATUS_PATTERN)).try_cast("int")
+    status = F.coalesce(_given(F.col("_status")), _given(F.col("_any_status"))).try_cast("int")
     return staged.select(
         *kept,
         F.coalesce(found["timestamp"], stamp, F.lit(as_of).cast("timestamp")).alias("timestamp"),
-        F.coalesce(found["ip"], first(IP_PATTERN), F.lit("0.0.0.0")).alias("ip"),
-        F.coalesce(found["method"], first(METHOD_PATTERN), F.lit("UNKNOWN")).alias("method"),
-        F.coalesce(found["url"], first(PATH_PATTERN), F.lit("/")).alias("url"),
-        F.ltrim(first(PATH_PATTERN, 2), F.lit("?")).alias("query_string"),
+        F.coalesce(found["ip"], _given(F.col("_ip")), F.lit("0.0.0.0")).alias("ip"),
+        F.coalesce(found["method"], _given(F.col("_method")), F.lit("UNKNOWN")).alias("method"),
+        F.coalesce(found["url"], _given(F.col("_path")), F.lit("/")).alias("url"),
+        F.ltrim(_given(F.col("_query")), F.lit("?")).alias("query_string"),
         F.coalesce(found["status_code"], status, F.lit(200)).alias("status_code"),
         F.coalesce(
             found["bytes_sent"], F.col("_bytes").try_cast("bigint"), F.lit(0).cast("bigint")

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from conftest import at
 
 from loghelm.operators import risk
 from loghelm.operators.detectors import all_findings, detect_brute_force, match_rows, native_row_rules
