@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loghelm.llm import exact_dedup, mixing, sharding
+from loghelm.llm import exact_dedup, mixing, quality, sharding, toxicity
 from loghelm.llm.common import read
 
 
@@ -15,8 +15,10 @@ def _on(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSess
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": _on(toxicity.op1_toxicity, "documents", "labels"),
     "op3_mix_sources": _on(mixing.op3_mix_sources, "documents"),
     "op5_exact_dedup": _on(exact_dedup.op5_exact_dedup, "documents"),
+    "op8_quality": _on(quality.op8_quality, "documents", "labels"),
     "op9_sharding": _on(sharding.op9_sharding, "documents"),
 }
 
