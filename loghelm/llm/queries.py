@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loghelm.llm import exact_dedup, mixing, quality, sharding, toxicity
+from loghelm.llm import exact_dedup, html_text, mixing, quality, secrets, sharding, toxicity
 from loghelm.llm.common import read
 
 
@@ -18,8 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _on(toxicity.op1_toxicity, "documents", "labels"),
     "op3_mix_sources": _on(mixing.op3_mix_sources, "documents"),
     "op5_exact_dedup": _on(exact_dedup.op5_exact_dedup, "documents"),
+    "op7_html_text": _on(html_text.op7_html_text, "pages"),
     "op8_quality": _on(quality.op8_quality, "documents", "labels"),
     "op9_sharding": _on(sharding.op9_sharding, "documents"),
+    "op10_secrets": _on(secrets.op10_secrets, "documents"),
 }
 
 ORACLES: dict[str, str] = {
