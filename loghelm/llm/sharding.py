@@ -86,21 +86,17 @@ def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 5) -> DataFrame:
-    """One row per row of ``docs``: its columns, shard, slot (gapless from 0 in a shard) and text_hash.
-
-    Equal texts are linked. Row counts of any two shards differ by one at most. Null texts count as empty and equal; rows
-    that repeat another (id included) share a node and are still placed one by one; an empty table gives an empty result.
-    Columns named shard, slot or text_hash are replaced.
-    """
-    names = [c for c in docs.columns if c not in ("shard", "slot", "text_hash")]
-    text_hash = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    light = docs.select("doc_id", text_hash.alias("text_hash"))
+def assign_shards(rows: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 5) -> DataFrame:
+    """``rows`` (doc_id, text_hash, and what else is to be kept) with shard and slot. Rows should be light: they are
+    shuffled twice."""
+    rows = materialize(rows, "shard-rows")
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
+    light = rows.select("doc_id", "text_hash")
     groups = materialize(
         light.groupBy("text_hash").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"),
         "shard-groups",
     )
-    total = docs.count()
+    total = rows.count()
     quota, more = divmod(total, shards)
 
     node = lambda name: F.concat_ws(":", F.col("text_hash"), F.coalesce(F.col(name).cast("string"), F.lit("null")))
@@ -119,9 +115,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, seed: int
     order = F.xxhash64(F.lit(seed), "text_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     spread = F.ceil(F.col("members") / F.lit(max(GROUP_ROWS, total // (shards * buckets))))
     near = F.pmod(F.xxhash64("text_hash") + F.pmod(order, spread), F.lit(buckets))
-    rows = docs.select(*names, text_hash.alias("text_hash")).withColumn("id", node("doc_id")).join(labels, "id", "left")
+    rows = rows.withColumn("id", node("doc_id")).join(labels, "id", "left")
     placed = rows.select(
-        *names, "text_hash",
+        *names,
         F.coalesce("label", F.pmod(order, F.lit(shards)).cast("int")).alias("label"),
         order.alias("order"),
         F.when(F.col("label").isNotNull(), near).otherwise(F.pmod(F.shiftright(order, 8), F.lit(buckets)) + buckets).alias("bucket"),
@@ -133,7 +129,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, seed: int
     full: Column = F.lit(False)
     for s in range(shards):
         full = full | ((F.col("label") == s) & (F.col("rank") >= quotas[s]))
-    stay = placed.where(~full).select(*names, "text_hash", F.col("label").alias("shard"), F.col("rank").cast("long").alias("slot"))
+    stay = placed.where(~full).select(*names, F.col("label").alias("shard"), F.col("rank").cast("long").alias("slot"))
     over = placed.where(full).drop("rank").withColumn(
         "bucket", F.pmod(F.xxhash64("order", F.lit("over")), F.lit(shards * buckets))
     )
@@ -146,16 +142,34 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, seed: int
         shard = F.when(here, F.lit(s)).otherwise(shard)
         slot = F.when(here, F.col("rank") - F.lit(passed) + F.lit(have)).otherwise(slot)
         passed += room
-    return stay.unionByName(over.select(*names, "text_hash", shard.alias("shard"), slot.cast("long").alias("slot")))
+    return stay.unionByName(over.select(*names, shard.alias("shard"), slot.cast("long").alias("slot")))
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 5) -> DataFrame:
+    """One row per row of ``docs``: its columns, text_hash, shard and slot (gapless from 0 in a shard).
+
+    Equal texts are linked. Row counts of any two shards differ by one at most. Null texts count as empty and equal; rows
+    that repeat another (id included) share a node and are still placed one by one; an empty table gives an empty result.
+    Columns named shard, slot or text_hash are replaced. Rows are stored once with a number, and only numbers, ids and
+    hashes take part in the placement; texts are shuffled once, to meet their place.
+    """
+    names = [c for c in docs.columns if c not in ("shard", "slot", "text_hash", "_row")]
+    stored = materialize(
+        docs.select(*names, F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"), F.monotonically_increasing_id().alias("_row")),
+        "shard-documents",
+    )
+    placed = assign_shards(stored.select("_row", "doc_id", "text_hash"), shards, rounds, seed)
+    return stored.join(placed.select("_row", "shard", "slot"), "_row").drop("_row")
 
 
 def op9_sharding(documents: DataFrame) -> DataFrame:
     """The contract's columns for shards 0 to 7 under the law ``rows``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     light = documents.select(
-        "doc_id", "text", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+        "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text).alias("text_hash"),
     )
-    out = shard_documents(light)
+    out = assign_shards(light)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
