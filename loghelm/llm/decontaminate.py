@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,6 +234,16 @@ def _blocks(benchmark: DataFrame, q: int, errors: float) -> Iterator[Items]:
         yield Items([r["item_id"] for r in part], [r["text"] for r in part], q, errors)
 
 
+def _searched(sent: Broadcast, result: str):
+    @F.pandas_udf(result)
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            parts = by_bytes([batch.to_frame("text")], "text", 2 << 20)
+            yield pd.Series([h for part in parts for h in sent.value.search(part["text"].fillna("").tolist())], dtype=object)
+
+    return hits
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, q: int = Q, errors: float = ERRORS, name: str = "hits") -> DataFrame:
     """``docs`` with the array ``name`` of the benchmark items in each text: item_id, begin, end, edits.
 
@@ -245,15 +256,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, q: int = Q, errors: fl
     result = f"array<struct<item_id:{kind},begin:int,end:int,edits:int>>"
     parts = []
     for items in _blocks(benchmark, q, errors):
-        sent = spark.sparkContext.broadcast(items)
-
-        @F.pandas_udf(result)
-        def hits(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            for batch in batches:
-                found = [h for part in by_bytes([batch.to_frame("text")], "text", 2 << 20) for h in sent.value.search(part["text"].fillna("").tolist())]
-                yield pd.Series(found, dtype=object)
-
-        parts.append(hits(F.col("text")))
+        parts.append(_searched(spark.sparkContext.broadcast(items), result)(F.col("text")))
     return docs.withColumn(name, F.concat(*parts) if len(parts) > 1 else parts[0])
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loghelm.llm import decontaminate, exact_dedup, html_text, mixing, near_duplicates, quality, secrets, sharding, toxicity
+from loghelm.llm import decontaminate, exact_dedup, html_text, mixing, near_duplicates, quality, secrets, sharding, substring_dedup, toxicity
 from loghelm.llm.common import read
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _on(toxicity.op1_toxicity, "documents", "labels"),
     "op2_decontaminate": _on(decontaminate.op2_decontaminate, "documents", "benchmark"),
     "op3_mix_sources": _on(mixing.op3_mix_sources, "documents"),
+    "op4_substring_dedup": _on(substring_dedup.op4_substring_dedup, "documents"),
     "op5_exact_dedup": _on(exact_dedup.op5_exact_dedup, "documents"),
     "op6_near_duplicates": _on(near_duplicates.op6_near_duplicates, "documents"),
     "op7_html_text": _on(html_text.op7_html_text, "pages"),
