@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loghelm.llm.common import by_bytes, materialize, parallelism
@@ -24,6 +24,7 @@ from loghelm.llm.shingles import WordHashes, ngrams
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99, 8
 #: Texts in a block. A task holds two.
 BLOCK = 256
+RESULTS = ["class_id", "n_links", "n_copies", "class_key"]
 #: n-grams in one step of the signature and in one matrix product.
 STEP, COLUMNS = 1 << 15, 1 << 13
 
@@ -151,16 +152,23 @@ def _links(tasks: DataFrame, words: int, threshold: float) -> DataFrame:
 def near_duplicate_classes(
     docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS
 ) -> DataFrame:
-    """``docs`` with class_id, n_links and n_copies for each row; no row is dropped.
+    """``docs`` with class_id, n_links, n_copies and class_key for each row; no row is dropped.
 
     Words are what white space separates, unchanged; the similarity of two texts is the Jaccard similarity of their sets
     of ``words`` consecutive words. class_id: smallest doc_id of the texts connected by links; n_links: how many other
-    different texts a text is linked with; n_copies: rows with the same text, itself included. Texts with fewer words
+    different texts a text is linked with; n_copies: rows with the same text, itself included; class_key: names the class
+    also where ids are null. Texts with fewer words
     than ``words`` are one n-gram; texts without words are linked with none but their copies. Null texts count as empty,
     rows with a null doc_id take part (class_id is null if all ids of a class are), an empty table stays empty. Columns
     with the names of results are replaced.
     """
-    names = [c for c in docs.columns if c not in ("class_id", "n_links", "n_copies", "node")]
+    names = [c for c in docs.columns if c not in (*RESULTS, "node")]
+    known, node = _classes(docs, words, threshold, recall, rows)
+    return docs.select(*names, node).join(known, "node").select(*names, *RESULTS)
+
+
+def _classes(docs: DataFrame, words: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, Column]:
+    """The results for each text, stored, by node; and the expression of a row's node."""
     spark = docs.sparkSession
     node = F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("node")
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
@@ -197,10 +205,28 @@ def near_duplicate_classes(
     named = nodes.join(degrees, "node", "left").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "near-named")
     ids = named.groupBy("component").agg(F.min("first").alias("class_id"))
-    known = materialize(
-        named.join(materialize(ids, "near-ids"), "component").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "near-known"
-    )
-    return docs.select(*names, node).join(known, "node").select(*names, "class_id", "n_links", "n_copies")
+    named = named.join(materialize(ids, "near-ids"), "component")
+    return materialize(
+        named.select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", F.col("component").alias("class_key")), "near-known"
+    ), node
+
+
+def keep_one_of_each_class(
+    docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS
+) -> DataFrame:
+    """The row of each class whose id is the class's; of several such rows (repeated ids, or none but null ids) any one."""
+    known, node = _classes(docs, words, threshold, recall, rows)
+    named = lambda frame: frame.join(known.select("node", "class_id", "class_key"), "node").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    several = named(docs.select("doc_id", node)).groupBy("class_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_key")
+    several = materialize(several, "near-several")
+    taken = {"node", "class_id", "class_key"} & set(docs.columns)
+    plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in taken})
+    columns = [F.col(f"_own_{c}").alias(c) if c in taken else F.col(c) for c in docs.columns]
+    kept = named(plain.withColumn("node", node))
+    if several.isEmpty():
+        return kept.select(*columns)
+    one = kept.join(several, "class_key", "left_semi").dropDuplicates(["class_key"])
+    return kept.join(several, "class_key", "left_anti").select(*columns).unionByName(one.select(*columns))
 
 
 def op6_near_duplicates(documents: DataFrame) -> DataFrame:
