@@ -2,7 +2,7 @@
 
 Documents are nodes, links join them, labels are shards. In each round linked documents ask for the shard that most of
 their neighbours are in; a shard takes what its quota has room for, and swaps with others. Labels, votes and moves are
-joins and aggregates of rows (id, label); the driver sees loads and flows between shards only, shards squared numbers.
+joins and aggregates of rows (id, label); the driver sees loads and flows between shards only.
 At the end every shard gets exactly its quota of rows: rows beyond it, unlinked ones first, fill the gaps of the others.
 """
 
@@ -19,54 +19,70 @@ GROUP_ROWS = 64
 BUCKETS, BUCKET_ROWS = 512, 20_000
 
 
-def _accepted(wanted: dict[tuple[int, int], int], load: dict[int, int], quota: int, shards: int) -> dict:
-    """The share of the wanted moves i -> j that keeps shard j within its quota: swaps first, then its free room."""
-    share = {}
+def _accepted(wanted: dict[tuple[int, int, int], int], load: dict[int, int], quota: int, shards: int) -> dict:
+    """(i, j, tier) -> the share of the wanted moves i -> j that keeps shard j within its quota. Small tiers come first,
+    since a small group finds room as a whole. Moves both ways between two shards are swaps and need no room."""
+    share, tiers = {}, sorted({tier for *_, tier in wanted})
+    swaps = {}
+    for i in range(shards):
+        for j in range(shards):
+            ways = [sum(wanted.get((*way, t), 0) for t in tiers) for way in ((i, j), (j, i))]
+            swaps[i, j] = min(ways) if i != j else 0
     for j in range(shards):
-        swaps = {i: min(wanted.get((i, j), 0), wanted.get((j, i), 0)) for i in range(shards) if i != j}
-        rest = {i: wanted.get((i, j), 0) - n for i, n in swaps.items()}
-        part = min(1.0, max(0, quota - load.get(j, 0)) / max(1, sum(rest.values())))
-        for i in swaps:
-            if wanted.get((i, j)):
-                share[i, j] = (swaps[i] + part * rest[i]) / wanted[i, j]
+        room = max(0, quota - load.get(j, 0))
+        for tier in tiers:
+            for i in range(shards):
+                if n := wanted.get((i, j, tier), 0):
+                    swap = min(n, swaps[i, j])
+                    swaps[i, j] -= swap
+                    free = min(n - swap, room)
+                    room -= free
+                    share[i, j, tier] = (swap + free) / n
     return share
 
 
+def spark_map(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
 def propagate_labels(
-    nodes: DataFrame, links: DataFrame, shards: int, quota: int, rounds: int = 3, seed: int = 5
+    nodes: DataFrame, links: DataFrame, shards: int, quota: int, rounds: int = 5, seed: int = 5
 ) -> DataFrame:
     """Labels of linked nodes. nodes: distinct id, weight. links: a, b, each way once or both. Returns id, label.
 
     In every second round a node listens only to neighbours with a smaller id, so that two nodes don't swap places; in
-    the others a random half of the nodes moves. Links to ids that aren't nodes are ignored.
+    the others a random half of the nodes moves. Links to ids that aren't nodes are ignored. A move's tier is the number
+    of binary digits in the degree of the least connected neighbour it follows.
     """
     label = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(shards)).cast("int").alias("label")
     labels = materialize(nodes.select("id", "weight", label), "labels")
-    both = materialize(
-        links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links"
+    both = materialize(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links")
+    degrees = materialize(
+        both.groupBy("a").agg(F.length(F.bin(F.count(F.lit(1)))).alias("tier")).select(F.col("a").alias("b"), "tier"), "degrees"
     )
+    both = materialize(both.join(degrees, "b"), "links")
     for turn in range(rounds):
         load = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
         asking = both.where("b < a") if turn % 2 == 0 else both.where(unit_interval(F.lit(turn), F.col("a")) < 0.5)
         votes = (
             asking.join(labels.select(F.col("id").alias("b"), F.col("label").alias("theirs")), "b")
-            .groupBy("a", "theirs").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("a", "theirs").agg(F.count(F.lit(1)).alias("n"), F.min("tier").alias("tier"))
         )
         own = labels.select(F.col("id").alias("a"), "label", "weight")
-        best = F.max(F.struct("n", F.xxhash64("theirs", "a").alias("tie"), "theirs"))
+        best = F.max(F.struct("n", F.xxhash64("theirs", "a").alias("tie"), "theirs", "tier"))
         wants = (
             votes.join(own, "a").groupBy("a", "label", "weight")
             .agg(best.alias("best"), F.sum(F.when(F.col("theirs") == F.col("label"), F.col("n")).otherwise(0)).alias("here"))
             .where("best.theirs != label and best.n > here")
-            .select("a", "weight", "label", F.col("best.theirs").alias("to"))
+            .select("a", "weight", "label", F.col("best.theirs").alias("to"), "best.tier")
         )
         wants = materialize(wants, "wants")
-        flows = {(r["label"], r["to"]): r["n"] for r in wants.groupBy("label", "to").agg(F.sum("weight").alias("n")).collect()}
+        flows = wants.groupBy("label", "to", "tier").agg(F.sum("weight").alias("n")).collect()
+        flows = {(r["label"], r["to"], r["tier"]): r["n"] for r in flows}
         if not flows:
             break
-        limit: Column = F.lit(0.0)
-        for (i, j), share in _accepted(flows, load, quota, shards).items():
-            limit = F.when((F.col("label") == i) & (F.col("to") == j), F.lit(share)).otherwise(limit)
+        shares = spark_map({f"{i}:{j}:{t}": share for (i, j, t), share in _accepted(flows, load, quota, shards).items()})
+        limit = F.element_at(shares, F.concat_ws(":", "label", "to", "tier"))
         moved = wants.where(unit_interval(F.lit(seed), F.lit(turn), F.col("a")) < limit).select(F.col("a").alias("id"), "to")
         labels = materialize(
             labels.join(moved, "id", "left").select("id", "weight", F.coalesce("to", "label").alias("label")), "labels"
@@ -79,14 +95,14 @@ def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     counts = rows.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*by, "bucket").orderBy("order", "doc_id")
+    inside = Window.partitionBy(*by, "bucket").orderBy("text_hash", "order", "doc_id")
     return (
         rows.withColumn("_place", F.row_number().over(inside) - 1).join(offsets, [*by, "bucket"])
         .withColumn("rank", F.col("_place") + F.col("_offset")).drop("_place", "_offset", "_n")
     )
 
 
-def assign_shards(rows: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 5) -> DataFrame:
+def assign_shards(rows: DataFrame, shards: int = 8, rounds: int = 5, seed: int = 5) -> DataFrame:
     """``rows`` (doc_id, text_hash, and what else is to be kept) with shard and slot. Rows should be light: they are
     shuffled twice."""
     rows = materialize(rows, "shard-rows")
@@ -120,8 +136,8 @@ def assign_shards(rows: DataFrame, shards: int = 8, rounds: int = 3, seed: int =
         *names,
         F.coalesce("label", F.pmod(order, F.lit(shards)).cast("int")).alias("label"),
         order.alias("order"),
-        F.when(F.col("label").isNotNull(), near).otherwise(F.pmod(F.shiftright(order, 8), F.lit(buckets)) + buckets).alias("bucket"),
-    )
+        F.coalesce(near, F.pmod(F.xxhash64("text_hash"), F.lit(buckets))).alias("near"), F.col("label").isNotNull().alias("linked"),
+    ).withColumn("bucket", F.col("near") + F.when(F.col("linked"), 0).otherwise(buckets))
     placed = materialize(_ranked(placed, ["label"]), "shard-ranks")
 
     counts = {r["label"]: r["n"] for r in placed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -130,10 +146,8 @@ def assign_shards(rows: DataFrame, shards: int = 8, rounds: int = 3, seed: int =
     for s in range(shards):
         full = full | ((F.col("label") == s) & (F.col("rank") >= quotas[s]))
     stay = placed.where(~full).select(*names, F.col("label").alias("shard"), F.col("rank").cast("long").alias("slot"))
-    over = placed.where(full).drop("rank").withColumn(
-        "bucket", F.pmod(F.xxhash64("order", F.lit("over")), F.lit(shards * buckets))
-    )
-    over = _ranked(over.withColumn("all", F.lit(0)), ["all"])
+    # What is left of a group moves on together, as far as the gaps are wide enough.
+    over = _ranked(placed.where(full).drop("rank").withColumn("bucket", F.col("near")).withColumn("all", F.lit(0)), ["all"])
     shard, slot, passed = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
     for s in range(shards):
         have = min(counts.get(s, 0), quotas[s])
@@ -145,7 +159,7 @@ def assign_shards(rows: DataFrame, shards: int = 8, rounds: int = 3, seed: int =
     return stay.unionByName(over.select(*names, shard.alias("shard"), slot.cast("long").alias("slot")))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, seed: int = 5) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 5, seed: int = 5) -> DataFrame:
     """One row per row of ``docs``: its columns, text_hash, shard and slot (gapless from 0 in a shard).
 
     Equal texts are linked. Row counts of any two shards differ by one at most. Null texts count as empty and equal; rows
