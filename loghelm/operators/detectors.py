@@ -54,6 +54,7 @@ class RowRule:
     prefix: str | None = None
     source: str | None = None
     status: str | None = None
+    filename: str | None = None
 
 
 def _evidence(prefix: str | None) -> Column:

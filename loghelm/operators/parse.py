@@ -1,7 +1,9 @@
 """Raw log lines to typed rows, one regular-expression pass per line.
 
-Each format rewrites a matching line to its fields joined by newline (which no line
-contains) and one split yields them, so the cost does not grow with the number of fields.
+Each format rewrites a matching line to its fields joined by newline (which no raw line
+contains; decoding, which can bring one in, comes after the split) and one split yields
+them, so the cost does not grow with the number of fields. Separators such as U+0085 and
+U+2028 are characters like any other.
 Lines that do not match are kept and flagged, not dropped.
 """
 
@@ -33,7 +35,7 @@ class Layout:
         """The fields joined by newline; the line unchanged when it does not match."""
         slots = {name: f"${i}" for i, name in enumerate(self.groups, start=1)}
         return F.regexp_replace(
-            line, f"^{self.pattern}.*$", "\n".join(slots.get(name, "") for name in FIELDS)
+            line, f"(?s)^{self.pattern}.*$", "\n".join(slots.get(name, "") for name in FIELDS)
         )
 
 
@@ -283,7 +285,7 @@ PATH_PATTERN = r"\s(/[^\s?]+)(?:\?([^\s]+))?\s"
 STATUS_PATTERN = r"\s([1-5][0-9]{2})\s"
 STATUS_BYTES_PATTERN = r"\s([1-5][0-9]{2})\s+([0-9]+|-)\s"
 DURATION_PATTERN = r"\s([0-9]+(?:\.[0-9]+)?)(?:ms|µs|s)?\s*$"
-BRACKET_PATTERN = r"\[(.*?)\]"
+BRACKET_PATTERN = r"(?s)\[(.*?)\]"
 QUOTED_PATTERN = r'"([^"]*)"'
 
 

@@ -118,12 +118,12 @@ ENDPOINT_QUANTILES = {"median_time": 0.50, "p90_time": 0.90, "p95_time": 0.95, "
 def fastest_endpoints(log: DataFrame, filters: Filters | None = None, n: int = 10) -> DataFrame:
     """Templates with more than five timed requests, fastest mean first, with quantiles.
 
-    The top ``n`` are found from means alone; quantiles are then computed for those
-    ``n`` templates only, so the broadcast side has ``n`` rows.
+    The top ``n`` are found from means alone; quantiles are then computed for those ``n``
+    templates only. How they meet the rows is left to the planner, which sees the limit.
     """
     top = _endpoint_means(log, filters).orderBy("avg_time", F.col("url").asc_nulls_last()).limit(n)
     timed = apply_filters(log, filters).select(F.col("normalized_url").alias("url"), "response_time_ms")
-    chosen = timed.join(F.broadcast(top.select("url")), "url", "left_semi")
+    chosen = timed.join(top.select("url"), "url", "left_semi")
     spread = exact_quantiles(chosen, "response_time_ms", ENDPOINT_QUANTILES, by=["url"])
     return spread.select(
         "url", F.col("mean").alias("avg_time"), *ENDPOINT_QUANTILES, F.col("n").alias("count")
@@ -210,9 +210,8 @@ def traffic_growth(log: DataFrame, as_of: str, filters: Filters | None = None) -
     week, fortnight = (
         F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp") for days in (7, 14)
     )
-    counts = apply_filters(log, filters).agg(
-        F.count_if(at >= week).alias("last_7d"),
-        F.count_if((at >= fortnight) & (at < week)).alias("prev_7d"),
+    counts = apply_filters(log, filters).where(at >= fortnight).agg(
+        F.count_if(at >= week).alias("last_7d"), F.count_if(at < week).alias("prev_7d")
     )
     change = (F.col("last_7d") - F.col("prev_7d")).cast("double") * 100.0
     return counts.withColumn(

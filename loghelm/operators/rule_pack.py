@@ -1,97 +1,62 @@
 """The rules that come with the package. Any directory of Sigma rules can be loaded instead.
 
-Values compare without case; ``contains`` looks inside a field, ``|all`` wants every value.
+They look for requests an operator of a web service may want to see, and between them use
+every way of comparing that the compiler knows.
 """
 
 from loghelm.operators.sigma import RulePack, compile_pack
 
 
-def _everywhere(words: list[str]) -> dict:
-    """The same words looked for in the path or in the query string."""
-    return {
-        "in_path": {"url|contains": words},
-        "in_query": {"query_string|contains": words},
-        "condition": "in_path or in_query",
-    }
-
-
-def _rule(rule_id: str, title: str, level: str, detection: dict) -> dict:
-    return {"id": rule_id, "title": title, "level": level, "status": "experimental", "detection": detection}
+def _rule(rule_id: str, title: str, level: str, condition: str, status: str = "stable", **selections) -> dict:
+    detection = {**selections, "condition": condition}
+    return {"id": rule_id, "title": title, "level": level, "status": status, "detection": detection}
 
 
 # What each rule looks for.
 DEFAULT_RULES = [
-    _rule("lh-sqli", "SQL injection text", "critical",
-          _everywhere(["UNION SELECT", "OR 1=1", "information_schema"])),
-    _rule("lh-sqli-get", "SQL text in an answered GET", "high", {
-        "get": {"cs-method": "GET"},
-        "keywords": ["union all select", "union select", "group_concat(", "select database()", "@@version"],
-        "filter_main_missing": {"sc-status": 404},
-        "condition": "get and keywords and not 1 of filter_main_*",
-    }),
-    _rule("lh-xss-get", "Script text in an answered GET", "high", {
-        "get": {"cs-method": "GET"},
-        "keywords": ["=<script>", "<iframe ", "<svg ", "document.cookie", "onmouseover=", "javascript:alert"],
-        "missing": {"sc-status": 404},
-        "condition": "get and keywords and not missing",
-    }),
-    _rule("lh-traversal", "Path traversal", "high", _everywhere(["../", "%2e%2e%2f"])),
-    _rule("lh-encoded-traversal", "Doubly encoded traversal", "high",
-          _everywhere(["%252e%252e%252f", "%c0%af", "%c1%9c"])),
-    _rule("lh-file-inclusion", "System file named in a request", "high",
-          _everywhere(["etc/passwd", "windows/win.ini", "boot.ini", "file://", "php://filter", "php://input"])),
-    _rule("lh-command", "Shell command in a request", "critical",
-          _everywhere(["/bin/sh", "/bin/bash", "cmd.exe", "powershell.exe", "wget ", "curl ", "nc -e"])),
-    _rule("lh-template", "Template expression in a request", "medium",
-          _everywhere(["${", "{{", "}}", "<%", "%>"])),
-    _rule("lh-xxe", "External entity", "high", _everywhere(["<!ENTITY", 'SYSTEM "file://'])),
-    _rule("lh-admin", "Administration page", "low", {
-        "paths": {"url|startswith": ["/admin", "/administrator", "/wp-admin", "/cpanel", "/manager/html"]},
-        "condition": "paths",
-    }),
-    _rule("lh-sensitive-file", "Sensitive file", "medium", {
-        "keywords": [".env", "robots.txt", "backup.sql", "config.php.bak", ".htpasswd", "web.config", ".git/"],
-        "condition": "keywords",
-    }),
-    _rule("lh-server-probe", "Server status probe", "low", {
-        "probe": {"url|contains": ["/server-status", "/cgi-bin/test-cgi", "/.htaccess"]},
-        "condition": "probe",
-    }),
-    _rule("lh-scanner-agent", "Scanner user agent", "medium", {
-        "agent": {"c-useragent|contains": ["sqlmap", "nikto", "nmap", "masscan", "gobuster", "wfuzz"]},
-        "condition": "agent",
-    }),
-    _rule("lh-script-agent", "Command-line client posting", "low", {
-        "selection_agent": {"c-useragent|startswith": ["curl/", "wget/", "python-requests/"]},
-        "selection_method": {"cs-method": "POST"},
-        "condition": "all of selection_*",
-    }),
-    _rule("lh-empty-agent", "No user agent", "low", {
-        "absent": {"c-useragent": None},
-        "condition": "absent",
-    }),
-    _rule("lh-shell-query", "Tunnel shell query", "high", {
-        "query": {"cs-uri-query|contains": ["cmd=read", "cmd=connect", "cmd=forward"]},
-        "bare": {"cs-referer": None, "cs-user-agent": None, "cs-method": "POST"},
-        "condition": "query and bare",
-    }),
-    _rule("lh-version-check", "Update check with version and language", "low", {
-        "check": {"c-uri|contains": "/checkupdate", "c-uri-query|contains|all": ["lng=", "ver="]},
-        "condition": "check",
-    }),
-    _rule("lh-email-path", "Mail address at the end of a path", "low", {
-        "mail": {"cs-uri|re": r"[\w.-]+@[\w-]+\.\w+$"},
-        "condition": "mail",
-    }),
-    _rule("lh-old-client", "Legacy browser pattern", "low", {
-        "agent": {"c-useragent": ["Mozilla/4.0 (compatible; MSIE *", "*Win32*"]},
-        "condition": "agent",
-    }),
-    _rule("lh-internal-post", "Failed POST from a private network", "medium", {
-        "post": {"cs-method": "POST", "sc-status": [401, 403, 500]},
-        "private": {"src_ip|cidr": ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"]},
-        "condition": "post and private",
-    }),
+    # whole values, lists of numbers, not
+    _rule("lh-refused-login", "Refused sign-in", "low", "door and refused and not agentless",
+          door={"url": ["/login", "/session/new"]}, refused={"sc-status": [401, 403]}, agentless={"c-useragent": None}),
+    # startswith
+    _rule("lh-staff-area", "Staff area visited from a script", "medium", "area and client",
+          area={"cs-uri-stem|startswith": ["/admin", "/internal"]},
+          client={"c-useragent|startswith": ["curl/", "go-http-client/", "sqlmap/"]}),
+    # endswith
+    _rule("lh-settings-file", "Settings file asked for", "high", "file",
+          file={"cs-uri-stem|endswith": ["/.env", "/settings.py", "/application.yml"]}),
+    # extension
+    _rule("lh-dump", "Archive or dump asked for", "medium", "dump", "test",
+          dump={"c-uri-extension": ["sql", "bak", "tgz", "env"]}),
+    # contains
+    _rule("lh-parent-folder", "Path climbs to a parent folder", "high", "climb",
+          climb={"url|contains": "/../"}),
+    # contains with all
+    _rule("lh-two-tables", "Query joins a second table", "critical", "both", both={"cs-uri-query|contains|all": ["union", "password"]}),
+    # re
+    _rule("lh-chained-command", "Command chained to a value", "critical", "chain", "experimental",
+          chain={"cs-uri-query|re": r"=[^&]*[;|]\s*[a-z]+ /"}),
+    # cidr, or, parentheses
+    _rule("lh-office-errors", "Server error or redirect seen from an office network", "low", "office and (broken or moved)",
+          office={"src_ip|cidr": ["10.0.0.0/26", "fd00::/8"]}, broken={"sc-status": 500}, moved={"sc-status": 302}),
+    # null
+    _rule("lh-silent-change", "Change without a user agent", "medium", "silent and not read",
+          silent={"c-useragent": None}, read={"cs-method": ["GET", "HEAD", "OPTIONS"]}),
+    # wildcards
+    _rule("lh-crawler-version", "Crawler of the second generation", "informational", "crawler",
+          crawler={"c-useragent": ["*bot/2.?;*", "*spider/2.?;*"]}),
+    # keywords
+    _rule("lh-markup", "Markup in a request", "high", "keywords", keywords=["<script", "<svg/onload", "%3cobject"]),
+    # keywords with a wildcard
+    _rule("lh-account-file", "Account file named", "high", "keywords", "test", keywords=["cat /*/passwd"]),
+    # list of mappings
+    _rule("lh-watchers", "Monitor or scanner", "low", "either",
+          either=[{"c-useragent|contains": "pingdom"}, {"c-useragent|contains": "sqlmap", "cs-method": "GET"}]),
+    # 1 of, all of
+    _rule("lh-odd-sale", "Sale that failed or came without a browser", "medium", "all of need_* and 1 of odd_*", "experimental",
+          need_method={"cs-method": "POST"}, need_path={"url|contains": "/purchase/"},
+          odd_status={"sc-status": [500, 503]}, odd_client={"c-useragent|startswith": ["curl", "sqlmap"]}),
+    # them
+    _rule("lh-first-page", "First page of a signup", "informational", "all of them", path={"url|startswith": "/signup/"}, page={"cs-uri-query|endswith": "=0"}),
 ]
 
 

@@ -66,15 +66,18 @@ def sessionize(
     key = _visitor_key(per_dataset=True)
     slotted = _with_slot(log, width)
     numbered = _number_slots(slotted, key, timeout, []).select(
-        *key, "_slot", "_previous", "session_id_num"
+        *[F.col(c).alias(f"_{c}") for c in key], F.col("_slot").alias("_number_slot"), "_previous", "session_id_num"
     )
+    same = F.col("_slot") == F.col("_number_slot")
+    for c in key:  # rows without a dataset or address are a visitor as well
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     inside = Window.partitionBy(*key, "_slot").orderBy("timestamp")
     previous = F.coalesce(
         F.lag("timestamp").over(inside), F.timestamp_micros("_previous")
     )
     gap = _micros() - _micros("prev_time")
     return (
-        slotted.join(numbered, [*key, "_slot"])
+        slotted.join(numbered, same)
         .withColumn("prev_time", previous)
         .withColumn(
             "is_new_session",

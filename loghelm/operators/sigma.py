@@ -10,6 +10,9 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,13 +76,25 @@ TEXT_TESTS = {
 }
 
 
+def _check_pattern(text: str) -> None:
+    """Fail on a pattern that the engine which runs it, Java's, doesn't take."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        re.compile(text)
+        return
+    try:
+        context._jvm.java.util.regex.Pattern.compile(text)
+    except (Py4JJavaError, PySparkException) as error:
+        raise RuleError(f"bad regular expression {text!r}: {error}") from None
+
+
 def _value_test(column: str, modifier: str, value) -> str:
     """One value of one field. Text compares without case; ``*`` and ``?`` are wildcards."""
     if value is None:
         return f"{column} IS NULL"
     text = str(value)
     if modifier == "re":
-        re.compile(text)
+        _check_pattern(text)
         test = f"rlike({column}, {quoted(text)})"
     elif modifier == "cidr":
         test = network_sql(column, text)
@@ -198,6 +213,7 @@ def compile_rule(rule: dict) -> RowRule:
         condition=test,
         source=json.dumps(rule, default=str),
         status=rule.get("status", "experimental"),
+        filename=rule.get("filename"),
     )
 
 
@@ -254,6 +270,18 @@ def sigma_findings(log: DataFrame, pack: RulePack, filters: Filters | None = Non
     return match_rows(log, pack.rules, filters)
 
 
+def with_rule_text(findings: DataFrame, rules: list[RowRule]) -> DataFrame:
+    """``findings`` with ``rule_source``, ``status`` and ``filename`` of their rules; NULL for others.
+
+    The texts are joined from a table with one row per rule, so findings are shuffled without them.
+    """
+    rows = [(r.rule_id, r.source, r.status, r.filename) for r in rules]
+    schema = "rule_id string, rule_source string, status string, filename string"
+    about = findings.sparkSession.createDataFrame(rows, schema)
+    # As many rows as the pack has rules, which the driver holds anyway.
+    return findings.join(F.broadcast(about), "rule_id", "left")
+
+
 def sigma_by_rule(log: DataFrame, pack: RulePack, filters: Filters | None = None) -> DataFrame:
     return (
         sigma_findings(log, pack, filters)

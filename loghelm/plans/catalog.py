@@ -13,7 +13,7 @@ from loghelm.operators import parse as p
 from loghelm.operators.detect_format import detect_formats, sample_lines
 from loghelm.operators.filters import Filters, apply_filters
 from loghelm.operators.rule_pack import default_pack
-from loghelm.operators.sigma import compile_pack, sigma_by_rule, sigma_findings
+from loghelm.operators.sigma import compile_pack, sigma_by_rule, sigma_findings, with_rule_text
 from loghelm.schema import DATASET_SCHEMA, conform
 from loghelm.session import prepare_session, scratch_dir
 from loghelm.sources.access_view import read_access_log, request_rows, with_classes
@@ -117,6 +117,17 @@ def _detect_sample(log: DataFrame) -> DataFrame:
     return detect_formats(sample_lines(_labelled_lines(log), "file", "position"), "file")
 
 
+def _parse_separators(log: DataFrame) -> DataFrame:
+    """Lines whose agent and tail hold U+0085, U+2028 and U+2029."""
+    lines = render(log, "apache_access").select(
+        F.concat(F.replace("value", F.lit("/"), F.lit("/")), F.lit(" \u2028tail\u0085\u2029")).alias("value")
+    )
+    lines = lines.select(F.replace("value", F.lit("Mozilla"), F.lit("Moz\u2028illa")).alias("value"))
+    return p.parse_lines(lines, "apache_access").where("parsed").groupBy("status_code").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.contains("user_agent", F.lit("\u2028"))).alias("agents"), F.sum("bytes_sent").alias("bytes")
+    )
+
+
 def _detect_whole(log: DataFrame) -> DataFrame:
     return detect_formats(_labelled_lines(log), "file")
 
@@ -139,24 +150,44 @@ def _src_text(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _ingest_summary(spark: SparkSession, directory: str) -> DataFrame:
+def _ingested(spark: SparkSession, directory: str) -> LogStore:
+    """A store with a file per dataset, each with some lines at its end that no format takes."""
     log, folder = read_access_log(spark, directory), scratch_dir(spark, "ingest")
     for upload_id, name in DATASET_FORMATS.items():
-        rows = render(log.where(F.col("upload_id") == upload_id), name).select("value")
-        rows.write.text(f"{folder}/raw/{name}")
+        mine = log.where(F.col("upload_id") == upload_id)
+        rows = render(mine, name).select("value").unionByName(_bad_lines(mine))
+        rows.coalesce(1).write.text(f"{folder}/raw/{name}")
     store = LogStore(spark, f"{folder}/store")
     store.ingest_folder(f"{folder}/raw", AS_OF)
+    return store
+
+
+def _bad_lines(log: DataFrame) -> DataFrame:
+    return log.where(F.col("bytes_sent") % 7 == 0).select(
+        F.concat(F.lit("?? "), "ip", F.lit(" "), F.col("bytes_sent").cast("string")).alias("value")
+    )
+
+
+def _ingest_summary(spark: SparkSession, directory: str) -> DataFrame:
+    store = _ingested(spark, directory)
     facts = store.log().groupBy("upload_id").agg(
         F.count_if(F.col("status_code") == 200).alias("ok"), F.sum("bytes_sent").alias("bytes"),
         F.count("response_time_ms").alias("timed"),
     )
     data_files = store.datasets().where(F.col("total_entries") > 0)
     return data_files.join(facts, F.col("id") == F.col("upload_id")).groupBy("format").agg(
-        F.sum("total_entries").alias("entries"), F.min("confidence").alias("confidence"),
+        F.sum("parsed_lines").alias("parsed_lines"), F.sum("rejected_lines").alias("rejected_lines"),
+        F.min("confidence").alias("confidence"),
         F.sum("ok").alias("ok"), F.sum("bytes").alias("bytes"), F.sum("timed").alias("timed"),
     )
 
 
+def _ingest_rejects(spark: SparkSession, directory: str) -> DataFrame:
+    store = _ingested(spark, directory)
+    formats = store.datasets().select(F.col("id").alias("upload_id"), "format")
+    return store.rejects().join(formats, "upload_id").select("format", "line")
+
+
 def _document_files(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """Documents as files, and as registry the content of two sources."""
     documents = _table(spark, directory, "documents").select(
@@ -252,6 +283,14 @@ SOME_FILTERS = {
 }
 
 
+def _sessions_null_keys(log: DataFrame) -> DataFrame:
+    """Sessions where every third address and every fifth status belong to no dataset or no address."""
+    blank = log.withColumn("upload_id", F.when(F.col("bytes_sent") % 3 != 0, F.col("upload_id"))).withColumn(
+        "ip", F.when(F.col("bytes_sent") % 5 != 0, F.col("ip"))
+    )
+    return sessions.sessionize(blank).select("upload_id", "ip", "timestamp", "ua_fixed", "is_new_session", "session_id_num")
+
+
 # --- detection ------------------------------------------------------------------------
 
 
@@ -263,6 +302,26 @@ def _row_query(rule: Callable[[], detectors.RowRule]) -> Query:
     return _log_query(lambda log: detectors.match_rows(log, [rule()]))
 
 
+def _sigma_findings(log: DataFrame) -> DataFrame:
+    pack = default_pack()
+    return with_rule_text(sigma_findings(log, pack), pack.rules)
+
+
+NETWORK_RULE = {
+    "id": "v6", "title": "IPv6 networks", "level": "low",
+    "detection": {"near": {"src_ip|cidr": ["fd00:10::/27", "2001:db8:0:40::/58"]}, "condition": "near"},
+}
+
+
+def _sigma_cidr6(log: DataFrame) -> DataFrame:
+    """The log with its IPv4 addresses written as IPv6 ones, short and long in turn."""
+    octets = F.split("ip", r"\.")
+    short = F.concat(F.lit("fd00:"), F.lower(F.hex(octets[3].cast("int"))), F.lit("::1"))
+    long = F.concat(F.lit("2001:0DB8:0000:"), F.lpad(F.hex(octets[3].cast("int")), 4, "0"), F.lit(":0:0:0:"), octets[2])
+    v6 = F.when(octets[3].cast("int") % 2 == 0, short).otherwise(long)
+    return sigma_findings(log.withColumn("ip", v6), compile_pack([NETWORK_RULE]))
+
+
 SELECTION_RULE = {
     "id": "selection", "title": "Selection", "level": "low",
     "detection": {
@@ -334,6 +393,19 @@ def _stream_ingest(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/log").select(*ENTRY_COLUMNS)
 
 
+def _stream_rejects(spark: SparkSession, directory: str) -> DataFrame:
+    folder = scratch_dir(spark, "stream-rejects")
+    log = read_access_log(spark, directory)
+    render(log, "clf").select("value").unionByName(_bad_lines(log)).write.text(f"{folder}/raw")
+    jobs.write_log_and_rejects(
+        jobs.read_line_stream(spark, f"{folder}/raw"), "clf", 7, AS_OF, f"{folder}/log", f"{folder}/rejected",
+        f"{folder}/checkpoint", available_now=True,
+    ).awaitTermination()
+    stored = spark.read.parquet(f"{folder}/log").select(F.lit("entries").alias("kind"), F.lit("").alias("line"))
+    rejected = spark.read.parquet(f"{folder}/rejected").select(F.lit("rejected").alias("kind"), "line")
+    return stored.unionByName(rejected).groupBy("kind", "line").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _stream_traffic(spark: SparkSession, directory: str) -> DataFrame:
     windows = jobs.traffic_windows(_log_stream(spark, directory))
     latest = _updated(spark, windows, ["window_start"], "stream-traffic")
@@ -362,7 +434,7 @@ def _stream_findings(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _stream_ip_risk(spark: SparkSession, directory: str) -> DataFrame:
-    found = jobs.row_findings(_log_stream(spark, directory))
+    found = jobs.row_findings(_log_stream(spark, directory), default_pack().rules)
     return _updated(spark, jobs.running_risk(found), ["ip"], "stream-risk")
 
 
@@ -421,6 +493,7 @@ QUERIES: dict[str, Query] = {
             "is_new_session", "session_id_num", "session_id",
         )
     ),
+    "sessions_null_keys": _log_query(_sessions_null_keys),
     "sessions_timeout": _log_query(lambda log: sessions.numbered_sessions(log, LONG_TIMEOUT)),
     "session_metrics": _log_query(lambda log: sessions.session_metrics(log, LONG_TIMEOUT)),
     "session_summary": _log_query(sessions.session_summary),
@@ -444,18 +517,19 @@ QUERIES: dict[str, Query] = {
     "det_path_traversal": _row_query(detectors.path_traversal_rule),
     "findings": _log_query(_findings),
     "ip_risk": _log_query(lambda log: risk.ip_risk(_findings(log))),
-    "ip_findings": _log_query(lambda log: risk.ip_findings(detectors.all_findings(log))),
+    "ip_findings": _log_query(lambda log: risk.ip_findings(_findings(log))),
     "security_overview": _log_query(lambda log: risk.security_overview(_findings(log))),
     "severity_dist": _log_query(lambda log: risk.severity_distribution(_findings(log))),
     "attack_categories": _log_query(lambda log: risk.attack_categories(_findings(log))),
-    "risk_dist": _log_query(lambda log: risk.risk_distribution(detectors.counted_findings(log))),
+    "risk_dist": _log_query(lambda log: risk.risk_distribution(_findings(log))),
     "attack_trends": _log_query(
-        lambda log: risk.attack_trends(log, detectors.counted_findings(log))
+        lambda log: risk.attack_trends(log, _findings(log))
     ),
     "sigma_selection": _pack_query([SELECTION_RULE]),
     "sigma_keywords": _pack_query([KEYWORD_RULE]),
     "sigma_condition": _pack_query(CONDITION_RULES),
-    "sigma_findings": _log_query(lambda log: sigma_findings(log, default_pack())),
+    "sigma_findings": _log_query(_sigma_findings),
+    "sigma_cidr6": _log_query(_sigma_cidr6),
     "sigma_by_rule": _log_query(lambda log: sigma_by_rule(log, default_pack())),
     "parse_combined": _round_trip("apache_access"),
     "parse_nginx": _round_trip("nginx_access"),
@@ -466,6 +540,7 @@ QUERIES: dict[str, Query] = {
     "parse_iis": _round_trip("iis_w3c"),
     "parse_json": _round_trip("json"),
     "parse_infer": _round_trip("text", p.UNKNOWN_FORMAT),
+    "parse_separators": _log_query(_parse_separators),
     "parse_stats": _log_query(_parse_stats),
     "quarantine": _log_query(_quarantine),
     "detect_format": _log_query(_detect_sample),
@@ -475,11 +550,13 @@ QUERIES: dict[str, Query] = {
     "bot_class": _query(_bot_class),
     "src_text": _query(_src_text),
     "ingest_summary": _query(_ingest_summary),
+    "ingest_rejects": _query(_ingest_rejects),
     "folder_scan": _query(_folder_scan),
     "dedup_files": _query(_dedup_files),
     "datasets_inventory": _log_query(_datasets_inventory),
     "dataset_delete": _query(_dataset_delete),
     "stream_ingest": _query(_stream_ingest),
+    "stream_rejects": _query(_stream_rejects),
     "stream_traffic": _query(_stream_traffic),
     "stream_sliding": _query(_stream_sliding),
     "stream_sessions": _query(_stream_sessions),

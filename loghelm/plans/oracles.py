@@ -1,9 +1,12 @@
 """The same queries as SQL for a second engine, to check results against."""
 
+import json
+
 from loghelm.functions.agents import BOT_WORDS
 from loghelm.operators.detectors import (
     COMMAND_PATTERNS, REQUEST_FIELDS, SCANNER_NAMES, SQLI_PATTERNS, TRAVERSAL_PATTERNS, XSS_PATTERNS,
 )
+from loghelm.operators.rule_pack import DEFAULT_RULES
 from loghelm.sources.access_view import AGENTS
 
 AS_OF = "2024-01-25"
@@ -203,42 +206,32 @@ IP_NUMBER = (
     "(CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 "
     "+ CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT))"
 )
-# The rules that can hold on the log view (the others look for text it cannot contain).
+SCRIPT = "regexp_matches(lower(coalesce(user_agent, '')), '^({})')"
+# The rule pack, each rule written out by hand.
 RULES = [
-    ("lh-sqli", "SQL injection text", "critical", _path_or_query(["union select", "or 1=1", "information_schema"])),
-    ("lh-sqli-get", "SQL text in an answered GET", "high",
-     "method = 'GET' AND status_code <> 404 AND "
-     + _words(["union all select", "union select", "group_concat(", "select database()", "@@version"])),
-    ("lh-xss-get", "Script text in an answered GET", "high",
-     "method = 'GET' AND status_code <> 404 AND "
-     + _words(["=<script>", "<iframe ", "<svg ", "document.cookie", "onmouseover=", "javascript:alert"])),
-    ("lh-traversal", "Path traversal", "high", _path_or_query(["../", "%2e%2e%2f"])),
-    ("lh-encoded-traversal", "Doubly encoded traversal", "high", _path_or_query(["%252e%252e%252f", "%c0%af", "%c1%9c"])),
-    ("lh-file-inclusion", "System file named in a request", "high",
-     _path_or_query(["etc/passwd", "windows/win.ini", "boot.ini", "file://", "php://filter", "php://input"])),
-    ("lh-command", "Shell command in a request", "critical",
-     _path_or_query(["/bin/sh", "/bin/bash", "cmd.exe", "powershell.exe", "wget ", "curl ", "nc -e"])),
-    ("lh-template", "Template expression in a request", "medium", _path_or_query(["${", "{{", "}}", "<%", "%>"])),
-    ("lh-xxe", "External entity", "high", _path_or_query(["<!entity", 'system "file://'])),
-    ("lh-admin", "Administration page", "low",
-     "regexp_matches(lower(url), '^(/admin|/administrator|/wp-admin|/cpanel|/manager/html)')"),
-    ("lh-sensitive-file", "Sensitive file", "medium",
-     _words([".env", "robots.txt", "backup.sql", "config.php.bak", ".htpasswd", "web.config", ".git/"])),
-    ("lh-server-probe", "Server status probe", "low", _any("url", ["/server-status", "/cgi-bin/test-cgi", "/.htaccess"])),
-    ("lh-scanner-agent", "Scanner user agent", "medium",
-     _any("user_agent", ["sqlmap", "nikto", "nmap", "masscan", "gobuster", "wfuzz"])),
-    ("lh-script-agent", "Command-line client posting", "low",
-     "method = 'POST' AND regexp_matches(lower(coalesce(user_agent, '')), '^(curl/|wget/|python-requests/)')"),
-    ("lh-empty-agent", "No user agent", "low", "user_agent IS NULL"),
-    ("lh-shell-query", "Tunnel shell query", "high",
-     "user_agent IS NULL AND method = 'POST' AND " + _any("query_string", ["cmd=read", "cmd=connect", "cmd=forward"])),
-    ("lh-version-check", "Update check with version and language", "low",
-     _any("url", ["/checkupdate"]) + " AND " + _any("query_string", ["lng="]) + " AND " + _any("query_string", ["ver="])),
-    ("lh-email-path", "Mail address at the end of a path", "low", "regexp_matches(url, '[a-zA-Z0-9_.-]+@[a-zA-Z0-9_-]+\\.[a-zA-Z0-9_]+$')"),
-    ("lh-old-client", "Legacy browser pattern", "low",
-     "starts_with(lower(coalesce(user_agent, '')), 'mozilla/4.0 (compatible; msie ') OR " + _any("user_agent", ["win32"])),
-    ("lh-internal-post", "Failed POST from a private network", "medium",
-     f"method = 'POST' AND status_code IN (401, 403, 500) AND {IP_NUMBER} BETWEEN 167772160 AND 184549375"),
+    ("lh-refused-login", "Refused sign-in", "low",
+     "lower(url) IN ('/login', '/session/new') AND status_code IN (401, 403) AND user_agent IS NOT NULL"),
+    ("lh-staff-area", "Staff area visited from a script", "medium",
+     "regexp_matches(lower(url), '^/(admin|internal)') AND " + SCRIPT.format("curl/|go-http-client/|sqlmap/")),
+    ("lh-settings-file", "Settings file asked for", "high", r"regexp_matches(lower(url), '/(\.env|settings\.py|application\.yml)$')"),
+    ("lh-dump", "Archive or dump asked for", "medium", r"regexp_matches(lower(url), '\.(sql|bak|tgz|env)$')"),
+    ("lh-parent-folder", "Path climbs to a parent folder", "high", "contains(url, '/../')"),
+    ("lh-two-tables", "Query joins a second table", "critical",
+     "coalesce(query_string ILIKE '%union%' AND query_string ILIKE '%password%', FALSE)"),
+    ("lh-chained-command", "Command chained to a value", "critical", "coalesce(regexp_matches(query_string, '=[^&]*[;|]\\s*[a-z]+ /'), FALSE)"),
+    ("lh-office-errors", "Server error or redirect seen from an office network", "low",
+     f"{IP_NUMBER} BETWEEN 167772160 AND 167772223 AND status_code IN (302, 500)"),
+    ("lh-silent-change", "Change without a user agent", "medium", "user_agent IS NULL AND method NOT IN ('GET', 'HEAD', 'OPTIONS')"),
+    ("lh-crawler-version", "Crawler of the second generation", "informational",
+     r"regexp_matches(lower(coalesce(user_agent, '')), '(bot|spider)/2\..;')"),
+    ("lh-markup", "Markup in a request", "high", _words(["<script", "<svg/onload", "%3cobject"])),
+    ("lh-account-file", "Account file named", "high", "coalesce(query_string ILIKE '%cat /%/passwd%', FALSE)"),
+    ("lh-watchers", "Monitor or scanner", "low",
+     _any("user_agent", ["pingdom"]) + " OR (method = 'GET' AND " + _any("user_agent", ["sqlmap"]) + ")"),
+    ("lh-odd-sale", "Sale that failed or came without a browser", "medium",
+     "method = 'POST' AND contains(url, '/purchase/') AND (status_code IN (500, 503) OR " + SCRIPT.format("curl|sqlmap") + ")"),
+    ("lh-first-page", "First page of a signup", "informational",
+     "starts_with(url, '/signup/') AND coalesce(ends_with(query_string, '=0'), FALSE)"),
 ]
 
 
@@ -266,9 +259,11 @@ CONDITIONS = [
 NATIVE_ROWS = " UNION ALL ".join([SQLI, XSS, COMMAND, TRAVERSAL])
 COUNTED = " UNION ALL ".join([BRUTE, ENUMERATION, SCANNER])
 SIGMA = _sigma(RULES)
+ABOUT = ", ".join("({})".format(", ".join(
+    "'" + text.replace("'", "''") + "'" for text in (rule["id"], json.dumps(rule), rule["status"]))) for rule in DEFAULT_RULES)
+RULE_TEXT = f"""SELECT f.*, a.rule_source, a.status, NULL AS filename FROM ({SIGMA}) f
+ JOIN (VALUES {ABOUT}) a(rule_id, rule_source, status) ON f.rule_id = a.rule_id"""
 ALL = f"found AS ({COUNTED} UNION ALL {NATIVE_ROWS} UNION ALL {SIGMA})"
-NATIVE = f"found AS ({COUNTED} UNION ALL {NATIVE_ROWS})"
-ONLY_COUNTED = f"found AS ({COUNTED})"
 POINTS = "CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 25 WHEN 'medium' THEN 10 ELSE 5 END"
 RISK = f"""risk AS (SELECT *, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 50 THEN 'high'
  WHEN risk_score >= 20 THEN 'medium' ELSE 'low' END AS severity FROM (
@@ -315,6 +310,9 @@ DOCUMENT_FILES = """files AS (SELECT concat('doc-', lpad(CAST(doc_id AS VARCHAR)
  taken AS (SELECT min(path) AS path, any_value(length) AS length, checksum FROM files
  WHERE checksum NOT IN (SELECT checksum FROM files WHERE source IN ('src0', 'src1')) GROUP BY checksum)"""
 
+INGESTED = "CASE upload_id WHEN 1 THEN 'apache_access' WHEN 2 THEN 'nginx_access' ELSE 'iis_w3c' END"
+BAD_LINE = "concat('?? ', ip, ' ', CAST(bytes_sent AS VARCHAR))"
+
 ORACLES: dict[str, str] = {
     "traffic_minute": _over_time("minute"),
     "traffic_hour": _over_time("hour"),
@@ -419,6 +417,11 @@ ORACLES: dict[str, str] = {
         FROM visits""",
         _session_ctes(1800),
     ),
+    "sessions_null_keys": _sql(
+        "upload_id:l ip:s timestamp:t ua_fixed:s is_new_session:l session_id_num:l", "SELECT * FROM visits",
+        "blank AS (SELECT * REPLACE (CASE WHEN bytes_sent % 3 <> 0 THEN upload_id END AS upload_id, "
+        "CASE WHEN bytes_sent % 5 <> 0 THEN ip END AS ip) FROM log), " + _session_ctes(1800).replace("FROM log)", "FROM blank)"),
+    ),
     "sessions_timeout": _sql(
         "session_id:s ip:s user_agent:s start_time:t end_time:t pages:l duration_sec:d entry_url:s exit_url:s",
         """SELECT concat('s_', row_number() OVER (ORDER BY started, ip, ua_fixed, session_id_num)) AS session_id, ip,
@@ -468,7 +471,7 @@ ORACLES: dict[str, str] = {
     "ip_findings": _sql(
         FINDING + " risk_score:l risk_class:s",
         """SELECT found.*, risk_score, risk.severity AS risk_class FROM found JOIN risk ON found.ip = risk.ip""",
-        f"{NATIVE}, {RISK}",
+        f"{ALL}, {RISK}",
     ),
     "security_overview": _sql(
         "total_attacks:l suspicious_ips_count:l critical_risk_ips:l high_risk_ips:l medium_risk_ips:l low_risk_ips:l",
@@ -480,18 +483,25 @@ ORACLES: dict[str, str] = {
     "severity_dist": _sql("name:s value:l", "SELECT severity AS name, count(*) AS value FROM found GROUP BY 1", ALL),
     "attack_categories": _sql("name:s value:l", "SELECT rule_title AS name, count(*) AS value FROM found GROUP BY 1", ALL),
     "risk_dist": _sql(
-        "name:s value:l", "SELECT severity AS name, count(*) AS value FROM risk GROUP BY 1", f"{ONLY_COUNTED}, {RISK}"
+        "name:s value:l", "SELECT severity AS name, count(*) AS value FROM risk GROUP BY 1", f"{ALL}, {RISK}"
     ),
     "attack_trends": _sql(
         "timestamp:t attacks:l",
         """SELECT date_trunc('hour', timestamp) AS timestamp, count(*) AS attacks FROM log
         WHERE ip IN (SELECT ip FROM found) GROUP BY 1""",
-        ONLY_COUNTED,
+        ALL,
     ),
     "sigma_selection": _sql(FINDING, _sigma(SELECTION)),
     "sigma_keywords": _sql(FINDING, _sigma(KEYWORDS)),
     "sigma_condition": _sql(FINDING, _sigma(CONDITIONS)),
-    "sigma_findings": _sql(FINDING, SIGMA),
+    "sigma_cidr6": _sql(
+        FINDING,
+        f"""SELECT * REPLACE (CASE WHEN n % 2 = 0 THEN concat('fd00:', lower(to_hex(n)), '::1')
+        ELSE concat('2001:0DB8:0000:', lpad(to_hex(n), 4, '0'), ':0:0:0:', split_part(ip, '.', 3)) END AS ip)
+        FROM (SELECT *, CAST(split_part(ip, '.', 4) AS BIGINT) AS n FROM ({_sigma([("v6", "IPv6 networks", "low", "TRUE")])}) f) g
+        WHERE CASE WHEN n % 2 = 0 THEN n BETWEEN 0 AND 31 ELSE n BETWEEN 64 AND 127 END""",
+    ),
+    "sigma_findings": _sql(FINDING + " rule_source:s status:s filename:v", RULE_TEXT),
     "sigma_by_rule": _sql(
         "rule_id:s rule_title:s severity:s matches:l ips:l",
         """SELECT rule_id, rule_title, severity, count(*) AS matches, count(DISTINCT ip) AS ips FROM found GROUP BY 1, 2, 3""",
@@ -523,6 +533,11 @@ ORACLES: dict[str, str] = {
         response_time_ms="response_time_ms", protocol="CAST(NULL AS VARCHAR)", user_agent=FREE_AGENT,
         bot_classification=_bot(f"({FREE_AGENT})"),
     ),
+    "parse_separators": _sql(
+        "status_code:l lines:l agents:l bytes:l",
+        """SELECT status_code, count(*) AS lines, count(*) FILTER (contains(user_agent, 'Mozilla')) AS agents,
+        sum(bytes_sent) AS bytes FROM log GROUP BY 1""",
+    ),
     "parse_stats": _sql(
         "upload_id:l lines:l parsed_lines:l rejected_lines:l",
         """SELECT upload_id, count(*) AS lines, count(*) FILTER (upload_id <> 3) AS parsed_lines,
@@ -547,12 +562,19 @@ ORACLES: dict[str, str] = {
         sum(bytes_sent) AS bytes FROM log GROUP BY 1""",
     ),
     "ingest_summary": _sql(
-        "format:s entries:l confidence:d ok:l bytes:l timed:l",
-        """SELECT CASE upload_id WHEN 1 THEN 'apache_access' WHEN 2 THEN 'nginx_access' ELSE 'iis_w3c' END AS format,
-        count(*) AS entries, 1.0 AS confidence, count(*) FILTER (status_code = 200) AS ok,
+        "format:s parsed_lines:l rejected_lines:l confidence:d ok:l bytes:l timed:l",
+        f"""SELECT {INGESTED} AS format,
+        count(*) AS parsed_lines, count(*) FILTER (bytes_sent % 7 = 0) AS rejected_lines, 1.0 AS confidence,
+        count(*) FILTER (status_code = 200) AS ok,
         CASE WHEN upload_id = 3 THEN 0 ELSE sum(bytes_sent) END AS bytes,
         CASE WHEN upload_id = 3 THEN count(*) ELSE count(response_time_ms) END AS timed FROM log GROUP BY upload_id""",
     ),
+    "ingest_rejects": _sql("format:s line:s", f"SELECT {INGESTED} AS format, {BAD_LINE} AS line FROM log WHERE bytes_sent % 7 = 0"),
+    "stream_rejects": _sql(
+        "kind:s line:s lines:l",
+        f"""SELECT kind, line, count(*) AS lines FROM (SELECT 'entries' AS kind, '' AS line FROM log
+        UNION ALL SELECT 'rejected', {BAD_LINE} FROM log WHERE bytes_sent % 7 = 0) k GROUP BY 1, 2""",
+    ),
     "folder_scan": f"""WITH {DOCUMENT_FILES} SELECT CAST(count(*) AS BIGINT) AS files_discovered,
         CAST((SELECT count(*) FROM taken) AS BIGINT) AS files_imported,
         CAST(count(*) - (SELECT count(*) FROM taken) AS BIGINT) AS files_skipped FROM files""",
@@ -598,7 +620,7 @@ ORACLES: dict[str, str] = {
     ),
     "stream_findings": _sql(FINDING, f"{NATIVE_ROWS} UNION ALL {SIGMA}"),
     "stream_ip_risk": _sql(
-        "ip:s score:l risk_score:l severity:s findings:l", "SELECT * FROM risk", f"found AS ({NATIVE_ROWS}), {RISK}"
+        "ip:s score:l risk_score:l severity:s findings:l", "SELECT * FROM risk", f"found AS ({NATIVE_ROWS} UNION ALL {SIGMA}), {RISK}"
     ),
     "stream_dedup": _sql(BASE, "SELECT * FROM log"),
 }

@@ -37,6 +37,15 @@ DATASET_SCHEMA = T.StructType([
     T.StructField("file_size", T.LongType()),
     T.StructField("checksum", T.StringType()),
     T.StructField("last_modified", T.TimestampType()),
+    T.StructField("parsed_lines", T.LongType()),
+    T.StructField("rejected_lines", T.LongType()),
+])
+
+# Lines that their file's format does not take, as they came.
+REJECT_SCHEMA = T.StructType([
+    T.StructField("upload_id", T.LongType(), False),
+    T.StructField("path", T.StringType()),
+    T.StructField("line", T.StringType()),
 ])
 
 FINDING_COLUMNS = [

@@ -48,9 +48,12 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new path under the cluster's shared checkpoint folder.
 
-    Only where the session names no such folder (local tests) is a temporary one used.
+    A session in local mode that names no such folder gets a temporary one. On a cluster that
+    would be a different disk for each executor, so there the folder has to be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="loghelm-")
     return f"{base.rstrip('/')}/loghelm/{purpose}-{uuid.uuid4().hex}"

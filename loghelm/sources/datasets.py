@@ -9,15 +9,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import batched
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loghelm.functions.urls import percent_decode
 from loghelm.operators.detect_format import detect_formats, sample_lines
-from loghelm.operators.parse import entries, parse
-from loghelm.schema import DATASET_SCHEMA, LOG_SCHEMA, conform
-from loghelm.sources.lines import checksums, file_heads, plain_path, read_lines
+from loghelm.operators.parse import entries, parse, parse_stats
+from loghelm.schema import DATASET_SCHEMA, LOG_SCHEMA, REJECT_SCHEMA, conform
+from loghelm.session import scratch_dir
+from loghelm.sources.lines import checksums, empty_files, file_heads, plain_path, read_lines
 
 FILES_PER_BATCH = 10_000  # bounds the file list that one job carries
 REGISTRY_SCHEMA = T.StructType(DATASET_SCHEMA.fields + [T.StructField("deleted", T.BooleanType())])
@@ -38,6 +40,10 @@ class LogStore:
     def registry_path(self) -> str:
         return f"{self.root}/datasets"
 
+    @property
+    def rejects_path(self) -> str:
+        return f"{self.root}/rejected"
+
     def append(self, rows: DataFrame) -> None:
         """Add log rows. Sorted by time inside files, so Parquet statistics prune on it."""
         (
@@ -47,10 +53,12 @@ class LogStore:
 
     def replace_datasets(self, rows: DataFrame) -> None:
         """Write the datasets in ``rows``, each replacing what it held before."""
+        self._replace(conform(rows).sortWithinPartitions("upload_id", "timestamp"), self.entries_path)
+
+    def _replace(self, rows: DataFrame, path: str) -> None:
         (
-            conform(rows).sortWithinPartitions("upload_id", "timestamp")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("upload_id").parquet(self.entries_path)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("upload_id").parquet(path)
         )
 
     def _exists(self, path: str) -> bool:
@@ -62,6 +70,12 @@ class LogStore:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.entries_path)
 
+    def rejects(self) -> DataFrame:
+        """Rejected lines: dataset, file and line."""
+        if not self._exists(self.rejects_path):
+            return self.spark.createDataFrame([], REJECT_SCHEMA)
+        return self.spark.read.schema(REJECT_SCHEMA).parquet(self.rejects_path)
+
     def datasets(self) -> DataFrame:
         """Datasets that are not deleted, newest first."""
         return self._current().orderBy(F.col("uploaded_at").desc(), "id")
@@ -83,11 +97,12 @@ class LogStore:
     def delete(self, dataset_id: int) -> None:
         """Drop the partition of a dataset and mark it deleted."""
         self._drop(f"{self.entries_path}/upload_id={int(dataset_id)}")
+        self._drop(f"{self.rejects_path}/upload_id={int(dataset_id)}")
         self.register(self.dataset(dataset_id), deleted=True)
 
     def reset(self) -> None:
-        self._drop(self.entries_path)
-        self._drop(self.registry_path)
+        for path in (self.entries_path, self.rejects_path, self.registry_path):
+            self._drop(path)
 
     def _drop(self, path: str) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -106,10 +121,11 @@ class LogStore:
         """Import every new file below a folder and count what happened to the files.
 
         Returns one row: discovered, imported, skipped (known or repeated content) and
-        unsupported (nothing to detect a format from).
+        unsupported (nothing to detect a format from, empty files among them).
         """
-        found = checksums(self.spark, folder)
-        discovered = found.count()
+        empty = empty_files(self.spark, folder)
+        found = materialized(checksums(self.spark, folder), "file-list")
+        discovered = found.count() + empty
         new = files_to_import(found, self._current()).persist()
         try:
             attempted = new.count()
@@ -118,7 +134,7 @@ class LogStore:
             new.unpersist()
         row = Row(
             files_discovered=discovered, files_imported=imported,
-            files_skipped=discovered - attempted, files_unsupported=attempted - imported,
+            files_skipped=discovered - empty - attempted, files_unsupported=attempted - imported + empty,
             status="SUCCESS" if imported else "COMPLETED_NO_IMPORTS",
         )
         schema = "files_discovered long, files_imported long, files_skipped long, files_unsupported long, status string"
@@ -130,39 +146,64 @@ class LogStore:
         if format_name:
             formats = formats.withColumn("format", F.lit(format_name))
         planned = files.join(formats, "path").withColumn("upload_id", F.xxhash64("checksum"))
-        taken = self.spark.createDataFrame([], DATASET_SCHEMA)
+        planned = materialized(planned, "ingest-plan")
+        self._refuse_collisions(planned)
         for batch in _file_batches(planned):
-            taken = taken.unionByName(self._ingest_batch(batch, as_of))
-        return taken
-
-    def _ingest_batch(self, batch: list[Row], as_of: str) -> DataFrame:
+            self._ingest_batch(batch, as_of)
+        return self._current().join(planned.select(F.col("upload_id").alias("id")), "id", "left_semi")
+
+    def _refuse_collisions(self, planned: DataFrame) -> None:
+        """Raise when two contents have one id: the second would replace the first."""
+        known = self._current().select(F.col("id").alias("upload_id"), "checksum")
+        both = planned.select("upload_id", "checksum").unionByName(known)
+        clash = both.groupBy("upload_id").agg(F.count_distinct("checksum").alias("n")).where("n > 1").first()
+        if clash:
+            raise ValueError(f"two files with different content have the dataset id {clash.upload_id}")
+
+    def _ingest_batch(self, batch: list[Row], as_of: str) -> None:
+        """Parse the files once; store their entries, their rejected lines, and what was counted."""
         # At most FILES_PER_BATCH rows, so broadcasting them is bounded.
         known = self.spark.createDataFrame(
             batch,
             "path string, length long, modificationTime timestamp, checksum string, "
             "format string, confidence double, upload_id long",
         )
-        parsed = None
+        flagged = None
         for name in sorted({row.format for row in batch}):
             paths = [plain_path(row.path) for row in batch if row.format == name]
-            lines = read_lines(self.spark, paths)
-            rows = entries(parse(lines, name, as_of))
-            parsed = rows if parsed is None else parsed.unionByName(rows)
+            rows = parse(read_lines(self.spark, paths), name, as_of)
+            flagged = rows if flagged is None else flagged.unionByName(rows)
         ids = F.broadcast(known.select("path", "upload_id"))
-        self.replace_datasets(parsed.join(ids, "path"))
-        stored = self.log().where(F.col("upload_id").isin([row.upload_id for row in batch]))
-        totals = stored.groupBy("upload_id").agg(F.count(F.lit(1)).alias("total_entries"))
-        registry = known.join(totals, "upload_id", "left").select(
+        flagged = flagged.join(ids, "path").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.replace_datasets(entries(flagged))
+            rejected = flagged.where(~F.col("parsed")).select("upload_id", "path", F.col("value").alias("line"))
+            self._replace(conform(rejected, REJECT_SCHEMA), self.rejects_path)
+            self._register_files(known, parse_stats(flagged, ["upload_id"]))
+        finally:
+            flagged.unpersist()
+
+    def _register_files(self, known: DataFrame, stats: DataFrame) -> None:
+        none = F.lit(0).cast("bigint")
+        registry = known.join(stats, "upload_id", "left").select(
             F.col("upload_id").alias("id"),
             percent_decode(F.element_at(F.split("path", "/"), -1)).alias("filename"),
-            "format", F.coalesce("total_entries", F.lit(0).cast("bigint")).alias("total_entries"),
+            "format", F.coalesce("parsed_lines", none).alias("total_entries"),
             F.col("format").alias("parser_used"), "confidence",
             percent_decode(F.col("path")).alias("original_path"),
             F.col("length").alias("file_size"), "checksum",
             F.col("modificationTime").alias("last_modified"),
+            F.coalesce("parsed_lines", none).alias("parsed_lines"),
+            F.coalesce("rejected_lines", none).alias("rejected_lines"),
         )
         self.register(registry)
-        return self._current().join(F.broadcast(known.select(F.col("upload_id").alias("id"))), "id", "left_semi")
+
+
+def materialized(frame: DataFrame, purpose: str) -> DataFrame:
+    """A frame written to the shared scratch folder and read back, so it is computed once."""
+    path = scratch_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def _file_batches(planned: DataFrame) -> Iterator[list[Row]]:

@@ -1,5 +1,7 @@
 """Reading raw log files as lines."""
 
+import hashlib
+import re
 from urllib.parse import unquote
 
 import pandas as pd
@@ -7,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEAD_BYTES = 8192  # fixed value: how much of a file format detection looks at
+CHUNK_BYTES = 1 << 20
 
 
 def plain_path(uri: str) -> str:
@@ -15,9 +18,14 @@ def plain_path(uri: str) -> str:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """``value, path`` for plain, ``.gz`` and ``.bz2`` files. A missing path raises."""
+    """``value, path`` for plain, ``.gz`` and ``.bz2`` files. A missing path raises.
+
+    Bytes that are no UTF-8 are left out of a line (and with them replacement characters, in such lines only).
+    """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    return reader.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    clean = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    value = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(clean)
+    return reader.text(paths).select(value.alias("value"), F.col("_metadata.file_path").alias("path"))
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,51 +36,73 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, length, modificationTime`` of every file below a folder; reads no content.
 
-    Spark lists no empty files.
+    Spark lists no empty files; ``empty_files`` counts them.
     """
     return _files(spark, folder).select("path", "length", "modificationTime")
 
 
-def checksums(spark: SparkSession, folder: str, largest: int = 1 << 30) -> DataFrame:
+def empty_files(spark: SparkSession, folder: str) -> int:
+    """How many files below a folder hold nothing. Hidden ones (``_x``, ``.x``) don't count."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True)
+    empty = 0
+    while files.hasNext():
+        status = files.next()
+        if status.getLen() == 0 and status.getPath().getName()[0] not in "_.":
+            empty += 1
+    return empty
+
+
+def _opened(path: str, compression: str | None):
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner, compression=compression)
+
+
+def _digests(batches):
+    """SHA-256 of each file's bytes, read in chunks."""
+    for batch in batches:
+        sums = []
+        for path in batch["path"]:
+            digest = hashlib.sha256()
+            with _opened(path, None) as stream:
+                while chunk := stream.read(CHUNK_BYTES):
+                    digest.update(chunk)
+            sums.append(digest.hexdigest())
+        yield batch.assign(checksum=sums)
+
+
+def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """``path, length, modificationTime, checksum`` of every file below a folder.
 
-    Files up to ``largest`` bytes get their SHA-256. A longer one cannot be one value, so
-    its lines are folded in parallel into a fingerprint (length, line count and two sums
-    over line hashes) that no SHA-256 text can equal.
+    The checksum is the SHA-256 of the file's bytes at every size; a task holds one chunk.
     """
-    small = _files(spark, folder).where(F.col("length") <= largest).select(
-        "path", "length", "modificationTime", F.sha2("content", 256).alias("checksum")
-    )
-    long = list_files(spark, folder).where(F.col("length") > largest)
-    long_paths = [plain_path(row.path) for row in long.select("path").toLocalIterator()]
-    if not long_paths:
-        return small
-    digest = read_lines(spark, long_paths).groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("a"),
-        F.bit_xor(F.xxhash64(F.lit(1), "value")).alias("b"),
-    )
-    folded = long.join(digest, "path", "left").select(
-        "path", "length", "modificationTime",
-        F.concat_ws(":", F.lit("lines"), "length", "n", "a", "b").alias("checksum"),
+    return list_files(spark, folder).mapInPandas(
+        _digests, "path string, length long, modificationTime timestamp, checksum string"
     )
-    return small.unionByName(folded)
+
+
+def _head(stream) -> bytes:
+    """The first bytes and on to the end of the line that they cut."""
+    data = bytearray()
+    while chunk := stream.read(HEAD_BYTES):
+        data += chunk
+        if cut := re.search(rb"[\r\n]", data[HEAD_BYTES:] if len(data) > HEAD_BYTES else b""):
+            return bytes(data[: HEAD_BYTES + cut.start()])
+    return bytes(data)
 
 
 def _heads(batches):
     """Lines of the first bytes of each file, decompressed by file extension."""
-    from pyarrow import fs
-
     for batch in batches:
         rows = []
         for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(path)
-            with system.open_input_stream(inner, compression="detect") as stream:
-                data = stream.read(HEAD_BYTES)
-                more = stream.read(HEAD_BYTES) if len(data) == HEAD_BYTES else b""
-            # Finish the line that the byte limit cuts.
-            text = (data + more.split(b"\n", 1)[0]).decode("utf-8", errors="ignore")
-            rows += [(path, i, line) for i, line in enumerate(text.splitlines())]
+            with _opened(path, "detect") as stream:
+                text = _head(stream).decode("utf-8", errors="ignore")
+            # Where Spark ends a line, and nowhere else.
+            lines = re.split(r"\r\n|\n|\r", text)
+            rows += [(path, i, line) for i, line in enumerate(lines[:-1] if lines[-1] == "" else lines)]
         yield pd.DataFrame(rows, columns=["path", "position", "value"])
 
 

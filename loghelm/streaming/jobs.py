@@ -15,7 +15,7 @@ from loghelm.operators.detectors import (
 from loghelm.operators.parse import entries, parse
 from loghelm.operators.risk import MAX_SCORE, OTHER_POINTS, SEVERITY_POINTS, risk_class
 from loghelm.functions.text import contains_any
-from loghelm.schema import conform
+from loghelm.schema import REJECT_SCHEMA, conform
 
 WATERMARK = "10 minutes"
 
@@ -42,6 +42,26 @@ def write_log(rows: DataFrame, path: str, checkpoint: str, available_now: bool =
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def write_log_and_rejects(
+    lines: DataFrame, format_name: str, upload_id: int, as_of: str, log_path: str, rejects_path: str,
+    checkpoint: str, available_now: bool = False,
+) -> StreamingQuery:
+    """Ingest a stream of lines: entries to one table, rejected lines with their file to the other.
+
+    Both are written per batch into a folder of its own, so a repeated batch replaces itself.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        flagged = parse(batch, format_name, as_of).withColumn("upload_id", F.lit(upload_id)).persist()
+        conform(entries(flagged)).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+        rejected = flagged.where(~F.col("parsed")).withColumnRenamed("value", "line")
+        conform(rejected, REJECT_SCHEMA).write.mode("overwrite").parquet(f"{rejects_path}/batch={number}")
+        flagged.unpersist()
+
+    writer = lines.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def write_updates(
     result: DataFrame, path: str, checkpoint: str, mode: str = "update", available_now: bool = False
 ) -> StreamingQuery:

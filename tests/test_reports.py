@@ -12,61 +12,77 @@ from loghelm.operators.quantiles import exact_quantiles
 
 
 @pytest.fixture(scope="module")
-def six(make_log):
+def morning(make_log):
+    def at_time(clock, **values):
+        return dict(timestamp=at(f"2024-03-04 {clock}:00"), ip="5.5.5.1", **values)
+
     return make_log(
-        dict(timestamp=at("2023-01-01 12:00:00"), url="/home", bytes_sent=1024, response_time_ms=100.0),
-        dict(timestamp=at("2023-01-01 12:05:00"), url="/products/123", bytes_sent=2048, response_time_ms=250.0),
-        dict(timestamp=at("2023-01-01 12:10:00"), url="/checkout", bytes_sent=512, response_time_ms=500.0),
-        dict(timestamp=at("2023-01-01 12:01:00"), ip="10.0.0.1", url="/about", status_code=404, bytes_sent=256,
-             response_time_ms=50.0, user_agent="Googlebot/2.1"),
-        dict(timestamp=at("2023-01-01 14:00:00"), url="/home", bytes_sent=1024, response_time_ms=120.0),
-        dict(timestamp=at("2023-01-01 15:00:00"), ip="172.16.0.1", method="POST", url="/login", status_code=500,
-             bytes_sent=128, response_time_ms=1500.0, user_agent="curl/7.68.0"),
+        at_time("08:10", url="/start", bytes_sent=300, response_time_ms=20.0),
+        at_time("08:25", url="/item/77", bytes_sent=700, response_time_ms=40.0),
+        at_time("08:50", url="/start", bytes_sent=200, response_time_ms=60.0, user_agent="Pingdom/1") | dict(ip="5.5.5.2"),
+        at_time("09:40", url="/gone", bytes_sent=50, response_time_ms=80.0, status_code=404),
+        at_time("09:55", url="/order", bytes_sent=10, response_time_ms=1000.0, status_code=503, method="POST",
+                user_agent="Wget/1.21") | dict(ip="5.5.5.3"),
+        at_time("11:00", url="/start", bytes_sent=240, response_time_ms=100.0),
+        at_time("11:05", url="/item/78", bytes_sent=0, response_time_ms=120.0, status_code=302),
     )
 
 
-def test_traffic(six):
-    assert tuple(reports.traffic_summary(six).first()) == (6, 4, 3, 4992)
-    hours = reports.traffic_over_time(six, "hour").collect()
-    assert [r.total_requests for r in hours] == [4, 1, 1]
-    assert reports.traffic_over_time(six, "century").count() == 3
-    assert tuple(reports.traffic_summary(six, Filters(bot_classification="search_engine_bot")).first())[0] == 1
+def test_traffic(morning):
+    assert tuple(reports.traffic_summary(morning).first()) == (7, 4, 3, 1500)
+    hours = reports.traffic_over_time(morning, "hour").collect()
+    assert [r.total_requests for r in hours] == [3, 2, 2]
+    assert reports.traffic_over_time(morning, "century").count() == 3
+    assert tuple(reports.traffic_summary(morning, Filters(bot_classification="monitoring_bot")).first())[0] == 1
 
 
-def test_sessions_of_six(six):
-    row = sessions.session_summary(six).first()
-    assert (row.total_sessions, row.returning_visitors) == (4, 1)
-    assert "/home" in [r.url for r in sessions.entry_pages(six).collect()]
-    assert "/checkout" in [r.url for r in sessions.exit_pages(six).collect()]
-    assert {r.url: r.bounce_count for r in sessions.bounce_pages(six).collect()} == {"/about": 1, "/home": 1, "/login": 1}
+def test_sessions_of_a_morning(morning):
+    row = sessions.session_summary(morning).first()
+    assert (row.total_sessions, row.returning_visitors) == (5, 1)
+    assert {r.url: r["count"] for r in sessions.entry_pages(morning).collect()} == {"/start": 3, "/gone": 1, "/order": 1}
+    assert {"/item/77", "/item/78"} < {r.url for r in sessions.exit_pages(morning).collect()}
+    assert {r.url: r.bounce_count for r in sessions.bounce_pages(morning).collect()} == {"/gone": 1, "/start": 1, "/order": 1}
 
 
-def test_latency(six):
-    row = reports.latency_percentiles(six).first()
-    assert row.median_response_time == 185.0 and 500 < row.p99_response_time <= 1500
-    assert reports.latency_percentiles(six, approx=True).first().avg_response_time == 420.0
-    empty = reports.latency_percentiles(six.where("ip = 'none'")).first()
+def test_latency(morning):
+    row = reports.latency_percentiles(morning).first()
+    assert row.median_response_time == 80.0 and 120 < row.p99_response_time <= 1000
+    assert reports.latency_percentiles(morning, approx=True).first().avg_response_time == pytest.approx(1420 / 7)
+    empty = reports.latency_percentiles(morning.where("ip = 'none'")).first()
     assert set(empty) == {0.0}
 
 
-def test_status(six):
-    row = reports.status_rates(six).first()
-    assert [round(v, 2) for v in row] == [66.67, 16.67, 16.67]
-    assert set(reports.status_rates(six.where("false")).first()) == {0.0}
-    assert {r.status_code: r["count"] for r in reports.status_distribution(six).collect()} == {200: 4, 404: 1, 500: 1}
+def test_status(morning):
+    row = reports.status_rates(morning).first()
+    assert [round(v, 2) for v in row] == [71.43, 14.29, 14.29]
+    assert set(reports.status_rates(morning.where("false")).first()) == {0.0}
+    counts = {r.status_code: r["count"] for r in reports.status_distribution(morning).collect()}
+    assert counts == {200: 4, 302: 1, 404: 1, 503: 1}
+
+
+def test_urls_and_visitors(morning):
+    assert [tuple(r) for r in reports.top_urls(morning, 2).collect()] == [("/start", 3), ("/gone", 1)]
+    assert ("/item/{id}", 2) in [tuple(r) for r in reports.top_urls(morning, 9, normalized=True).collect()]
+    assert tuple(reports.top_ips(morning, 1).first()) == ("5.5.5.1", 5)
+
 
+def test_trends(morning):
+    assert tuple(reports.peak_hours(morning).first()) == (8, 3)
+    assert reports.moving_average(morning).first().moving_avg_7d == 7.0
+    assert tuple(reports.traffic_growth(morning, "2024-03-08").first()) == (7, 0, 0.0)
+    assert tuple(reports.traffic_growth(morning, "2024-03-12").first()) == (0, 7, -100.0)
 
-def test_urls_and_visitors(six):
-    assert [tuple(r) for r in reports.top_urls(six, 2).collect()] == [("/home", 2), ("/about", 1)]
-    assert "/products/{id}" in [r.url for r in reports.top_urls(six, 9, normalized=True).collect()]
-    assert tuple(reports.top_ips(six, 1).first()) == ("1.1.1.1", 4)
 
+def test_growth_reads_two_weeks(morning, tmp_path):
+    morning.write.parquet(str(tmp_path / "log"))
+    stored = morning.sparkSession.read.parquet(str(tmp_path / "log"))
+    plan = reports.traffic_growth(stored, "2024-03-08")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(timestamp,2024-02-23" in plan
 
-def test_trends(six):
-    assert tuple(reports.peak_hours(six).first()) == (12, 4)
-    assert reports.moving_average(six).first().moving_avg_7d == 6.0
-    assert tuple(reports.traffic_growth(six, "2023-01-05").first()) == (6, 0, 0.0)
-    assert tuple(reports.traffic_growth(six, "2023-01-09").first()) == (0, 6, -100.0)
+
+def test_fastest_endpoints_force_no_broadcast(morning):
+    plan = reports.fastest_endpoints(morning)._jdf.queryExecution().logical().toString()
+    assert "strategy=broadcast" not in plan
 
 
 def test_explorer(make_log):
@@ -76,20 +92,19 @@ def test_explorer(make_log):
     assert reports.log_explorer(log, sort_by="drop table").count() == 5
 
 
-def test_ten_rows(make_log):
+def test_two_visitors(make_log):
     def visit(ip, minutes, status=200):
         hour, minute = divmod(minutes, 60)
-        return dict(ip=ip, timestamp=at(f"2023-10-01 {10 + hour:02}:{minute:02}:00"), status_code=status, upload_id=9)
+        return dict(ip=ip, timestamp=at(f"2022-06-07 {6 + hour:02}:{minute:02}:00"), status_code=status, upload_id=4)
 
     log = make_log(
-        *[visit("1.1.1.1", m) for m in (0, 5, 70, 15, 20, 25)],
-        visit("2.2.2.2", 0), visit("2.2.2.2", 2), visit("2.2.2.2", 4, 404), visit("2.2.2.2", 10, 500),
+        *[visit("7.7.7.7", m) for m in (41, 0, 100, 12, 95)], visit("8.8.8.8", 3), visit("8.8.8.8", 4, 404), visit("8.8.8.8", 50, 500)
     )
-    only = Filters(upload_id=9)
-    assert tuple(reports.traffic_summary(log, only).first()) == (10, 8, 2, 1000)
+    only = Filters(upload_id=4)
+    assert tuple(reports.traffic_summary(log, only).first()) == (8, 6, 2, 800)
     row = sessions.session_summary(log, filters=only).first()
-    assert (row.total_sessions, row.returning_visitors) == (3, 1)
-    assert tuple(reports.status_rates(log, only).first()) == (80.0, 10.0, 10.0)
+    assert (row.total_sessions, row.returning_visitors) == (4, 2)
+    assert tuple(reports.status_rates(log, only).first()) == (75.0, 12.5, 12.5)
 
 
 def test_filters(make_log):
@@ -116,17 +131,21 @@ def test_gap_boundaries(make_log):
     assert {r.session_id for r in sessions.sessionize(same).collect()} == {"1-1.1.1.1-Mozilla/5.0-1"}
 
 
-def test_minutes_scenario(make_log):
+def test_numbering_across_visitors(make_log):
     log = make_log(
-        dict(user_agent="BrowserA", timestamp=at("2023-01-01 10:00:00"), url="/home"),
-        dict(user_agent="BrowserA", timestamp=at("2023-01-01 10:15:00"), url="/about"),
-        dict(user_agent="BrowserB", ip="2.2.2.2", timestamp=at("2023-01-01 10:10:00"), url="/contact"),
-        dict(user_agent="BrowserA", timestamp=at("2023-01-01 11:00:00"), url="/login"),
+        dict(user_agent="Kiosk", timestamp=at("2021-05-01 07:29:00"), url="/b"),
+        dict(user_agent="Kiosk", timestamp=at("2021-05-01 07:00:00"), url="/a"),
+        dict(user_agent="Tablet", ip="3.3.3.3", timestamp=at("2021-05-01 07:05:00"), url="/z"),
+        dict(user_agent="Kiosk", timestamp=at("2021-05-01 08:10:00"), url="/c"),
     )
-    assert tuple(sessions.session_metrics(log).first()) == (3, 300.0, 4 / 3)
+    assert tuple(sessions.session_metrics(log).first()) == (3, 580.0, 4 / 3)
     rows = sessions.numbered_sessions(log).orderBy("session_id").collect()
-    assert [(r.session_id, r.entry_url, r.exit_url) for r in rows] == [
-        ("s_1", "/home", "/about"), ("s_2", "/contact", "/contact"), ("s_3", "/login", "/login")]
+    assert [(r.session_id, r.entry_url, r.exit_url) for r in rows] == [("s_1", "/a", "/b"), ("s_2", "/z", "/z"), ("s_3", "/c", "/c")]
+
+
+def test_rows_without_dataset_or_address_keep_their_sessions(make_log):
+    log = make_log(dict(), dict(url="/b")).withColumn("upload_id", F.lit(None).cast("long")).withColumn("ip", F.lit(None).cast("string"))
+    assert [r.session_id_num for r in sessions.sessionize(log).collect()] == [1, 1]
 
 
 @pytest.mark.parametrize("timeout, slot", [(1800, None), (1800, 60), (7, None), (0, None)])

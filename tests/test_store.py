@@ -1,5 +1,6 @@
 import bz2
 import gzip
+import hashlib
 
 import pytest
 from conftest import at
@@ -10,7 +11,7 @@ from loghelm.operators import panels
 from loghelm.plans import bundles
 from loghelm.session import scratch_dir
 from loghelm.sources.datasets import LogStore
-from loghelm.sources.lines import checksums, file_heads, list_files, read_lines
+from loghelm.sources.lines import checksums, empty_files, file_heads, list_files, read_lines
 from loghelm.streaming import jobs
 
 CLF = '1.1.1.{} - - [10/Oct/2023:13:55:36 +0000] "GET /{} HTTP/1.1" 200 10\n'
@@ -26,7 +27,8 @@ def folder(tmp_path):
     (raw / "deep" / "c.log.bz2").write_bytes(bz2.compress(CLF.format(9, "c").encode()))
     (raw / "unknown.txt").write_text("10.1.1.1 wants GET /x now\n")
     (raw / "blank.log").write_text("\n  \n")
-    (raw / "empty.log").write_text("")  # Spark does not list empty files
+    (raw / "empty.log").write_text("")
+    (raw / "_SUCCESS").write_text("")
     return raw
 
 
@@ -44,16 +46,45 @@ def test_heads_and_checksums(spark, folder):
         "blank.log": 2, "a.log": 6, "copy of a.log": 6, "b.log.gz": 3, "c.log.bz2": 1, "unknown.txt": 1}
     sums = [r.checksum for r in checksums(spark, str(folder)).collect()]
     assert len(sums) == 6 and len(set(sums)) == 5
-    folded = {r.path.split("/")[-1]: r.checksum for r in checksums(spark, str(folder), largest=100).collect()}
-    long = [v for v in folded.values() if v.startswith("lines:")]
-    assert len(long) == 2 and len(set(long)) == 1
+    assert empty_files(spark, str(folder)) == 1
+
+
+def test_checksums_are_of_the_bytes(spark, tmp_path):
+    data = {"one.log": b"a\nb\n" * 400_000, "two.log": b"b\na\n" * 400_000, "three.log.gz": gzip.compress(b"a\nb\n")}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.split("/")[-1]: r.checksum for r in checksums(spark, str(tmp_path)).collect()}
+    assert got == {name: hashlib.sha256(content).hexdigest() for name, content in data.items()}
+
+
+def test_files_of_permuted_lines_are_both_imported(spark, tmp_path):
+    lines = [CLF.format(i, i) for i in range(4)]
+    (tmp_path / "in").mkdir()
+    for name, order in (("a.log", lines), ("b.log", lines[::-1])):
+        (tmp_path / "in" / name).write_text("".join(order))
+    store = LogStore(spark, str(tmp_path / "store"))
+    assert store.ingest_folder(str(tmp_path / "in"), "2024-01-01").first().files_imported == 2
+    assert store.log().count() == 8
+
+
+def test_heads_end_with_a_line(spark, tmp_path):
+    long = "x" * 40_000
+    (tmp_path / "long.log").write_text(f"short\u2028one\x0bline\r\n{long}\nrest\n")
+    rows = file_heads(list_files(spark, str(tmp_path))).orderBy("position").collect()
+    assert [r.value for r in rows] == ["short\u2028one\x0bline", long]
+
+
+def test_bytes_that_are_no_text_are_left_out(spark, tmp_path):
+    (tmp_path / "bad.log").write_bytes(b"caf\xe9 one\nca\xc3\xa9 \xef\xbf\xbd two\n")
+    assert [r.value for r in read_lines(spark, str(tmp_path / "bad.log")).collect()] == ["caf one", "caé \ufffd two"]
 
 
 def test_ingest_delete_reset(spark, folder, tmp_path):
     store = LogStore(spark, str(tmp_path / "store"))
     assert store.log().count() == 0 and store.datasets().count() == 0
     first = store.ingest_folder(str(folder), "2024-01-01").first()
-    assert tuple(first) == (6, 4, 1, 1, "SUCCESS")
+    assert tuple(first) == (7, 4, 1, 2, "SUCCESS")
+    assert [(r.line, r.path.split("/")[-1] in ("a.log", "copy%20of%20a.log")) for r in store.rejects().collect()] == [("bad line", True)]
     again = store.ingest_folder(str(folder), "2024-01-01").first()
     assert (again.files_imported, again.files_skipped, again.status) == (0, 5, "COMPLETED_NO_IMPORTS")
     datasets = {r.format: r.total_entries for r in store.datasets().where("format != 'clf'").collect()}
@@ -61,7 +92,9 @@ def test_ingest_delete_reset(spark, folder, tmp_path):
     assert store.log().count() == 5 + 3 + 1 + 1
     row = store.datasets().where("file_size > 300").first()
     assert row.confidence == pytest.approx(5 / 6) and row.total_entries == 5
+    assert (row.parsed_lines, row.rejected_lines) == (5, 1)
     store.delete(row.id)
+    assert store.rejects().count() == 0
     assert store.log().count() == 5 and store.dataset(row.id).count() == 0 and store.datasets().count() == 3
     back = store.ingest_folder(str(folder), "2024-01-01").first()
     assert back.files_imported == 1 and store.log().count() == 10
