@@ -83,10 +83,16 @@ def _visitor_hash() -> Column:
 
 def panel_sketches(log: DataFrame, filters: Filters | None = None, by: list[str] | None = None) -> DataFrame:
     """A panel report whose ``visitors`` is an HLL sketch, so that merging does not
-    count a visitor of two reports twice."""
+    count a visitor of two reports twice.
+
+    Sketches are built from the rows and combined on the map side; only they are shuffled.
+    """
     by = by or []
-    return _per_visitor(apply_filters(log, filters), by).groupBy(*by, "panel", "key").agg(
-        F.sum("hits").alias("hits"),
+    rows = _facet_rows(apply_filters(log, filters), by).select(
+        *by, *VISITOR, "bytes_sent", F.explode(_panels_of_visitor()).alias("_p")
+    ).select(*by, *VISITOR, F.col("bytes_sent").alias("bytes"), "_p.panel", "_p.key")
+    return rows.groupBy(*by, "panel", "key").agg(
+        F.count(F.lit(1)).alias("hits"),
         F.hll_sketch_agg(_visitor_hash(), 14).alias("visitors"),
         F.sum("bytes").alias("bytes"),
     )

@@ -16,9 +16,10 @@ BINS_PER_E = 4096  # bins per factor e of magnitude; at most some 6 million over
 
 def _bin(value: Column) -> Column:
     """An integer that never decreases as ``value`` grows."""
-    magnitude = F.floor(F.log1p(F.abs(value) * 1000.0) * BINS_PER_E)
-    # Never NULL, so that no NULL check is planned on one side of the self-join below
-    # and both sides can read the same shuffle of the counts.
+    # The logarithm of the smallest double is above -746, so tiny values are told apart like large ones.
+    magnitude = F.floor((F.ln(F.abs(value)) + 746.0) * BINS_PER_E)
+    # Never NULL (as the logarithm of 0 is), so that no NULL check is planned on one side of the
+    # self-join below and both sides can read the same shuffle of the counts.
     return F.coalesce(F.when(value < 0, -magnitude).otherwise(magnitude), F.lit(0))
 
 

@@ -261,15 +261,34 @@ EXPLORER_SORTS = {"timestamp", "ip", "method", "status_code", "url", "response_t
 
 def log_explorer(
     log: DataFrame, filters: Filters | None = None, sort_by: str = "timestamp",
-    descending: bool = True, limit: int = 50, offset: int = 0,
+    descending: bool = True, limit: int = 50, offset: int = 0, after: dict | None = None,
 ) -> DataFrame:
-    """One page of raw rows. NULLs sort last; equal rows resolve by the other columns."""
+    """One page of raw rows. NULLs sort last; equal rows resolve by the other columns.
+
+    ``after`` is the last row of the page before (its columns by name): the page starts behind
+    it, and only ``limit`` rows pass a task however deep the page is. ``offset`` skips rows
+    instead, all of which pass one task, so it is for the first pages.
+    """
     if sort_by not in EXPLORER_SORTS:
         sort_by = "timestamp"
-    first = F.col(sort_by).desc_nulls_last() if descending else F.col(sort_by).asc_nulls_last()
-    rest = [F.col(c).asc_nulls_last() for c in EXPLORER_COLUMNS if c != sort_by]
+    order = [sort_by, *[c for c in EXPLORER_COLUMNS if c != sort_by]]
     rows = apply_filters(log, filters).select(*EXPLORER_COLUMNS)
-    return rows.orderBy(first, *rest).offset(offset).limit(limit)
+    if after is not None:
+        rows = rows.where(_behind(after, order, descending))
+    first = F.col(sort_by).desc_nulls_last() if descending else F.col(sort_by).asc_nulls_last()
+    return rows.orderBy(first, *[F.col(c).asc_nulls_last() for c in order[1:]]).offset(offset).limit(limit)
+
+
+def _behind(row: dict, order: list[str], descending: bool) -> Column:
+    """Rows that sort after ``row``: equal in the first columns, later in the next."""
+    result, equal = F.lit(False), F.lit(True)
+    for column in order:
+        value = row[column]
+        if value is not None:
+            later = F.col(column) < F.lit(value) if descending and column == order[0] else F.col(column) > F.lit(value)
+            result = result | (equal & F.coalesce(later, F.lit(True)))  # NULLs sort last
+        equal = equal & F.col(column).eqNullSafe(F.lit(value))
+    return result
 
 
 def log_explorer_count(log: DataFrame, filters: Filters | None = None) -> DataFrame:

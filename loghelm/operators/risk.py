@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loghelm.operators.filters import Filters, apply_filters
 from loghelm.schema import naive_time
+from loghelm.session import materialized
 
 # Points per severity (any other counts 5), the cap, and class floors.
 SEVERITY_POINTS = {"critical": 40, "high": 25, "medium": 10}
@@ -59,7 +60,11 @@ def risk_class(score: Column) -> Column:
 
 
 def ip_findings(findings: DataFrame) -> DataFrame:
-    """Every finding with the score and class of its address."""
+    """Every finding with the score and class of its address.
+
+    The findings are stored first: they are read twice, and detection should run once.
+    """
+    findings = materialized(findings, "findings")
     scores = ip_risk(findings).select("ip", "risk_score", F.col("severity").alias("risk_class"))
     return findings.join(scores, "ip")
 

@@ -59,10 +59,11 @@ def sessionize(
 ) -> DataFrame:
     """Every log row with ``ua_fixed, prev_time, is_new_session, session_id_num, session_id``.
 
-    ``slot_seconds`` (at most ``timeout``) spreads a visitor over more tasks; the result
-    does not depend on it.
+    ``slot_seconds`` (at most ``timeout``, by default a thirtieth of it) spreads a visitor over
+    more tasks, so that one address behind which many clients sit is no task of its own; the
+    result does not depend on it.
     """
-    width = max(1, min(slot_seconds or timeout, timeout) * MICROS)
+    width = max(1, min(slot_seconds or max(1, timeout // 30), timeout) * MICROS)
     key = _visitor_key(per_dataset=True)
     slotted = _with_slot(log, width)
     numbered = _number_slots(slotted, key, timeout, []).select(

@@ -1,5 +1,6 @@
 """Named queries over a folder of Parquet tables, one per operator."""
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -419,7 +420,23 @@ def _stream_sliding(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _stream_sessions(spark: SparkSession, directory: str) -> DataFrame:
-    return _appended(spark, jobs.visitor_sessions(_log_stream(spark, directory)), "stream-sessions")
+    """Run over the log, then once more with a mark that closes what is open."""
+    folder = scratch_dir(spark, "stream-sessions")
+    log = _log_stream(spark, directory)
+    plain_log = read_access_log(spark, directory)
+    plain_log.limit(0).write.parquet(f"{folder}/marks")
+
+    def run() -> DataFrame:
+        marks = spark.readStream.schema(log.schema).parquet(f"{folder}/marks")
+        result = jobs.visitor_sessions(jobs.with_end_marks(log, marks))
+        jobs.run_to_files(result, f"{folder}/out", f"{folder}/checkpoint")
+        return spark.read.schema(result.schema).parquet(f"{folder}/out")
+
+    run()
+    last = plain_log.agg(F.max("timestamp")).first()[0]
+    if last is not None:
+        jobs.write_end_mark(log.schema, spark, f"{folder}/marks", last + dt.timedelta(days=1))
+    return run()
 
 
 def _stream_alerts(spark: SparkSession, directory: str) -> DataFrame:
@@ -435,7 +452,7 @@ def _stream_findings(spark: SparkSession, directory: str) -> DataFrame:
 
 def _stream_ip_risk(spark: SparkSession, directory: str) -> DataFrame:
     found = jobs.row_findings(_log_stream(spark, directory), default_pack().rules)
-    return _updated(spark, jobs.running_risk(found), ["ip"], "stream-risk")
+    return _updated(spark, jobs.running_risk(found), ["period_start", "ip"], "stream-risk").drop("period_start")
 
 
 def _stream_dedup(spark: SparkSession, directory: str) -> DataFrame:
@@ -445,6 +462,14 @@ def _stream_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return _appended(spark, jobs.distinct_lines(twice, keys), "stream-dedup").select(*BASE_COLUMNS)
 
 
+def _merged_sketches(log: DataFrame) -> DataFrame:
+    """Merged sketch reports, with whether each estimate is within 3 % (or 2) of the exact count."""
+    merged = panels.merge_sketches(panels.panel_sketches(log, by=["upload_id"]).drop("upload_id"))
+    exact = panels.panel_report(log).select("panel", "key", F.col("visitors").alias("exact"))
+    close = F.abs(F.col("visitors") - F.col("exact")) <= F.greatest(F.lit(2.0), F.col("exact") * 0.03)
+    return merged.join(exact, ["panel", "key"]).select("panel", "key", "hits", "bytes", close.alias("visitors_close"))
+
+
 def _merged_by_dataset(build: Callable, merge: Callable) -> Query:
     return _log_query(lambda log: merge(build(log, by=["upload_id"]).drop("upload_id")))
 
@@ -506,7 +531,7 @@ QUERIES: dict[str, Query] = {
     "bounce_pages": _log_query(sessions.bounce_pages),
     "panel_report": _log_query(panels.panel_report),
     "panel_merge": _merged_by_dataset(panels.panel_report, panels.merge_rows),
-    "panel_merge_hll": _merged_by_dataset(panels.panel_sketches, panels.merge_sketches),
+    "panel_merge_hll": _log_query(_merged_sketches),
     "files_by_format": _log_query(lambda log: panels.files_by_format(_registry(log))),
     "det_brute_force": _log_query(detectors.detect_brute_force),
     "det_dir_enum": _log_query(detectors.detect_enumeration),

@@ -448,6 +448,10 @@ ORACLES: dict[str, str] = {
         WHERE key <> '' GROUP BY panel, key""",
         _panels("upload_id, "),
     ),
+    "panel_merge_hll": _sql(
+        "panel:s key:s hits:l bytes:l visitors_close:s",
+        "SELECT panel, key, hits, bytes, TRUE AS visitors_close FROM panels WHERE key <> ''", _panels(""),
+    ),
     "files_by_format": _sql(
         "report_format:s outcome:s reason:s files:l entries:l",
         """SELECT CASE format WHEN 'apache_access' THEN 'COMBINED' WHEN 'clf' THEN 'COMMON' END AS report_format,
@@ -605,14 +609,14 @@ ORACLES: dict[str, str] = {
     ),
     "stream_sessions": _sql(
         "upload_id:l ip:s ua_fixed:s started:t ended:t hits:l",
-        """SELECT upload_id, ip, ua_fixed, started, ended, hits FROM stats WHERE ended + INTERVAL 30 MINUTE
-        <= date_trunc('millisecond', (SELECT max(timestamp) FROM log)) - INTERVAL 10 MINUTE""",
-        _session_ctes(1800) + ", " + _session_stats(),
+        "SELECT upload_id, ip, ua_fixed, started, ended, hits FROM stats", _session_ctes(1800) + ", " + _session_stats(),
     ),
     "stream_alerts": _sql(
-        "window_start:t upload_id:l ip:s alert:s target:s hits:l denied:l",
+        "window_start:t upload_id:l ip:s alert:s target:s hits:l denied:l missing:l paths:l severity:s",
         f"""SELECT time_bucket(INTERVAL 7 DAY, timestamp, TIMESTAMP '1970-01-01') AS window_start, upload_id, ip, alert, target,
-        count(*) AS hits, {DENIED} AS denied FROM (
+        count(*) AS hits, {DENIED} AS denied, {MISSING} AS missing, count(DISTINCT url) AS paths,
+        CASE WHEN alert = 'brute_force' AND ({DENIED} > 20 OR count(*) > 50)
+        OR alert <> 'brute_force' AND (count(DISTINCT url) > 10 OR {MISSING} > 20) THEN 'high' ELSE 'medium' END AS severity FROM (
         SELECT *, 'brute_force' AS alert, url AS target FROM log WHERE url ILIKE '%login%' OR url ILIKE '%signin%' OR url ILIKE '%auth%'
         UNION ALL SELECT *, 'directory_enumeration' AS alert, '' AS target FROM log
         WHERE regexp_matches(lower(url), '/admin|/\\.git|/\\.env|/backup|/config|/phpmyadmin')) c

@@ -18,7 +18,7 @@ from loghelm.functions.urls import percent_decode
 from loghelm.operators.detect_format import detect_formats, sample_lines
 from loghelm.operators.parse import entries, parse, parse_stats
 from loghelm.schema import DATASET_SCHEMA, LOG_SCHEMA, REJECT_SCHEMA, conform
-from loghelm.session import scratch_dir
+from loghelm.session import materialized
 from loghelm.sources.lines import checksums, empty_files, file_heads, plain_path, read_lines
 
 FILES_PER_BATCH = 10_000  # bounds the file list that one job carries
@@ -199,13 +199,6 @@ class LogStore:
         self.register(registry)
 
 
-def materialized(frame: DataFrame, purpose: str) -> DataFrame:
-    """A frame written to the shared scratch folder and read back, so it is computed once."""
-    path = scratch_dir(frame.sparkSession, purpose)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def _file_batches(planned: DataFrame) -> Iterator[list[Row]]:
     """The file list in batches. Like any file listing it passes the driver, no data does."""
     columns = ["path", "length", "modificationTime", "checksum", "format", "confidence", "upload_id"]

@@ -4,10 +4,13 @@ Sources are streaming frames; every stateful job takes a watermark, which bounds
 state. Sinks are files written with a checkpoint, or ``foreachBatch`` for updates.
 """
 
+import datetime as dt
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from loghelm.operators.detectors import (
     LOGIN_WORDS, PROBE_PATHS, RowRule, match_rows, native_row_rules,
@@ -110,15 +113,33 @@ def visitor_sessions(log: DataFrame, gap: str = "30 minutes", watermark: str = W
             "upload_id", "ip", F.coalesce("user_agent", F.lit("unknown")).alias("ua_fixed"),
             F.session_window("timestamp", gap).alias("_w"),
         )
-        .agg(F.count(F.lit(1)).alias("hits"), F.max("timestamp").alias("ended"))
+        # Marks have no status. A test of the keys would be pushed below the watermark, which marks must reach.
+        .agg(F.count("status_code").alias("hits"), F.max("timestamp").alias("ended"))
+        .where("hits > 0")
         .select("upload_id", "ip", "ua_fixed", F.col("_w.start").alias("started"), "ended", "hits")
     )
 
 
+def with_end_marks(log: DataFrame, marks: DataFrame) -> DataFrame:
+    """The stream and a second one of marks: rows without a dataset and address, of a time only.
+
+    A mark later than the last row by the session gap and the watermark closes every session.
+    """
+    return log.unionByName(marks.select(*log.columns))
+
+
+def write_end_mark(log_schema: T.StructType, spark: SparkSession, folder: str, at: dt.datetime) -> None:
+    """Write a mark of the time ``at`` for the stream that reads ``folder``."""
+    row = [at if field.name == "timestamp" else None for field in log_schema]
+    nullable = T.StructType([T.StructField(field.name, field.dataType) for field in log_schema])
+    spark.createDataFrame([tuple(row)], nullable).write.mode("append").parquet(folder)
+
+
 def probe_alerts(log: DataFrame, size: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
-    """Brute force and enumeration inside a window, by the thresholds of the detectors."""
+    """Brute force and enumeration inside a window, by the thresholds and severities of the
+    detectors. Probed paths are counted approximately, which bounded state needs."""
     candidates = log.withWatermark("timestamp", watermark).select(
-        "upload_id", "ip", "timestamp", "status_code",
+        "upload_id", "ip", "timestamp", "status_code", "url",
         F.explode(F.array_compact(F.array(
             F.when(contains_any("url", LOGIN_WORDS),
                    F.struct(F.lit("brute_force").alias("alert"), F.col("url").alias("target"))),
@@ -129,11 +150,21 @@ def probe_alerts(log: DataFrame, size: str = "1 hour", watermark: str = WATERMAR
     counted = candidates.groupBy(
         F.window("timestamp", size).alias("_w"), "upload_id", "ip",
         F.col("_c.alert").alias("alert"), F.col("_c.target").alias("target"),
-    ).agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("status_code") == 401).alias("denied"))
+    ).agg(
+        F.count(F.lit(1)).alias("hits"), F.count_if(F.col("status_code") == 401).alias("denied"),
+        F.count_if(F.col("status_code") == 404).alias("missing"), F.approx_count_distinct("url").alias("paths"),
+    )
     login = F.col("alert") == "brute_force"
+    severe = F.when(login, (F.col("denied") > 20) | (F.col("hits") > 50)).otherwise(
+        (F.col("paths") > 10) | (F.col("missing") > 20)
+    )
     return counted.where(
         F.when(login, (F.col("hits") > 10) | (F.col("denied") > 5)).otherwise(F.col("hits") > 5)
-    ).select(F.col("_w.start").alias("window_start"), "upload_id", "ip", "alert", "target", "hits", "denied")
+    ).select(
+        F.col("_w.start").alias("window_start"), "upload_id", "ip", "alert", "target", "hits", "denied", "missing",
+        F.when(login, F.lit(1)).otherwise(F.col("paths")).alias("paths"),
+        F.when(severe, "high").otherwise("medium").alias("severity"),
+    )
 
 
 def row_findings(log: DataFrame, rules: list[RowRule] | None = None) -> DataFrame:
@@ -141,16 +172,19 @@ def row_findings(log: DataFrame, rules: list[RowRule] | None = None) -> DataFram
     return match_rows(log, native_row_rules() + list(rules or []))
 
 
-def running_risk(findings: DataFrame) -> DataFrame:
-    """Score and class per address over all findings so far (update mode)."""
+def running_risk(findings: DataFrame, period: str = "365 days", watermark: str = "1 day") -> DataFrame:
+    """Score and class per address over the findings of a period so far (update mode).
+
+    A period's state goes once the watermark has passed its end.
+    """
     points = F.lit(OTHER_POINTS)
     for severity, value in SEVERITY_POINTS.items():
         points = F.when(F.col("severity") == severity, value).otherwise(points)
-    totals = findings.groupBy("ip").agg(
-        F.sum(points).alias("score"), F.count(F.lit(1)).alias("findings")
-    )
+    totals = findings.withWatermark("timestamp", watermark).groupBy(
+        F.window("timestamp", period).alias("_w"), "ip"
+    ).agg(F.sum(points).alias("score"), F.count(F.lit(1)).alias("findings"))
     risk = F.least(F.col("score"), F.lit(MAX_SCORE).cast("bigint"))
-    return totals.select("ip", "score", risk.alias("risk_score"), risk_class(risk).alias("severity"), "findings")
+    return totals.select(F.col("_w.start").alias("period_start"), "ip", "score", risk.alias("risk_score"), risk_class(risk).alias("severity"), "findings")
 
 
 def distinct_lines(log: DataFrame, keys: list[str], watermark: str = "1 day") -> DataFrame:
@@ -173,10 +207,36 @@ def run_to_files(
     return query
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark dropped, over the batches still in the query's history."""
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks dropped, over all batches of a run.
+
+    Add it with ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self._counts: dict[str, int] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def _end(self, run: str) -> threading.Event:
+        return self._ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        dropped = sum(operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators)
+        self._counts[run] = self._counts.get(run, 0) + dropped
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def of(self, query: StreamingQuery, timeout: float = 60.0) -> int:
+        """The count of an ended query. Events arrive in order, its end last."""
+        run = str(query.runId)
+        if not self._end(run).wait(timeout):
+            raise TimeoutError(f"no event of the end of {run}")
+        return self._counts.get(run, 0)

@@ -92,6 +92,18 @@ def test_explorer(make_log):
     assert reports.log_explorer(log, sort_by="drop table").count() == 5
 
 
+@pytest.mark.parametrize("sort_by, descending", [("response_time_ms", True), ("response_time_ms", False), ("url", True)])
+def test_pages_by_the_last_row(make_log, sort_by, descending):
+    log = make_log(*[dict(url=f"/{i % 4}", ip=f"1.1.1.{i}", response_time_ms=None if i % 3 == 0 else float(i % 5),
+                          user_agent=None if i % 2 else "x") for i in range(23)])
+    whole = reports.log_explorer(log, sort_by=sort_by, descending=descending).collect()
+    pages, after = [], None
+    while page := reports.log_explorer(log, sort_by=sort_by, descending=descending, limit=5, after=after).collect():
+        pages += page
+        after = page[-1].asDict()
+    assert pages == whole
+
+
 def test_two_visitors(make_log):
     def visit(ip, minutes, status=200):
         hour, minute = divmod(minutes, 60)

@@ -136,12 +136,14 @@ def test_late_rows_are_dropped_and_counted(spark, make_log, tmp_path):
         [dict(timestamp=at("2023-01-01 10:05:00"))], [dict(timestamp=at("2023-01-01 14:00:00"))],
         [dict(timestamp=at("2023-01-01 10:06:00"), ip="late")],
     ]
-    schema, dropped = make_log(*batches[0]).schema, 0
+    schema, dropped, late = make_log(*batches[0]).schema, 0, jobs.LateRows()
+    spark.streams.addListener(late)
     for rows in batches:
         make_log(*rows).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         query = jobs.run_to_files(jobs.traffic_windows(stream), out, str(tmp_path / "ck"), mode="update")
-        dropped += jobs.late_rows(query)
+        dropped += late.of(query)
+    spark.streams.removeListener(late)
     latest = jobs.latest_updates(spark, out, ["window_start"]).orderBy("window_start").collect()
     assert [r.total_requests for r in latest] == [1, 1] and dropped == 1
 
