@@ -31,7 +31,7 @@ HEADLINE = [
     "stream_traffic",
 ]
 
-TIMES, FILES = 100, 32
+TIMES, FILES = int(os.environ.get("BENCH_TIMES", "20")), 32
 SCALED = [
     "traffic_summary", "traffic_hour", "latency_percentiles", "slowest_endpoints", "fastest_endpoints", "top_urls",
     "status_by_endpoint", "traffic_growth", "entry_pages", "panel_report", "det_sqli", "findings", "ip_risk", "sigma_by_rule",
@@ -43,7 +43,7 @@ def repeated(spark, directory: str) -> str:
     folder = tempfile.mkdtemp(prefix="bench-")
     events = spark.read.parquet(f"{directory}/events.parquet")
     users = events.agg(F.max("user_id")).first()[0] + 1
-    many = events.crossJoin(spark.range(TIMES)).withColumn("user_id", F.col("user_id") + F.col("id") * F.lit(users) % 60_000)
+    many = events.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(TIMES - 1)))).withColumn("user_id", F.col("user_id") + F.col("id") * F.lit(users) % 60_000)
     many.drop("id").repartition(FILES).write.parquet(f"{folder}/events.parquet")
     return folder
 
