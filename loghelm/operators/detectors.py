@@ -1,7 +1,7 @@
 """Attack detection over the log table.
 
-Row rules (each row on its own) are all evaluated in one scan. The three counting
-detectors share a second scan: rows become candidates of a detector and its target, are
+Row rules (each row on its own) and the tests of the three counting detectors are all
+evaluated in one scan. For the latter rows become candidates of a detector and its target, are
 counted per distinct URL (which combines on the map side) and then per target.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loghelm.functions.text import contains_sql, ilike_sql
 from loghelm.operators.filters import Filters, apply_filters
 from loghelm.schema import FINDING_COLUMNS
+from loghelm.session import materialized
 
 REQUEST_FIELDS = ["url", "query_string", "protocol"]
 
@@ -133,10 +134,14 @@ def _set_bits(mask: Column, start: int) -> Column:
 def match_rows(log: DataFrame, rules: list[RowRule], filters: Filters | None = None) -> DataFrame:
     """One finding per row and rule that holds, from a single scan for all rules."""
     rows = apply_filters(log, filters)
-    hits = expand_hits(
-        rows, [rule.condition for rule in rules],
-        [F.col("upload_id").alias("dataset_id"), "timestamp", "ip", "url", "query_string"],
-    )
+    return _row_findings(expand_hits(rows, [rule.condition for rule in rules], ROW_COLUMNS), rules)
+
+
+ROW_COLUMNS = ["upload_id", "timestamp", "ip", "url", "query_string"]
+
+
+def _row_findings(hits: DataFrame, rules: list[RowRule]) -> DataFrame:
+    """Findings of the hits of ``rules``, ``_n`` being the rule's number."""
     about = F.array(*[
         F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("rule_title"),
@@ -150,7 +155,7 @@ def match_rows(log: DataFrame, rules: list[RowRule], filters: Filters | None = N
         evidence = F.when(F.col("_n").isin(owners), _evidence(prefix)).otherwise(evidence)
     return findings_of(
         hits.select(
-            "dataset_id", "timestamp", "ip", F.get(about, F.col("_n")).alias("_r"), evidence.alias("evidence")
+            F.col("upload_id").alias("dataset_id"), "timestamp", "ip", F.get(about, F.col("_n")).alias("_r"), evidence.alias("evidence")
         ).select("dataset_id", "timestamp", "ip", "evidence", "_r.*")
     )
 
@@ -162,19 +167,21 @@ def findings_of(df: DataFrame) -> DataFrame:
 COUNTING_DETECTORS = [BRUTE_FORCE, ENUMERATION, SCANNER]
 
 
-def _candidates(log: DataFrame, detectors: list[str]) -> DataFrame:
-    """Rows as candidates of the counting detectors: what they target, and the URL."""
-    tests = {
-        BRUTE_FORCE: contains_sql("url", LOGIN_WORDS),
-        ENUMERATION: contains_sql("url", PROBE_PATHS),
-        SCANNER: contains_sql("user_agent", SCANNER_NAMES),
-    }
-    columns = ["upload_id", "ip", "timestamp", "status_code"]
+CANDIDATE_COLUMNS = ["upload_id", "ip", "timestamp", "status_code", "url", "user_agent"]
+# Which rows a counting detector counts.
+CANDIDATE_TESTS = {
+    BRUTE_FORCE: contains_sql("url", LOGIN_WORDS),
+    ENUMERATION: contains_sql("url", PROBE_PATHS),
+    SCANNER: contains_sql("user_agent", SCANNER_NAMES),
+}
+
+
+def _candidates(hits: DataFrame, detectors: list[str]) -> DataFrame:
+    """Hits as candidates of the counting detectors, ``_n`` being the detector's number: what they target, and the URL."""
     names = F.array(*[F.lit(name) for name in detectors])
-    hits = expand_hits(log, [tests[name] for name in detectors], [*columns, "url", "user_agent"])
     detector = F.col("detector")
     return hits.withColumn("detector", F.get(names, F.col("_n"))).select(
-        *columns, "detector",
+        "upload_id", "ip", "timestamp", "status_code", "detector",
         F.when(detector == BRUTE_FORCE, F.col("url")).when(detector == SCANNER, F.col("user_agent")).alias("target"),
         F.when(detector == ENUMERATION, F.col("url")).alias("path"),
     )
@@ -188,7 +195,12 @@ def counted_findings(
     log: DataFrame, filters: Filters | None = None, only: str | None = None
 ) -> DataFrame:
     """Brute force, directory enumeration and scanner findings (or ``only`` one of them)."""
-    candidates = _candidates(apply_filters(log, filters), [only] if only else COUNTING_DETECTORS)
+    names = [only] if only else COUNTING_DETECTORS
+    hits = expand_hits(apply_filters(log, filters), [CANDIDATE_TESTS[name] for name in names], CANDIDATE_COLUMNS)
+    return _counted_findings(_candidates(hits, names))
+
+
+def _counted_findings(candidates: DataFrame) -> DataFrame:
     group = ["detector", "upload_id", "ip", "target"]
     counts = (
         candidates.groupBy(*group, "path")
@@ -250,6 +262,15 @@ def detect_scanners(log: DataFrame, filters: Filters | None = None) -> DataFrame
 def all_findings(
     log: DataFrame, rules: list[RowRule] | None = None, filters: Filters | None = None
 ) -> DataFrame:
-    """Findings of the seven detectors and of ``rules`` (compiled rule pack)."""
+    """Findings of the seven detectors and of ``rules`` (compiled rule pack).
+
+    The log is scanned once: hits of all conditions, a small part of it, are stored, and rows and counts follow from them.
+    """
     row_rules = native_row_rules() + list(rules or [])
-    return counted_findings(log, filters).unionByName(match_rows(log, row_rules, filters))
+    conditions = [r.condition for r in row_rules] + [CANDIDATE_TESTS[name] for name in COUNTING_DETECTORS]
+    keep = [*ROW_COLUMNS, *[c for c in CANDIDATE_COLUMNS if c not in ROW_COLUMNS]]
+    hits = materialized(expand_hits(apply_filters(log, filters), conditions, keep), "hits")
+    counting = hits.where(F.col("_n") >= len(row_rules)).withColumn("_n", F.col("_n") - len(row_rules))
+    return _counted_findings(_candidates(counting, COUNTING_DETECTORS)).unionByName(
+        _row_findings(hits.where(F.col("_n") < len(row_rules)), row_rules)
+    )

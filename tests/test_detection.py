@@ -35,6 +35,13 @@ def test_each_detector_fires(attacks):
     assert by_rule["custom_scanner"].evidence == ["Scanner UA: WFuzz 3, requests: 1"]
 
 
+def test_findings_scan_the_log_once(spark, attacks, tmp_path):
+    attacks.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    plan = all_findings(log, default_pack().rules)._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path / "log") not in plan  # only what the one scan has stored is read again
+
+
 def test_risk_and_overview(attacks):
     findings = all_findings(attacks)
     scores = {r.ip: r for r in risk.ip_risk(findings).collect()}
