@@ -37,15 +37,14 @@ class Passages:
         """Rows of all words, and the number of words of each text."""
         if self.table.full():
             self.__init__()
-        split = [text.split() for text in texts]
         known = len(self.table)
-        ids = [self.table.ids(words) for words in split]
+        ids = [self.table.ids(text.split()) for text in texts]
         fresh = self.table.new_rows()
         if len(fresh):
             new = list(self.table)[known:]
             self.buckets = np.concatenate([self.buckets, fresh])
             self.measures = np.concatenate([self.measures, np.array([word_measures(w) for w in new], np.float32)])
-        lengths = np.array([len(w) for w in split], np.int64)
+        lengths = np.array([len(i) for i in ids], np.int64)
         return (np.concatenate(ids) if ids else np.empty(0, np.int32)), lengths
 
     def cut(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
