@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
@@ -13,25 +11,17 @@ WORDS_KEPT = 400_000
 
 
 class WordHashes(dict):
-    """Maps a word to its place in an array of 64-bit hashes; starts anew when it is full."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes = array("Q")
+    """Maps a word (text or UTF-8 bytes) to a 64-bit hash of it; starts anew when it is full."""
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self.hashes)
-        self.hashes.append(xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
-        return at
+    def __missing__(self, word: str | bytes) -> int:
+        raw = word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")
+        found = self[word] = xxh3_64_intdigest(raw)
+        return found
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self.hashes) > WORDS_KEPT:
+    def of(self, words: list[str] | list[bytes]) -> np.ndarray:
+        if len(self) > WORDS_KEPT:
             self.clear()
-            self.hashes = array("Q")
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.array(self.hashes, dtype=np.uint64)[ids] if len(words) > 50_000 else np.fromiter(
-            map(self.hashes.__getitem__, ids), np.uint64, len(words)
-        )
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mix(values: np.ndarray) -> np.ndarray:

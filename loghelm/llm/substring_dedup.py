@@ -13,7 +13,6 @@ into windows, each a key of its own, so no shard grows with the most frequent pa
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loghelm.llm.common import by_bytes, materialize, parallelism
 from loghelm.llm.fm_index import FMIndex
-from loghelm.llm.shingles import WordHashes, mix
+from loghelm.llm.shingles import mix
 from loghelm.session import scratch_dir
 
 WINDOW, GRAM = 35, 8
@@ -35,8 +34,11 @@ SHARD_WORDS = 1_000_000
 #: Different segments of a minimizer from which it is taken apart.
 MANY_SEGMENTS = 2_000
 
-# What separates words.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+def words_of(text: str) -> list[bytes]:
+    """Runs of characters other than space, tab and the four line ends after it, which is what bytes are split at."""
+    return text.encode("utf-8", "surrogatepass").split()
+
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -48,22 +50,44 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Which bytes separate words, and a random number for each byte.
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_NUMBERS = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
 class Segmenter:
-    """Cuts texts into segments: (text, first word, windows, minimizer, content hash), as arrays."""
+    """Cuts texts into segments: (text, first word, windows, minimizer, content hash), as arrays.
+
+    Hashes of words, of n-grams and of whole segments are differences of running sums, so no word becomes an object.
+    """
 
     def __init__(self, window: int, gram: int):
-        self.window, self.gram, self.hashes = window, gram, WordHashes()
+        self.window, self.gram = window, gram
         self.power = self.back = np.empty(0, np.uint64)
 
+    def _reach(self, n: int) -> None:
+        if n >= len(self.power):
+            self.power, self.back = _powers(_BASE, n + 1), _powers(_BACK, n + 1)
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and how many each text has."""
+        raw = [text.encode("utf-8", "surrogatepass") for text in texts]
+        codes = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        space = _SPACES[codes]
+        before = np.concatenate([[True], space[:-1]])
+        starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+        self._reach(len(codes))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_NUMBERS[codes] * self.power[: len(codes)], dtype=np.uint64)])
+        hashes = mix((total[ends] - total[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+        stops = np.cumsum([len(r) + 1 for r in raw])
+        return hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], stops])))
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        words = [self.hashes.of(WORD.findall(text)) for text in texts]
-        lengths = np.array([len(w) for w in words], np.int64)
-        every = np.concatenate(words) if words else np.empty(0, np.uint64)
+        every, lengths = self._words(texts)
         n = len(every)
         if n < self.window:
             return tuple(np.empty(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, np.int64))
-        if n >= len(self.power):
-            self.power, self.back = _powers(_BASE, n + 1), _powers(_BACK, n + 1)
+        self._reach(n)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(every * self.power[:n], dtype=np.uint64)])
         sums = lambda begin, end: (total[end] - total[begin]) * self.back[begin]
         at = np.arange(n - self.gram + 1)
@@ -131,10 +155,10 @@ def _spelled(rows: DataFrame, window: int) -> DataFrame:
         for batch in by_bytes(batches, "text", 2 << 20):
             out = []
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                words = WORD.findall(text)
+                words = words_of(text)
                 for w in wanted:
                     first, windows = divmod(w["place"], 256)
-                    out.append((w["mini"], w["content"], w["weight"], " ".join(words[first : first + windows + window - 1])))
+                    out.append((w["mini"], w["content"], w["weight"], b" ".join(words[first : first + windows + window - 1]).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["mini", "content", "weight", "words"])
 
     return rows.select("text", "wanted").mapInPandas(of, "mini long, content long, weight long, words string")
@@ -194,7 +218,7 @@ def _covered(rows: DataFrame, window: int) -> DataFrame:
         for batch in by_bytes(batches, "text", 2 << 20):
             out = []
             for id1, id2, text, masks in batch[["id1", "id2", "text", "masks"]].itertuples(index=False):
-                words = WORD.findall(text)
+                words = words_of(text)
                 change = np.zeros(len(words) + 1, np.int64)
                 for m in masks if masks is not None else ():
                     first, mask = m["place"] // 256, m["mask"]
@@ -207,7 +231,7 @@ def _covered(rows: DataFrame, window: int) -> DataFrame:
                 kept = [w for w, c in zip(words, covered, strict=True) if not c] if len(edges) else words
                 out.append((
                     id1, id2, len(words), len(words) - len(kept), edges.tolist(),
-                    hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest(),
+                    hashlib.sha256(b" ".join(kept)).hexdigest(),
                 ))
             yield pd.DataFrame(out, columns=["id1", "id2", "n_words", "n_removed", "edges", "kept_sha256"])
 

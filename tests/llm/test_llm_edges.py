@@ -119,6 +119,14 @@ def test_passages_with_frequent_ones_taken_apart(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == plain_passages([r[:2] for r in rows])
 
 
+def test_passages_split_at_ascii_blanks_only(spark):
+    odd = " ".join(f"a\u00a0{i}\x1cb\u2028{i}\x85 c\x0bd\x0c\re{i}\t\n f" for i in range(12))
+    rows = [(1, odd, "s"), (2, "x " + odd.replace(" ", "\t\x0b") + " y", "s"), (3, odd.replace("\u00a0", " "), "s")]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out}
+    assert got == plain_passages([r[:2] for r in rows]) and got[1][1] == got[1][0] and got[3][1] == 0
+
+
 def test_fm_index_counts_windows():
     rng = np.random.default_rng(1)
     segments = [rng.integers(1, 4, rng.integers(4, 30)) for _ in range(30)]
