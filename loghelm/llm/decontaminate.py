@@ -241,7 +241,8 @@ def _searched(sent: Broadcast, result: str):
             parts = by_bytes([batch.to_frame("text")], "text", 2 << 20)
             yield pd.Series([h for part in parts for h in sent.value.search(part["text"].fillna("").tolist())], dtype=object)
 
-    return hits
+    # Else a filter on the result would be pushed below and search every text a second time.
+    return hits.asNondeterministic()
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, q: int = Q, errors: float = ERRORS, name: str = "hits") -> DataFrame:
