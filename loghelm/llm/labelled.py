@@ -12,20 +12,34 @@ from pyspark.sql import functions as F
 from loghelm.llm.common import by_bytes
 
 
+def learnable(labels: DataFrame, label: str, learn_from: Column) -> DataFrame:
+    """doc_id and its 0/1 ``label``, one row for each id that training may use. A doc_id with several labels counts as 1
+    if any is 1; null ids and labels are left out."""
+    return (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn_from)
+        .groupBy("doc_id").agg(F.max(label).alias("label"))
+    )
+
+
+def label_weights(labels: DataFrame, label: str, learn_from: Column, per_class: int) -> tuple[float, float]:
+    """How many learnable rows one row of ``labelled_sample`` stands for, with label 0 and with label 1.
+
+    The sample bounds each label on its own, so its ratio of labels depends on the size of the table; with these weights
+    the ratio is that of all learnable rows again. A label under the bound weighs 1.
+    """
+    counts = {r["label"]: r["count"] for r in learnable(labels, label, learn_from).where("label IN (0, 1)").groupBy("label").count().collect()}
+    return tuple(max(1.0, counts.get(which, 0) / per_class) for which in (0, 1))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, per_class: int
 ) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Whole texts, their 0/1 labels and a number in [0, 1) for each, of at most ``per_class`` rows of either label.
 
-    Which rows are taken depends on a hash of doc_id only. A doc_id with several labels counts as 1 if any is 1; null ids
-    and labels are left out. The chosen ids (at most twice ``per_class``) are sent to all executors, so texts of other
-    rows don't leave their task.
+    Which rows are taken depends on a hash of doc_id only. The chosen ids (at most twice ``per_class``) are sent to all
+    executors, so texts of other rows don't leave their task.
     """
-    rows = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn_from)
-        .groupBy("doc_id").agg(F.max(label).alias("label"))
-        .withColumn("place", F.xxhash64("doc_id", F.lit(label)))
-    )
+    rows = learnable(labels, label, learn_from).withColumn("place", F.xxhash64("doc_id", F.lit(label)))
     chosen = rows.where("label = 1").orderBy("place", "doc_id").limit(per_class).unionByName(
         rows.where("label = 0").orderBy("place", "doc_id").limit(per_class)
     )
