@@ -12,6 +12,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,11 +28,17 @@ FEW_FUNCTION_WORDS, MANY_FUNCTION_WORDS = 0.12, 0.22
 #: Share of characters in links above which a block is out.
 LINKED = 0.33
 
+#: Left out before tags are read. Only comments, CDATA, scripts and styles go to the end of the page where their end is
+#: missing; titles and text fields, whose tags are text, go where their end tag comes before another one begins.
 _DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|svg|math|head|title|select|textarea|button|iframe|object|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(title|textarea|iframe)(?=[\s/>])[^>]*(?<!/)>(?:(?!<\2[\s/>]).)*?</\2\s*>",
     re.S | re.I,
 )
+#: Left out where their own end tag closes them; without it only the tag is. A head ends at the first thing that can't
+#: stand in it.
+_DROPPED_TAGS = frozenset("noscript template svg math head title select textarea button iframe object canvas audio video".split())
+_HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -39,6 +46,8 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike"
     " strong sub sup time tt u var wbr input label".split()
 )
+#: In a class or id, the words from here to the next space say what the element has or lacks, not what it is.
+_HAS = re.compile(r"(?<![a-z])(?:has|have|no|with|without|hide|show)[-_]\S*")
 _OUT_TAGS = frozenset("nav footer aside form menu dialog header".split())
 _MAIN_TAGS = frozenset("article main".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,15 +71,29 @@ class Block:
     out: bool  # stands in a part of the page that isn't the article
     main: bool  # stands in the article
     heading: bool = False
+    wrap: int = 0  # the innermost part that is out only by its class or id
+    inner: bool = False  # stands in an article or main element inside that part
     good: bool | None = None
     promising: bool = False
 
 
+class Place(NamedTuple):
+    """An open element: what blocks in it get, and for an element to leave out what to go back to."""
+
+    name: str = ""
+    out: bool = False
+    main: bool = False
+    wrap: int = 0
+    inner: bool = False
+    saved: tuple | None = None
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in page order, those without text left out."""
     page = _CUT_TAG.sub("", _DROPPED.sub(" ", page))
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack = [Place()]
+    outer = [0]  # of each part that is out by its class or id the one around it
     pieces: list[str] = []
     linked, in_link, heading, at = 0, False, False, 0
 
@@ -78,18 +101,42 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, pieces
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            top = stack[-1] if stack else ("", False, False)
-            found.append(Block(text, linked, top[1], top[2], heading))
+            top = stack[-1]
+            found.append(Block(text, linked, top.out, top.main, heading, top.wrap, top.inner))
         pieces, linked = [], 0
 
+    def leave_out(i: int) -> None:
+        """End the element at ``i`` of the stack, and forget what was found in it."""
+        nonlocal pieces, linked, in_link, heading
+        blocks_before, pieces, pieces_before, linked, in_link, heading = stack[i].saved
+        del found[blocks_before:], pieces[pieces_before:], stack[i:]
+        pieces.append(" ")
+
     for tag in _TAG.finditer(page):
         if piece := page[at : tag.start()]:
+            if stack[-1].name == "head" and not piece.isspace():
+                leave_out(-1)
             pieces.append(piece)
             linked += len(piece) if in_link else 0
         at = tag.end()
         if tag[2] is None:
             continue
         name = tag[2].lower()
+        if not tag[1] and (name == "body" or stack[-1].name == "head" and name not in _HEAD_TAGS):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == "head":
+                    leave_out(i)
+                    break
+        if name in _DROPPED_TAGS:
+            if not tag[1]:
+                if not tag[3].endswith("/"):
+                    stack.append(stack[-1]._replace(name=name, saved=(len(found), pieces, len(pieces), linked, in_link, heading)))
+            else:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name == name:
+                        leave_out(i)
+                        break
+            continue
         if name in _INLINE:
             in_link = name == "a" and not tag[1] or in_link and name != "a"
             if name in ("br", "img"):
@@ -98,8 +145,8 @@ def blocks(page: str) -> list[Block]:
         close()
         in_link = False
         if tag[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == name:
                     del stack[i:]
                     break
             heading = False
@@ -107,20 +154,51 @@ def blocks(page: str) -> list[Block]:
         heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
         if name in _VOID or tag[3].endswith("/"):
             continue
-        if stack and stack[-1][0] in _CLOSED_BY_BLOCK and stack[-1][0] not in ("td", "th", "li", "dd"):
+        if stack[-1].name in _CLOSED_BY_BLOCK and stack[-1].name not in ("td", "th", "li", "dd"):
             stack.pop()
-        out, main = stack[-1][1:] if stack else (False, False)
-        names = {part for m in _NAMED.finditer(tag[3]) for part in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
+        _, out, main, wrap, inner, _ = stack[-1]
+        values = (_HAS.sub("", (m[1] or m[2] or m[3] or "").lower()) for m in _NAMED.finditer(tag[3]))
+        names = {part for value in values for part in re.split(r"[^a-z]+", value)}
         if name in _MAIN_TAGS or names & _MAIN_NAMES and not names & _OUT_NAMES:
             main = not out
-        elif name in _OUT_TAGS and not (name == "header" and main) or names & _OUT_NAMES and name not in ("body", "html"):
-            out, main = True, False
-        stack.append((name, out, main))
+            inner = inner or wrap > 0 and name in _MAIN_TAGS and not names & _OUT_NAMES
+        elif name in _OUT_TAGS and not (name == "header" and (main or inner)):
+            out, main, wrap, inner = True, False, 0, False
+        elif names & _OUT_NAMES and name not in ("body", "html"):
+            if not out or wrap:
+                outer.append(wrap)
+                wrap = len(outer) - 1
+            out, main, inner = True, False, False
+        stack.append(Place(name, out, main, wrap, inner))
     pieces.append(page[at:])
     close()
+    unwrap(found, outer)
     return found
 
 
+def unwrap(found: list[Block], outer: list[int]) -> None:
+    """Parts that are out only by a class or id are wrappers, and not out, where they hold article or main elements with
+    more text than all that is left of the page without them, as a column with related articles does not. Of parts in
+    each other only those around the outermost such elements are."""
+    depth = [0] * len(outer)
+    for wrap in range(1, len(outer)):
+        depth[wrap] = depth[outer[wrap]] + 1
+    least = min((depth[b.wrap] for b in found if b.inner), default=0)
+    held = [b for b in found if b.inner and depth[b.wrap] == least]
+    marked = any(b.main for b in found)
+    left = sum(len(b.text) for b in found if (b.main if marked else not b.out) and b.linked <= LINKED * len(b.text))
+    if sum(len(b.text) for b in held) <= left:
+        return
+    wrappers = set()
+    for wrap in {b.wrap for b in held}:
+        while wrap and wrap not in wrappers:
+            wrappers.add(wrap)
+            wrap = outer[wrap]
+    for b in found:
+        if b.wrap in wrappers:
+            b.out, b.main = False, b.inner
+
+
 def first_pass(found: list[Block]) -> None:
     """Set ``good`` where the block itself decides, and ``promising`` where it leaves it open but leans to good."""
     whole = any(b.main for b in found)

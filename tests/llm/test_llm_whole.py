@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loghelm.llm import labelled, toxicity
+from loghelm.llm import html_text, labelled, toxicity
 
 
 def test_toxicity_cut_does_not_depend_on_the_bound(spark):
@@ -18,3 +18,35 @@ def test_toxicity_cut_does_not_depend_on_the_bound(spark):
     whole = toxicity._threshold(logits, truth, (1.0, 1.0))
     assert abs(toxicity._threshold(logits[bounded], truth[bounded], weights) - whole) < 0.25
     assert whole - toxicity._threshold(logits[bounded], truth[bounded], (1.0, 1.0)) > 0.5  # the cut of before
+
+
+SENTENCE = "This is the text of the article, and it is long enough to stand by itself as the main part of the page that it is on. "
+
+
+def test_main_text_keeps_pages_with_open_or_self_closing_elements():
+    p = f"<p>{SENTENCE}</p>"
+    want = SENTENCE.strip()
+    for page in (
+        f"<html><head><meta charset=utf-8><title>T</title><body>{p}", f"<head><title>T</title><link href=x>{p}", f"<head><title>T<body>{p}",
+        f"<svg class='i'/>{p}", f"<svg class='i'/>{p}<svg><text>no</text></svg>", f"<video-player src=x>{p}</video-player>",
+        f"<video-player src=x>{p}", f"<iframe src=x/>{p}", f"<div><button></div>{p}", f"<div><select></div>{p}<select><option>no</select>",
+    ):
+        assert html_text.main_text(page) == want, page
+    assert html_text.main_text(f"<p>{SENTENCE}<svg><title>no</title><g><p>no</p></g></svg> End.</p>") == f"{want} End."
+    assert html_text.main_text(f"{p}<script>no") == want and html_text.main_text(f"<p>{SENTENCE}<!-- no") == want
+    assert html_text.main_text(f"{p}<textarea></div><p>{SENTENCE}</textarea>") == want
+
+
+def test_main_text_takes_parts_around_the_article_as_wrappers():
+    article = f"<article><h1>Title</h1><p>{SENTENCE}</p></article>"
+    want = f"Title {SENTENCE.strip()}"
+    for names in ("id='page' class='has-sidebar'", "class='no-sidebar'", "class='content with-banner'", "class='sidebar-right'", "id=page class='ads menu-open'"):
+        assert html_text.main_text(f"<body><div {names}>{article}<div class=sidebar><p>{SENTENCE}</p></div></div>") == want, names
+        assert html_text.main_text(f"<main><div {names}>{article}</div></main>") == want, names
+    related = "<div class=related><article><p>Another article that is only shown in short, with a link to it at the end.</p></article></div>"
+    assert html_text.main_text(f"<div class='sidebar-right'>{article}{related}</div>") == want
+    assert html_text.main_text(f"{article}{related}") == want
+    comments = f"<div id=comments><article class=comment><p>{SENTENCE * 3}</p></article></div>"
+    assert html_text.main_text(f"<div><p>{SENTENCE}</p></div>{comments}") == SENTENCE.strip()
+    for tag in ("nav", "footer", "aside", "form"):
+        assert html_text.main_text(f"<{tag} class=sidebar>{article}</{tag}>") == ""
