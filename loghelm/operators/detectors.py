@@ -196,21 +196,36 @@ def counted_findings(
 ) -> DataFrame:
     """Brute force, directory enumeration and scanner findings (or ``only`` one of them)."""
     names = [only] if only else COUNTING_DETECTORS
-    hits = expand_hits(apply_filters(log, filters), [CANDIDATE_TESTS[name] for name in names], CANDIDATE_COLUMNS)
-    return _counted_findings(_candidates(hits, names))
+    return _counted_findings(candidates(apply_filters(log, filters), names))
+
+
+def candidates(rows: DataFrame, detectors: list[str]) -> DataFrame:
+    """Rows that the counting detectors count, once for each."""
+    hits = expand_hits(rows, [CANDIDATE_TESTS[name] for name in detectors], CANDIDATE_COLUMNS)
+    return _candidates(hits, detectors)
 
 
 def _counted_findings(candidates: DataFrame) -> DataFrame:
-    group = ["detector", "upload_id", "ip", "target"]
+    return findings_of_counts(candidates.groupBy(*COUNT_KEYS).agg(*counts_of_candidates()))
+
+
+COUNT_KEYS = ["detector", "upload_id", "ip", "target", "path"]
+
+
+def counts_of_candidates() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("hits"),
+        F.count_if(F.col("status_code") == 401).alias("denied"),
+        F.count_if(F.col("status_code") == 404).alias("missing"),
+        F.min("timestamp").alias("first_seen"),
+    ]
+
+
+def findings_of_counts(by_path: DataFrame) -> DataFrame:
+    """Findings of the counting detectors from ``counts_of_candidates`` by ``COUNT_KEYS``."""
+    group = [key for key in COUNT_KEYS if key != "path"]
     counts = (
-        candidates.groupBy(*group, "path")
-        .agg(
-            F.count(F.lit(1)).alias("hits"),
-            F.count_if(F.col("status_code") == 401).alias("denied"),
-            F.count_if(F.col("status_code") == 404).alias("missing"),
-            F.min("timestamp").alias("first_seen"),
-        )
-        .groupBy(*group)
+        by_path.groupBy(*group)
         .agg(
             F.sum("hits").alias("hits"), F.sum("denied").alias("denied"),
             F.sum("missing").alias("missing"), F.count("path").alias("paths"),

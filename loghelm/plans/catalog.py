@@ -450,9 +450,21 @@ def _stream_findings(spark: SparkSession, directory: str) -> DataFrame:
     return _appended(spark, found, "stream-findings")
 
 
-def _stream_ip_risk(spark: SparkSession, directory: str) -> DataFrame:
+def _running_risk(spark: SparkSession, directory: str) -> DataFrame:
     found = jobs.row_findings(_log_stream(spark, directory), default_pack().rules)
-    return _updated(spark, jobs.running_risk(found), ["period_start", "ip"], "stream-risk").drop("period_start")
+    return _updated(spark, jobs.running_risk(found), ["period_start", "ip"], "stream-risk")
+
+
+def _stream_ip_risk(spark: SparkSession, directory: str) -> DataFrame:
+    """Of row findings, as its SQL."""
+    return jobs.total_risk(_running_risk(spark, directory))
+
+
+def _stream_ip_risk_all(spark: SparkSession, directory: str) -> DataFrame:
+    """Of all findings, as ``ip_risk``."""
+    counts = jobs.candidate_counts(_log_stream(spark, directory))
+    latest = _updated(spark, counts, ["period_start", *detectors.COUNT_KEYS], "stream-counts")
+    return jobs.total_risk(_running_risk(spark, directory), latest)
 
 
 def _stream_dedup(spark: SparkSession, directory: str) -> DataFrame:
@@ -588,5 +600,6 @@ QUERIES: dict[str, Query] = {
     "stream_alerts": _query(_stream_alerts),
     "stream_findings": _query(_stream_findings),
     "stream_ip_risk": _query(_stream_ip_risk),
+    "stream_ip_risk_all": _query(_stream_ip_risk_all),
     "stream_dedup": _query(_stream_dedup),
 }

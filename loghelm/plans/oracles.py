@@ -626,5 +626,6 @@ ORACLES: dict[str, str] = {
     "stream_ip_risk": _sql(
         "ip:s score:l risk_score:l severity:s findings:l", "SELECT * FROM risk", f"found AS ({NATIVE_ROWS} UNION ALL {SIGMA}), {RISK}"
     ),
+    "stream_ip_risk_all": _sql("ip:s score:l risk_score:l severity:s findings:l", "SELECT * FROM risk", f"{ALL}, {RISK}"),
     "stream_dedup": _sql(BASE, "SELECT * FROM log"),
 }

@@ -7,13 +7,14 @@ state. Sinks are files written with a checkpoint, or ``foreachBatch`` for update
 import datetime as dt
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from loghelm.operators.detectors import (
-    LOGIN_WORDS, PROBE_PATHS, RowRule, match_rows, native_row_rules,
+    COUNT_KEYS, COUNTING_DETECTORS, LOGIN_WORDS, PROBE_PATHS, RowRule, candidates, counts_of_candidates, findings_of_counts,
+    match_rows, native_row_rules,
 )
 from loghelm.operators.parse import entries, parse
 from loghelm.operators.risk import MAX_SCORE, OTHER_POINTS, SEVERITY_POINTS, risk_class
@@ -177,16 +178,42 @@ def running_risk(findings: DataFrame, period: str = "365 days", watermark: str =
 
     A period's state goes once the watermark has passed its end.
     """
-    points = F.lit(OTHER_POINTS)
-    for severity, value in SEVERITY_POINTS.items():
-        points = F.when(F.col("severity") == severity, value).otherwise(points)
     totals = findings.withWatermark("timestamp", watermark).groupBy(
         F.window("timestamp", period).alias("_w"), "ip"
-    ).agg(F.sum(points).alias("score"), F.count(F.lit(1)).alias("findings"))
+    ).agg(F.sum(_points()).alias("score"), F.count(F.lit(1)).alias("findings"))
     risk = F.least(F.col("score"), F.lit(MAX_SCORE).cast("bigint"))
     return totals.select(F.col("_w.start").alias("period_start"), "ip", "score", risk.alias("risk_score"), risk_class(risk).alias("severity"), "findings")
 
 
+def _points() -> Column:
+    points = F.lit(OTHER_POINTS)
+    for severity, value in SEVERITY_POINTS.items():
+        points = F.when(F.col("severity") == severity, value).otherwise(points)
+    return points
+
+
+def candidate_counts(log: DataFrame, period: str = "365 days", watermark: str = "1 day") -> DataFrame:
+    """Counts of brute force, enumeration and scanner candidates per path and period so far (update mode).
+
+    Paths are kept, as their number decides a severity; a period's state goes once the watermark has passed its end.
+    """
+    rows = candidates(log.withWatermark("timestamp", watermark), COUNTING_DETECTORS)
+    counted = rows.groupBy(F.window("timestamp", period).alias("_w"), *COUNT_KEYS).agg(*counts_of_candidates())
+    return counted.select(F.col("_w.start").alias("period_start"), *COUNT_KEYS, "hits", "denied", "missing", "first_seen")
+
+
+def total_risk(running: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Score and class per address over all periods, from the latest rows of ``running_risk`` and, for the findings of the
+    counting detectors, of ``candidate_counts``. A target's counts are summed over periods before they are judged."""
+    parts = running.select("ip", "score", "findings")
+    if counts is not None:
+        found = findings_of_counts(counts).groupBy("ip").agg(F.sum(_points()).alias("score"), F.count(F.lit(1)).alias("findings"))
+        parts = parts.unionByName(found)
+    totals = parts.groupBy("ip").agg(F.sum("score").alias("score"), F.sum("findings").alias("findings"))
+    risk = F.least(F.col("score"), F.lit(MAX_SCORE).cast("bigint"))
+    return totals.select("ip", "score", risk.alias("risk_score"), risk_class(risk).alias("severity"), "findings")
+
+
 def distinct_lines(log: DataFrame, keys: list[str], watermark: str = "1 day") -> DataFrame:
     """Drop rows replayed within the watermark."""
     return log.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(keys)
