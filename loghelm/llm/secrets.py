@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
@@ -22,6 +23,8 @@ from loghelm.llm.common import by_bytes
 
 #: Characters around a span in which a part of the same credential may stand.
 REACH = 240
+#: Bits a character from which a word is random-looking, and characters of the stretches a long word is cut into.
+LEAST_ENTROPY, STRETCH = 3.0, 256
 KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
 
 # The base patterns and their least lengths.
@@ -59,7 +62,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _entropy(word: str) -> float:
-    return -sum(n * log2(n) for n in (word.count(c) / len(word) for c in set(word)))
+    return -sum(n * log2(n) for n in (count / len(word) for count in Counter(word).values()))
+
+
+def _random(word: str) -> bool:
+    """Whether the word, or of a long one any stretch wherever it lies between duller ones, is random-looking."""
+    return _entropy(word) >= LEAST_ENTROPY or len(word) > STRETCH and any(
+        _entropy(word[at : at + STRETCH]) >= LEAST_ENTROPY for at in range(0, len(word) - STRETCH // 2, STRETCH // 2)
+    )
 
 
 def weak_candidates(text: str) -> list[Span]:
@@ -68,7 +78,7 @@ def weak_candidates(text: str) -> list[Span]:
     for m in _RANDOM.finditer(text):
         word = m[0]
         classes = bool(re.search("[a-z]", word)) + bool(re.search("[A-Z]", word)) + bool(re.search("[0-9]", word))
-        if classes >= 2 and re.search("[0-9]", word) and _entropy(word[:256]) >= 3.0:
+        if classes >= 2 and re.search("[0-9]", word) and _random(word):
             found.append(("secret", m.start(), m.end()))
     return found + [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
 

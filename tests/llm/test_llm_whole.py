@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loghelm.llm import html_text, labelled, toxicity
+from loghelm.llm import html_text, labelled, secrets, toxicity
 
 
 def test_toxicity_cut_does_not_depend_on_the_bound(spark):
@@ -50,3 +50,12 @@ def test_main_text_takes_parts_around_the_article_as_wrappers():
     assert html_text.main_text(f"<div><p>{SENTENCE}</p></div>{comments}") == SENTENCE.strip()
     for tag in ("nav", "footer", "aside", "form"):
         assert html_text.main_text(f"<{tag} class=sidebar>{article}</{tag}>") == ""
+
+
+def test_long_tokens_are_judged_whole():
+    key = "".join("aZ3kQ9xB7mW2pL5vT8cR1nY6"[i * 7 % 24] for i in range(600))
+    spans = lambda token: [s["kind"] for s in secrets.scan(f"see https://host.example.com/x then {token} end")]
+    assert spans(key) == ["endpoint", "secret"]
+    assert spans("A1" * 150 + key) == ["endpoint", "secret"]  # a dull header first
+    assert spans(key[:300] + "A1" * 20_000) == spans("A1" * 20_000 + key[:300]) == ["endpoint", "secret"]
+    assert spans("A1" * 150) == []
