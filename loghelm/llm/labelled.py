@@ -36,7 +36,8 @@ def labelled_sample(
 ) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Whole texts, their 0/1 labels and a number in [0, 1) for each, of at most ``per_class`` rows of either label.
 
-    Which rows are taken depends on a hash of doc_id only. The chosen ids (at most twice ``per_class``) are sent to all
+    Which rows are taken depends on a hash of doc_id only. Of an id's rows the smallest text counts, found before the
+    shuffle and the driver. The chosen ids (at most twice ``per_class``) are sent to all
     executors, so texts of other rows don't leave their task.
     """
     rows = learnable(labels, label, learn_from).withColumn("place", F.xxhash64("doc_id", F.lit(label)))
@@ -44,7 +45,8 @@ def labelled_sample(
         rows.where("label = 0").orderBy("place", "doc_id").limit(per_class)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("place", "text", "label").toPandas()
+    joined = texts.join(F.broadcast(chosen), "doc_id")
+    found = joined.groupBy("doc_id", "place", "label").agg(F.min("text").alias("text")).drop("doc_id").toPandas()
     found = found.sort_values(["place", "text"], kind="stable")
     part = (found["place"].to_numpy().astype(np.int64).view(np.uint64) % np.uint64(1 << 20)).astype(float) / (1 << 20)
     return found["text"].tolist(), found["label"].to_numpy(dtype=np.float32), part

@@ -59,3 +59,12 @@ def test_long_tokens_are_judged_whole():
     assert spans("A1" * 150 + key) == ["endpoint", "secret"]  # a dull header first
     assert spans(key[:300] + "A1" * 20_000) == spans("A1" * 20_000 + key[:300]) == ["endpoint", "secret"]
     assert spans("A1" * 150) == []
+
+
+def test_labelled_ids_give_one_text_each(spark):
+    docs = spark.createDataFrame([(i % 6, f"t{i}") for i in range(600)] + [(7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    texts, truth, part = labelled.labelled_sample(docs, labels, "toxic", F.lit(True), 100)
+    assert len(texts) == len(truth) == len(part) == 7
+    smallest = [(min(f"t{i}" for i in range(k, 600, 6)), k % 2) for k in range(6)]
+    assert sorted(zip(texts, truth)) == sorted([("", 1), *smallest])
