@@ -1,4 +1,4 @@
-"""An FM-index over words: Burrows-Wheeler transform, wavelet matrix with compressed bit vectors, backward search."""
+"""An FM-index over words: Burrows-Wheeler transform, wavelet matrix of plain packed bit vectors, backward search."""
 
 from __future__ import annotations
 
