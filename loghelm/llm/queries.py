@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loghelm.llm import decontaminate, exact_dedup, html_text, lexical, mixing, near_duplicates, quality, secrets, sharding, substring_dedup, toxicity
+from loghelm.llm import decontaminate, exact_dedup, hard_negatives, html_text, lexical, mixing, near_duplicates, quality, secrets, sharding, substring_dedup, toxicity
 from loghelm.llm.common import read
 
 
@@ -25,11 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": _on(quality.op8_quality, "documents", "labels"),
     "op9_sharding": _on(sharding.op9_sharding, "documents"),
     "op10_secrets": _on(secrets.op10_secrets, "documents"),
+    "op11_hard_negatives": _on(hard_negatives.op11_hard_negatives, "embeddings"),
     "op13_lexical": _on(lexical.op13_lexical, "documents", "benchmark"),
 }
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
     "op13_lexical": lexical.OP13_SQL,
 }
