@@ -45,9 +45,10 @@ class Columns:
     ``restored`` gives them their names back.
     """
 
-    def __init__(self, docs: DataFrame, *results: str):
+    def __init__(self, docs: DataFrame, *results: str, **more: Column):
+        """more: further columns of the frame, by conditions on the caller's."""
         self.names, taken = docs.columns, {name.lower() for name in results}
-        self.frame = docs.toDF(*[f"c{i}" for i in range(len(self.names))])
+        self.frame = docs.select("*", *more.values()).toDF(*[f"c{i}" for i in range(len(self.names))], *more)
         self.places = [i for i, name in enumerate(self.names) if name.lower() not in taken]
         self.kept = [f"c{i}" for i in self.places]
 

@@ -41,7 +41,7 @@ def _rotated(vectors: np.ndarray, seed: int) -> np.ndarray:
         out *= rng.choice([-1.0, 1.0], size)
         width = 1
         while width < size:
-            pairs = out.reshape(len(out), -1, 2, width)
+            pairs = out.reshape(len(out), size // (2 * width), 2, width)
             out = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(out), size)
             width *= 2
         out /= np.sqrt(size)

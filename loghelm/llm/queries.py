@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loghelm.llm import decontaminate, exact_dedup, hard_negatives, html_text, lexical, mixing, near_duplicates, quality, secrets, sharding, substring_dedup, toxicity
+from loghelm.llm import decontaminate, exact_dedup, hard_negatives, html_text, language_model, lexical, mixing, near_duplicates, quality, secrets, sharding, substring_dedup, toxicity
 from loghelm.llm.common import read
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": _on(sharding.op9_sharding, "documents"),
     "op10_secrets": _on(secrets.op10_secrets, "documents"),
     "op11_hard_negatives": _on(hard_negatives.op11_hard_negatives, "embeddings"),
+    "op12_language_model": _on(language_model.op12_language_model, "documents"),
     "op13_lexical": _on(lexical.op13_lexical, "documents", "benchmark"),
 }
 

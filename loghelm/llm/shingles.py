@@ -6,7 +6,7 @@ import numpy as np
 from xxhash import xxh3_64_intdigest
 
 #: Odd multipliers of the words of an n-gram, by place, from a fixed seed.
-_PLACES = np.random.default_rng(20).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+PLACES = np.random.default_rng(20).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 WORDS_KEPT = 400_000
 
 
@@ -38,5 +38,5 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     n = min(n, len(words))
     total = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
-        total += words[k : len(words) - n + 1 + k] * _PLACES[k]
+        total += words[k : len(words) - n + 1 + k] * PLACES[k]
     return mix(total + np.uint64(n))
