@@ -36,7 +36,7 @@ PROBES = 6
 #: Bytes of text for which there is one part, and bytes of parts that are broadcast at once.
 PART_BYTES, SLICE_BYTES = 8 << 20, 256 << 20
 #: Tokens that a task counts or scores at once (a text alone may have more).
-STEP_TOKENS = 3_000_000
+STEP_TOKENS = 1_500_000
 #: Names of what isn't a word: texts end with one, and begin after the other.
 _END, _BEGIN = b"\n", b"\n\n"
 

@@ -39,7 +39,12 @@ _NAMED_ID = re.compile(
 )
 _CAPITAL_ID = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{12,40}(?![A-Za-z0-9])")
 _RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,12}://[^\s"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|cloud|internal|local)(?::\d+)?\b""", re.I | re.A)
+# Every search for a weak part is linear: a run of characters is read from its start only, and its ending is tested apart.
+_URL = re.compile(r"""\b[a-z][a-z0-9+.-]{1,12}://[^\s"'<>]+""", re.I | re.A)
+_HOST_RUN = re.compile(r"[a-z0-9-]++(?:\.[a-z0-9-]++)*+", re.I | re.A)
+_HOST_START = re.compile(r"\b[a-z0-9-]", re.I | re.A)
+_HOST_END = re.compile(r"\.(?:com|net|org|io|cloud|internal|local)\b", re.I | re.A)
+_PORT = re.compile(r":\d++\b", re.A)
 _SECTION = re.compile(r"\n[\x20\t\r]*\n")
 #: What each kind stands for, and which parts complete it.
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "secret": "secret", "endpoint": "endpoint"}
@@ -72,6 +77,23 @@ def _random(word: str) -> bool:
     )
 
 
+def endpoints(text: str) -> list[Span]:
+    """URLs, and host names with a known ending and perhaps a port outside them."""
+    urls = [(m.start(), m.end()) for m in _URL.finditer(text)]
+    found, next_url = [("endpoint", *url) for url in urls], 0
+    for run in _HOST_RUN.finditer(text):
+        while next_url < len(urls) and urls[next_url][1] <= run.start():
+            next_url += 1
+        if next_url < len(urls) and urls[next_url][0] < run.end():
+            continue
+        start = _HOST_START.search(text, run.start(), run.end())
+        ends = [m.end() for m in _HOST_END.finditer(text, start.start() + 1, run.end() + 1)] if start else []
+        if ends:
+            port = _PORT.match(text, ends[-1])
+            found.append(("endpoint", start.start(), port.end() if port else ends[-1]))
+    return found
+
+
 def weak_candidates(text: str) -> list[Span]:
     found = [("identifier", m.start(1), m.end(1)) for m in _NAMED_ID.finditer(text)]
     found += [("identifier", m.start(), m.end()) for m in _CAPITAL_ID.finditer(text)]
@@ -80,24 +102,20 @@ def weak_candidates(text: str) -> list[Span]:
         classes = bool(re.search("[a-z]", word)) + bool(re.search("[A-Z]", word)) + bool(re.search("[0-9]", word))
         if classes >= 2 and re.search("[0-9]", word) and _random(word):
             found.append(("secret", m.start(), m.end()))
-    return found + [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
+    return found + endpoints(text)
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates that a complementary part, weak or not, stands next to. Spans that touch a base span are left out,
     and of weak ones that overlap the first kind wins."""
-    taken: list[tuple[int, int]] = []  # apart from each other and sorted
-    for begin, end in sorted((b, e) for _, b, e in base):
-        if taken and begin < taken[-1][1]:
-            taken[-1] = (taken[-1][0], max(end, taken[-1][1]))
-        else:
-            taken.append((begin, end))
+    taken = bytearray(len(text))
+    for _, begin, end in base:
+        taken[begin:end] = b"\1" * (end - begin)
     weak = []
     for span in weak_candidates(text):
-        at = bisect_left(taken, (span[2],))
-        if at == 0 or taken[at - 1][1] <= span[1]:
+        if taken.find(1, span[1], span[2]) < 0:
             weak.append(span)
-            taken.insert(at, span[1:])
+            taken[span[1] : span[2]] = b"\1" * (span[2] - span[1])
     if not weak:
         return []
     ends = [m.start() for m in _SECTION.finditer(text)]
