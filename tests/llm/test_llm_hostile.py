@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from loghelm.llm import html_text, secrets
+from loghelm.llm import decontaminate, html_text, near_duplicates, secrets
 
 RUSSIAN = (
     "Река берёт начало на склонах хребта, где снег лежит до середины лета, и течёт на север через широкую долину. "
@@ -107,3 +107,123 @@ def test_linked_spans_equal_a_plain_version():
         assert sorted(got) == sorted(plain_linked(text, base, secrets.weak_candidates(text)))
         linked += len(got)
     assert linked > 400
+
+
+def fewest_edits(item, text):
+    """Of the item against any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def edited(rng, item, edits, letters):
+    codes = list(item)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(codes)), rng.choice("sid")
+        codes[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice(letters)]
+    return "".join(codes)
+
+
+@pytest.mark.parametrize("stem", ["", "which of the following "])
+def test_benchmark_equals_edit_distance_at_every_length(stem):
+    """Every item length from 10 to 120, texts with edits around the budget, also at the ends of a text."""
+    rng, letters = random.Random(4), "abcdefghij"
+    items = [(stem + "".join(rng.choice(letters) for _ in range(130)))[:n] for n in range(10, 121)]
+    block = decontaminate.Items(list(range(len(items))), items)
+    folded = ["".join(map(chr, codes)) for codes in block.codes]
+    texts = []
+    for i, item in enumerate(folded):
+        for extra in (-1, 0, 1):
+            body = edited(rng, item, max(0, int(block.edits[i]) + extra), letters)
+            texts.append(rng.choice(["", "x" * rng.randrange(40) + " "]) + body + rng.choice(["", " zz " + "y" * rng.randrange(40)]))
+    got = block.search(texts)
+    assert sum(bool(g) for g in got) > 200
+    fold = lambda text: "".join(map(chr, decontaminate.folded([text])[0][:-1]))
+    for text, hits in zip(texts, got):
+        found = {}
+        for h in hits:
+            found[h["item_id"]] = min(found.get(h["item_id"], 99), h["edits"])
+            assert fewest_edits(folded[h["item_id"]], fold(text[h["begin"] : h["end"]])) == h["edits"]
+        near = rng.sample(range(len(items)), 25)
+        body = fold(text)
+        for i in near:
+            if abs(len(folded[i]) - len(body)) > 95 and i not in found:
+                continue
+            least = fewest_edits(folded[i], body)
+            assert (found.get(i) == least) if least <= block.edits[i] else i not in found, (text, folded[i], least)
+
+
+def test_benchmark_items_with_one_stem():
+    """8,192 items that begin alike, and texts that hold the beginning again and again."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    stem = "which one of the following statements about the given passage is true "
+    items = [stem + " ".join(word() for _ in range(rng.randrange(5, 12))) for _ in range(8192)]
+    block = decontaminate.Items(list(range(8192)), items)
+    texts, want = [], []
+    for i in range(60):
+        own = rng.sample(range(8192), 2)
+        parts = [stem + " ".join(word() for _ in range(20)) for _ in range(4)] + [items[own[0]], edited(rng, items[own[1]], 3, "xyz")]
+        rng.shuffle(parts)
+        texts.append(". ".join(parts))
+        want.append(set(own))
+    start = time.process_time()
+    got = block.search(texts)
+    assert time.process_time() - start < 40
+    assert [{h["item_id"] for h in hits} for hits in got] == want
+
+
+def test_benchmark_of_repeated_characters():
+    block = decontaminate.Items([1, 2], ["a" * 150, "ab" * 60])
+    got = seconds(block.search, ["a" * 200_000, "ab" * 100_000])
+    assert got < 30
+    hits = block.search(["a" * 3000, "ab" * 1500 + " c"])
+    assert [{h["item_id"] for h in found} for found in hits] == [{1}, {2}]
+
+
+def template_rows(n, changed, seed=2):
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        words = list(template)
+        for at in rng.sample(range(100), changed):
+            words[at] = f"c{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("changed", "block"), [(8, 16), (3, 16), (1, 16)])
+def test_templates_equal_all_pairs(spark, monkeypatch, changed, block):
+    """Texts of one template, unlike, at the border and alike: units are buckets or the whole, results those of all pairs."""
+    from test_llm_queries import plain_classes
+
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rows = template_rows(150, changed) + template_rows(10, 1, 5)
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99999).collect()}
+    assert got == plain_classes(rows)
+
+
+def test_templates_are_compared_by_bucket(spark):
+    """Comparisons follow the pairs that share a bucket, not the square of the chain that accidental ties make."""
+    docs = spark.createDataFrame(template_rows(1600, 5), "node long, text string").selectExpr("cast(node as string) node", "text")
+    signed = near_duplicates.signatures(docs, 5, near_duplicates.bands_for(0.8, 0.99, 8), 8).cache()
+    units = near_duplicates.candidate_units(signed, docs.selectExpr("node", "cast(length(text) as long) bytes")).collect()
+    sizes = {r.unit: r.n for r in units}
+    compared = sum(n * n // 2 for n in sizes.values())
+    buckets = signed.selectExpr("explode(bands) band").groupBy("band").count().where("count > 1").collect()
+    assert compared <= sum(r["count"] ** 2 // 2 for r in buckets) + 1600 * 256 / 2
+    assert compared < 1600**2 / 8 and any(unit.startswith("band ") for unit in sizes)
+
+
+def test_blocks_are_cut_by_bytes(spark, monkeypatch):
+    from test_llm_queries import plain_classes
+
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", 2000)
+    rows = template_rows(60, 1)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99999).collect()}
+    assert got == plain_classes(rows)
