@@ -3,15 +3,15 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of ``documents``;
 the last adds shard and slot. Between stages the rows are written as Parquet to the shared folder and read again, so a
 lost executor never costs more than one stage. Nulls, empty texts, repeated rows and empty tables have the results that
-the operators state; columns that ``docs`` has besides are passed on.
+the operators state; columns that ``docs`` has besides are passed on under any name but shard, slot and text_hash, which
+the last stage sets or uses.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loghelm.llm.common import materialize, read
+from loghelm.llm.common import Columns, materialize, read
 from loghelm.llm.decontaminate import decontaminate
 from loghelm.llm.mixing import mix_sources
 from loghelm.llm.near_duplicates import keep_one_of_each_class
@@ -23,8 +23,9 @@ SHARDS = 8
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under 0.5 go."""
-    scored = fitted_scores(docs, read(spark, sf_dir, "labels"), "_quality")
-    return scored.where(F.col("_quality") >= 0.5).select(*docs.columns)
+    own = Columns(docs)
+    named = own.frame.select(*own.kept, own["doc_id"].alias("doc_id"), own["text"].alias("text"))
+    return own.restored(fitted_scores(named, read(spark, sf_dir, "labels"), "score").where("score >= 0.5"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated so that sources get their target shares, and shuffled."""
-    return mix_sources(docs).select(*docs.columns)
+    own = Columns(docs)
+    named = own.frame.select(*own.kept, *[own[name].alias(name) for name in ("doc_id", "text", "source")])
+    return own.restored(mix_sources(named))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

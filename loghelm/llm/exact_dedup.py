@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.llm.common import materialize
+from loghelm.llm.common import Columns, materialize
 
 
 def exact_classes(
@@ -22,43 +22,35 @@ def exact_classes(
     keep: which id of a group stays, "smallest" or "largest". content_hash: 128-bit hash of the text (MD5 by default).
     A null text counts as empty. Rows with a null id never stay unless their group has no other id; then keep_id is null
     and all of them stay. Rows that repeat the id that stays and its text are the same row and all stay. An empty table
-    gives an empty result. Columns of ``docs`` other than the id are passed on unless a result column has their name.
+    gives an empty result. Columns of ``docs`` are passed on unless a result column has their name, in any case.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    digest = F.md5(text) if content_hash is None else content_hash
+    names = ["keep_id", "group_size", "kept", "text_sha256"]
+    own = Columns(docs, *names, **({} if content_hash is None else {"hash": content_hash}))
+    text = F.coalesce(own[text_column], F.lit(""))
     pick = {"smallest": F.min, "largest": F.max}[keep]
-    hashed = docs.select(F.col(id_column).alias("_id"), text.alias("_text"), digest.alias("_hash"))
+    frame = own.frame.withColumn("hash", F.md5(text) if content_hash is None else F.col("hash"))
+    hashed = frame.select(own[id_column].alias("id"), text.alias("text"), "hash")
 
-    groups = hashed.groupBy("_hash").agg(
-        pick("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
-        F.min("_text").alias("_low"), F.max("_text").alias("_high"),
+    groups = hashed.groupBy("hash").agg(
+        pick("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min("text").alias("low"), F.max("text").alias("high")
     )
     groups = materialize(
-        groups.select(
-            "_hash", "keep_id", "group_size", F.sha2("_low", 256).alias("text_sha256"),
-            (F.col("_low") == F.col("_high")).alias("_same"),
-        ),
+        groups.select("hash", "keep_id", "group_size", F.sha2("low", 256).alias("text_sha256"), (F.col("low") == F.col("high")).alias("same")),
         "exact-groups",
     )
-    names = ["keep_id", "group_size", "kept", "text_sha256"]
-    rest = [c for c in docs.columns if c not in names]
-    kept = (F.col(id_column).eqNullSafe(F.col("keep_id"))).alias("kept")
-    rows = docs.select(*rest, digest.alias("_hash"))
-    out = rows.join(groups, "_hash", "left")
-    clean = out.where("_same").select(*rest, "keep_id", "group_size", kept, "text_sha256")
-    if groups.where("not _same").isEmpty():
+    kept = own[id_column].eqNullSafe(F.col("keep_id")).alias("kept")
+    shown = lambda joined: own.restored(joined, "keep_id", "group_size", kept, "text_sha256")
+    clean = shown(frame.join(groups, "hash", "left").where("same"))
+    if groups.where("not same").isEmpty():
         return clean
 
     # Two contents under one hash: those rows only, by the whole text.
-    colliding = groups.where("not _same").select("_hash")
-    again = hashed.join(colliding, "_hash", "left_semi")
+    colliding = groups.where("not same").select("hash")
     exact = materialize(
-        again.groupBy("_hash", "_text").agg(pick("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .withColumn("text_sha256", F.sha2("_text", 256)),
-        "exact-collisions",
-    )
-    mended = docs.select(*rest, digest.alias("_hash"), text.alias("_text")).join(exact, ["_hash", "_text"])
-    return clean.unionByName(mended.select(*rest, "keep_id", "group_size", kept, "text_sha256"))
+        hashed.join(colliding, "hash", "left_semi").groupBy("hash", "text").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .withColumn("text_sha256", F.sha2("text", 256)), "exact-collisions",
+    )
+    return clean.union(shown(frame.withColumn("text", text).join(exact, ["hash", "text"])))
 
 
 def op5_exact_dedup(documents: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.llm.common import materialize, parallelism, unit_interval
+from loghelm.llm.common import Columns, materialize, parallelism, unit_interval
 
 #: Largest mean inverted at once.
 PART = 16.0
@@ -62,34 +62,32 @@ def mix_sources(
     """``docs`` replicated to the target weights, with copy (0, 1, ..) and mix_rate, shuffled globally.
 
     Null texts count as empty (one byte, as every document has one for its end), a null source is a source of its own,
-    rows with equal id and text get equal counts, and an empty table stays empty. Columns named copy, copies or mix_rate
-    are replaced.
+    rows with equal id and text get equal counts, and an empty table stays empty. Columns named copy, copies or mix_rate,
+    in any case, are replaced. Rows that repeat, null ids included, are dealt out by their place in the input besides.
     """
     spark = docs.sparkSession
-    extra = [c for c in docs.columns if c not in ("copy", "copies", "mix_rate")]
+    own = Columns(docs, "copy", "copies", "mix_rate")
+    docs = own.frame.withColumn("row", F.monotonically_increasing_id())
     parts = F.greatest(F.ceil(F.col("rate") / F.lit(PART)), F.lit(1)).cast("int")
-    rates = source_rates(docs, weights, temperature, epochs).select(
-        F.col("source").alias("_source"), F.col("rate").alias("mix_rate"), parts.alias("_parts"),
-        _cumulative(F.col("rate") / parts).alias("_sums"),
+    rates = source_rates(docs.select(own["source"].alias("source"), own["text"].alias("text")), weights, temperature, epochs).select(
+        "source", F.col("rate").alias("mix_rate"), parts.alias("parts"), _cumulative(F.col("rate") / parts).alias("sums")
     )
-    own = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    content = F.md5(F.coalesce(own["text"], F.lit("")))
+    ident = F.coalesce(own["doc_id"].cast("string"), F.lit("null"))
     # A row of rates is under 1 KB. Longer lists of sources are joined by shuffle.
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    rated = docs.select(*extra).join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    rated = docs.join(rates, own["source"].eqNullSafe(F.col("source")))
 
     # As many bounds as lie at or below the number are passed: an inverted distribution.
-    numbers = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda part: unit_interval(F.lit(seed), ident, own, part))
-    passed = lambda acc, number: acc + F.size(F.filter(F.col("_sums"), lambda bound: bound <= number))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: unit_interval(F.lit(seed), ident, content, part))
+    passed = lambda acc, number: acc + F.size(F.filter(F.col("sums"), lambda bound: bound <= number))
     counted = rated.withColumn("copies", F.aggregate(numbers, F.lit(0), passed))
     each = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
     out = counted.withColumn("copy", F.explode(each))
-    place = F.xxhash64(F.lit(seed), ident, F.col("copy"))
-    return (
-        out.withColumn("_place", place).repartition(parallelism(spark), "_place").sortWithinPartitions("_place")
-        .select(*extra, "copy", "copies", "mix_rate")
-    )
+    place = F.xxhash64(F.lit(seed), ident, content, F.col("copy"), F.col("row"))
+    out = out.withColumn("place", place).repartition(parallelism(spark), "place").sortWithinPartitions("place")
+    return own.restored(out, "copy", "copies", "mix_rate")
 
 
 def op3_mix_sources(documents: DataFrame) -> DataFrame:

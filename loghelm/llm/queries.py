@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": mixing.OP3_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
     "op13_lexical": lexical.OP13_SQL,

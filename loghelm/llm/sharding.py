@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loghelm.llm.common import materialize, unit_interval
+from loghelm.llm.common import Columns, materialize, unit_interval
 
 #: Rows of a group that share one bucket of the ranking, at least; larger groups are spread over several.
 GROUP_ROWS = 64
@@ -104,9 +104,10 @@ def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def assign_shards(rows: DataFrame, shards: int = 8, rounds: int = 5, seed: int = 5) -> DataFrame:
     """``rows`` (doc_id, text_hash, and what else is to be kept) with shard and slot. Rows should be light: they are
-    shuffled twice."""
-    rows = materialize(rows, "shard-rows")
+    shuffled twice. They are stored with a number each, so that rows that repeat, null ids included, are ranked in many
+    tasks as well."""
     names = [c for c in rows.columns if c not in ("shard", "slot")]
+    rows = materialize(rows.select(*names, F.monotonically_increasing_id().alias("row_number")), "shard-rows")
     light = rows.select("doc_id", "text_hash")
     groups = materialize(
         light.groupBy("text_hash").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"),
@@ -128,7 +129,7 @@ def assign_shards(rows: DataFrame, shards: int = 8, rounds: int = 5, seed: int =
 
     # Linked rows come first in the ranking of a shard, group by group; large groups take several buckets.
     buckets = max(BUCKETS, total // (shards * BUCKET_ROWS))
-    order = F.xxhash64(F.lit(seed), "text_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    order = F.xxhash64(F.lit(seed), "text_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row_number")
     spread = F.ceil(F.col("members") / F.lit(max(GROUP_ROWS, total // (shards * buckets))))
     near = F.pmod(F.xxhash64("text_hash") + F.pmod(order, spread), F.lit(buckets))
     rows = rows.withColumn("id", node("doc_id")).join(labels, "id", "left")
@@ -164,16 +165,18 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 5, seed: int
 
     Equal texts are linked. Row counts of any two shards differ by one at most. Null texts count as empty and equal; rows
     that repeat another (id included) share a node and are still placed one by one; an empty table gives an empty result.
-    Columns named shard, slot or text_hash are replaced. Rows are stored once with a number, and only numbers, ids and
+    Columns named shard, slot or text_hash, in any case, are replaced. Rows are stored once with a number, and only numbers, ids and
     hashes take part in the placement; texts are shuffled once, to meet their place.
     """
-    names = [c for c in docs.columns if c not in ("shard", "slot", "text_hash", "_row")]
+    own = Columns(docs, "shard", "slot", "text_hash")
     stored = materialize(
-        docs.select(*names, F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"), F.monotonically_increasing_id().alias("_row")),
-        "shard-documents",
-    )
-    placed = assign_shards(stored.select("_row", "doc_id", "text_hash"), shards, rounds, seed)
-    return stored.join(placed.select("_row", "shard", "slot"), "_row").drop("_row")
+        own.frame.select(
+            *own.kept, own["doc_id"].alias("doc_id"), F.md5(F.coalesce(own["text"], F.lit(""))).alias("text_hash"),
+            F.monotonically_increasing_id().alias("row"),
+        ), "shard-documents",
+    )
+    placed = assign_shards(stored.select("row", "doc_id", "text_hash"), shards, rounds, seed)
+    return own.restored(stored.join(placed.select("row", "shard", "slot"), "row"), "text_hash", "shard", "slot")
 
 
 def op9_sharding(documents: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.llm.common import by_bytes, materialize, parallelism
+from loghelm.llm.common import Columns, by_bytes, materialize, parallelism
 from loghelm.llm.fm_index import FMIndex
 from loghelm.llm.shingles import mix
 from loghelm.session import scratch_dir
@@ -244,12 +244,13 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
 
     Words are runs of characters other than space, tab and line ends. Null texts count as empty; a text shorter than a
     window keeps all its words, an empty table stays empty, and repeated rows are each other's repetition. Result columns
-    replace those with their names.
+    replace those with their names, in any case. The stored texts are a table of the catalog while the operator runs.
     """
     spark = docs.sparkSession
     results = ["n_words", "n_removed", "edges", "kept_sha256"]
-    names = [c for c in docs.columns if c not in (*results, "id1", "id2")]
-    text: Column = F.coalesce(F.col("text"), F.lit(""))
+    own = Columns(docs, *results)
+    docs = own.frame
+    text: Column = F.coalesce(own["text"], F.lit(""))
     # 128 bits that name a text.
     digest = F.md5(text)
     half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
@@ -262,8 +263,15 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         docs.select(*ids, text.alias("text")).groupBy("id1", "id2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
         .write.bucketBy(buckets, "id1", "id2").option("path", scratch_dir(spark, "texts")).option("compression", "zstd").saveAsTable(table)
     )
-    texts = spark.table(table)
+    try:
+        done = _passages(spark.table(table), window, gram, buckets)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+    return own.restored(docs.select(*own.kept, *ids).join(done, ["id1", "id2"]), *results)
 
+
+def _passages(texts: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
+    """The results for each text by id1 and id2, stored. texts: id1, id2, text, copies."""
     again = _minimizers(texts.select("text", "copies"), window, gram).groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1")
     again = materialize(again.select("mini"), "repeated-minimizers")
     segments = _segments(texts.select("id1", "id2", "copies", "text"), window, gram)
@@ -293,10 +301,29 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         masks = masks.unionByName(whole)
 
     places = found.join(masks, ["mini", "content"]).groupBy("id1", "id2").agg(F.collect_list(F.struct("place", "mask")).alias("masks"))
-    done = materialize(_covered(texts.select("id1", "id2", "text").join(places, ["id1", "id2"], "left"), window), "covered")
-    return docs.select(*names, *ids).join(done, ["id1", "id2"]).select(*names, *results)
+    return materialize(_covered(texts.select("id1", "id2", "text").join(places, ["id1", "id2"], "left"), window), "covered")
 
 
 def op4_substring_dedup(documents: DataFrame) -> DataFrame:
     out = repeated_passages(documents.select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS passage
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d)
+), r AS (
+  SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY passage) > 1
+), c AS (
+  SELECT DISTINCT doc_id, i + k AS place FROM r, range(35) t(k)
+), u AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM u ANTI JOIN c USING (doc_id, place) GROUP BY doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
