@@ -154,15 +154,19 @@ def _src_text(spark: SparkSession, directory: str) -> DataFrame:
 def _ingested(spark: SparkSession, directory: str) -> LogStore:
     """A store with a file per dataset, each with some lines at its end that no format takes."""
     log, folder = read_access_log(spark, directory), scratch_dir(spark, "ingest")
-    for upload_id, name in DATASET_FORMATS.items():
-        mine = log.where(F.col("upload_id") == upload_id)
-        rows = render(mine, name).select("value").unionByName(_bad_lines(mine))
-        rows.coalesce(1).write.text(f"{folder}/raw/{name}")
+    for upload_id in DATASET_FORMATS:
+        _write_raw(log, upload_id, folder)
     store = LogStore(spark, f"{folder}/store")
     store.ingest_folder(f"{folder}/raw", AS_OF)
     return store
 
 
+def _write_raw(log: DataFrame, upload_id: int, folder: str) -> None:
+    mine, name = log.where(F.col("upload_id") == upload_id), DATASET_FORMATS[upload_id]
+    rows = render(mine, name).select("value").unionByName(_bad_lines(mine))
+    rows.coalesce(1).write.text(f"{folder}/raw/{name}")
+
+
 def _bad_lines(log: DataFrame) -> DataFrame:
     return log.where(F.col("bytes_sent") % 7 == 0).select(
         F.concat(F.lit("?? "), "ip", F.lit(" "), F.col("bytes_sent").cast("string")).alias("value")
@@ -170,7 +174,10 @@ def _bad_lines(log: DataFrame) -> DataFrame:
 
 
 def _ingest_summary(spark: SparkSession, directory: str) -> DataFrame:
-    store = _ingested(spark, directory)
+    return _store_summary(_ingested(spark, directory))
+
+
+def _store_summary(store: LogStore) -> DataFrame:
     facts = store.log().groupBy("upload_id").agg(
         F.count_if(F.col("status_code") == 200).alias("ok"), F.sum("bytes_sent").alias("bytes"),
         F.count("response_time_ms").alias("timed"),
@@ -394,6 +401,24 @@ def _stream_ingest(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/log").select(*ENTRY_COLUMNS)
 
 
+def _stream_folder_ingest(spark: SparkSession, directory: str) -> DataFrame:
+    """A file of one format, then files of others along with a copy of the first, each time one trigger or more."""
+    log, folder = read_access_log(spark, directory), scratch_dir(spark, "stream-folder")
+    store = LogStore(spark, f"{folder}/store")
+    first, *others = DATASET_FORMATS
+
+    def run() -> None:
+        store.ingest_stream(f"{folder}/raw", AS_OF, f"{folder}/checkpoint", available_now=True).awaitTermination()
+
+    _write_raw(log, first, folder)
+    run()
+    for upload_id in others:
+        _write_raw(log, upload_id, folder)
+    spark.read.text(f"{folder}/raw/{DATASET_FORMATS[first]}").coalesce(1).write.text(f"{folder}/raw/again")
+    run()
+    return _store_summary(store)
+
+
 def _stream_rejects(spark: SparkSession, directory: str) -> DataFrame:
     folder = scratch_dir(spark, "stream-rejects")
     log = read_access_log(spark, directory)
@@ -407,42 +432,43 @@ def _stream_rejects(spark: SparkSession, directory: str) -> DataFrame:
     return stored.unionByName(rejected).groupBy("kind", "line").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def _stream_traffic(spark: SparkSession, directory: str) -> DataFrame:
-    windows = jobs.traffic_windows(_log_stream(spark, directory))
-    latest = _updated(spark, windows, ["window_start"], "stream-traffic")
-    return latest.select("window_start", "window_end", "total_requests", "total_bytes")
-
-
-def _stream_sliding(spark: SparkSession, directory: str) -> DataFrame:
-    windows = jobs.traffic_windows(_log_stream(spark, directory), "2 hours", "1 hour")
-    latest = _updated(spark, windows, ["window_start"], "stream-sliding")
-    return latest.select("window_start", "total_requests", "total_bytes")
-
-
-def _stream_sessions(spark: SparkSession, directory: str) -> DataFrame:
-    """Run over the log, then once more with a mark that closes what is open."""
-    folder = scratch_dir(spark, "stream-sessions")
+def _closed(
+    spark: SparkSession, directory: str, job: Callable[[DataFrame], DataFrame], purpose: str, after: dt.timedelta = dt.timedelta(days=1)
+) -> DataFrame:
+    """What a job appends over the log, and once more with a mark that closes what is open."""
+    folder = scratch_dir(spark, purpose)
     log = _log_stream(spark, directory)
     plain_log = read_access_log(spark, directory)
     plain_log.limit(0).write.parquet(f"{folder}/marks")
 
     def run() -> DataFrame:
         marks = spark.readStream.schema(log.schema).parquet(f"{folder}/marks")
-        result = jobs.visitor_sessions(jobs.with_end_marks(log, marks))
+        result = job(jobs.with_end_marks(log, marks))
         jobs.run_to_files(result, f"{folder}/out", f"{folder}/checkpoint")
         return spark.read.schema(result.schema).parquet(f"{folder}/out")
 
     run()
     last = plain_log.agg(F.max("timestamp")).first()[0]
     if last is not None:
-        jobs.write_end_mark(log.schema, spark, f"{folder}/marks", last + dt.timedelta(days=1))
+        jobs.write_end_mark(log.schema, spark, f"{folder}/marks", last + after)
     return run()
 
 
+def _stream_traffic(spark: SparkSession, directory: str) -> DataFrame:
+    return _closed(spark, directory, jobs.closed_windows, "stream-traffic")
+
+
+def _stream_sliding(spark: SparkSession, directory: str) -> DataFrame:
+    sliding = _closed(spark, directory, lambda log: jobs.closed_windows(log, "2 hours", "1 hour"), "stream-sliding")
+    return sliding.select("window_start", "total_requests", "visitors", "total_bytes")
+
+
+def _stream_sessions(spark: SparkSession, directory: str) -> DataFrame:
+    return _closed(spark, directory, jobs.visitor_sessions, "stream-sessions")
+
+
 def _stream_alerts(spark: SparkSession, directory: str) -> DataFrame:
-    alerts = jobs.probe_alerts(_log_stream(spark, directory), size="7 days")
-    keys = ["window_start", "upload_id", "ip", "alert", "target"]
-    return _updated(spark, alerts, keys, "stream-alerts")
+    return _closed(spark, directory, lambda log: jobs.probe_alerts(log, size="7 days"), "stream-alerts", dt.timedelta(days=8))
 
 
 def _stream_findings(spark: SparkSession, directory: str) -> DataFrame:
@@ -594,6 +620,7 @@ QUERIES: dict[str, Query] = {
     "dataset_delete": _query(_dataset_delete),
     "stream_ingest": _query(_stream_ingest),
     "stream_rejects": _query(_stream_rejects),
+    "stream_folder_ingest": _query(_stream_folder_ingest),
     "stream_traffic": _query(_stream_traffic),
     "stream_sliding": _query(_stream_sliding),
     "stream_sessions": _query(_stream_sessions),

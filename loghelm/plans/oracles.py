@@ -597,15 +597,15 @@ ORACLES: dict[str, str] = {
     ),
     "stream_ingest": _parsed(upload_id="7", response_time_ms="round(response_time_ms * 1000) / 1000.0"),
     "stream_traffic": _sql(
-        "window_start:t window_end:t total_requests:l total_bytes:l",
+        "window_start:t window_end:t total_requests:l visitors:l total_bytes:l",
         """SELECT date_trunc('hour', timestamp) AS window_start, date_trunc('hour', timestamp) + INTERVAL 1 HOUR AS window_end,
-        count(*) AS total_requests, sum(bytes_sent) AS total_bytes FROM log GROUP BY 1, 2""",
+        count(*) AS total_requests, count(DISTINCT ip) AS visitors, sum(bytes_sent) AS total_bytes FROM log GROUP BY 1, 2""",
     ),
     "stream_sliding": _sql(
-        "window_start:t total_requests:l total_bytes:l",
-        """SELECT window_start, count(*) AS total_requests, sum(bytes_sent) AS total_bytes FROM (
+        "window_start:t total_requests:l visitors:l total_bytes:l",
+        """SELECT window_start, count(*) AS total_requests, count(DISTINCT ip) AS visitors, sum(bytes_sent) AS total_bytes FROM (
         SELECT unnest([date_trunc('hour', timestamp), date_trunc('hour', timestamp) - INTERVAL 1 HOUR]) AS window_start,
-        bytes_sent FROM log) w GROUP BY 1""",
+        ip, bytes_sent FROM log) w GROUP BY 1""",
     ),
     "stream_sessions": _sql(
         "upload_id:l ip:s ua_fixed:s started:t ended:t hits:l",
@@ -629,3 +629,5 @@ ORACLES: dict[str, str] = {
     "stream_ip_risk_all": _sql("ip:s score:l risk_score:l severity:s findings:l", "SELECT * FROM risk", f"{ALL}, {RISK}"),
     "stream_dedup": _sql(BASE, "SELECT * FROM log"),
 }
+# The same files, as they arrive.
+ORACLES["stream_folder_ingest"] = ORACLES["ingest_summary"]

@@ -13,13 +13,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from loghelm.functions.urls import percent_decode
 from loghelm.operators.detect_format import detect_formats, sample_lines
 from loghelm.operators.parse import entries, parse, parse_stats
+
 from loghelm.schema import DATASET_SCHEMA, LOG_SCHEMA, REJECT_SCHEMA, conform
 from loghelm.session import materialized
-from loghelm.sources.lines import checksums, empty_files, file_heads, plain_path, read_lines
+from loghelm.sources.lines import checksums, empty_files, file_heads, plain_path, read_lines, stream_files, with_checksums
 
 FILES_PER_BATCH = 10_000  # bounds the file list that one job carries
 REGISTRY_SCHEMA = T.StructType(DATASET_SCHEMA.fields + [T.StructField("deleted", T.BooleanType())])
@@ -140,6 +142,25 @@ class LogStore:
         schema = "files_discovered long, files_imported long, files_skipped long, files_unsupported long, status string"
         return self.spark.createDataFrame([row], schema)
 
+    def ingest_stream(
+        self, folder: str, as_of: str, checkpoint: str, files_per_trigger: int = FILES_PER_BATCH, available_now: bool = False
+    ) -> StreamingQuery:
+        """Import files as they arrive below a folder, each by its own format, as ``ingest_folder`` does for those there.
+
+        A file whose content the registry knows, or that another one of the same trigger has, is skipped. Entries, rejected
+        lines and the registry's counts are those of the file's dataset, whose id its content decides. So a trigger that
+        is repeated after a failure replaces what it had written, and skips what it had registered.
+        """
+
+        def save(batch: DataFrame, number: int) -> None:
+            store = LogStore(batch.sparkSession, self.root)
+            found = materialized(with_checksums(batch), "stream-files")
+            store._ingest(files_to_import(found, store._current()), as_of)
+
+        writer = stream_files(self.spark, folder, files_per_trigger).writeStream.foreachBatch(save)
+        writer = writer.option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
     def _ingest(self, files: DataFrame, as_of: str, format_name: str | None = None) -> DataFrame:
         samples = sample_lines(file_heads(files), "path", "position")
         formats = detect_formats(samples, "path")

@@ -78,9 +78,21 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
 
     The checksum is the SHA-256 of the file's bytes at every size; a task holds one chunk.
     """
-    return list_files(spark, folder).mapInPandas(
-        _digests, "path string, length long, modificationTime timestamp, checksum string"
+    return with_checksums(list_files(spark, folder))
+
+
+def with_checksums(files: DataFrame) -> DataFrame:
+    """``path, length, modificationTime`` with the checksum of each file."""
+    return files.mapInPandas(_digests, "path string, length long, modificationTime timestamp, checksum string")
+
+
+def stream_files(spark: SparkSession, folder: str, files_per_trigger: int) -> DataFrame:
+    """``path, length, modificationTime`` of files as they arrive below a folder; reads no content."""
+    files = (
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(folder)
     )
+    return files.select(F.col("_metadata.file_path").alias("path"), "length", "modificationTime")
 
 
 def _head(stream) -> bytes:
