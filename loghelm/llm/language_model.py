@@ -35,8 +35,11 @@ ORDER, BASE, PRIOR = 2, 1.5, 64.0
 PROBES = 6
 #: Bytes of text for which there is one part, and bytes of parts that are broadcast at once.
 PART_BYTES, SLICE_BYTES = 8 << 20, 256 << 20
-#: Tokens that a task counts or scores at once (a text alone may have more).
-STEP_TOKENS = 1_500_000
+#: Tokens that a task counts, and scores, at once (a text alone may have more).
+COUNT_TOKENS = 1_500_000
+STEP_TOKENS = 600_000
+#: Words whose hashes a task keeps, and characters that it cuts from a batch at once.
+WORDS_KEPT, STEP_CHARS = 100_000, 2 << 20
 #: Names of what isn't a word: texts end with one, and begin after the other.
 _END, _BEGIN = b"\n", b"\n\n"
 
@@ -66,7 +69,7 @@ def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """part, n, grams, counts of (text): n-grams of each order with their counts, sorted, by the leading ``bits`` bits."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = WordHashes(), [[] for _ in range(order)], 0
+        hashes, held, size = WordHashes(WORDS_KEPT), [[] for _ in range(order)], 0
 
         def counted() -> pd.DataFrame:
             rows = []
@@ -78,13 +81,13 @@ def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
                         rows.append((part, n, grams[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()))
             return pd.DataFrame(rows, columns=["part", "n", "grams", "counts"])
 
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", STEP_CHARS):
             for text in batch["text"]:
                 tokens = token_hashes(text, hashes, order)
                 for n in range(order):
                     held[n].append(grams_of(tokens, n + 1, order))
                 size += len(tokens)
-                if size >= STEP_TOKENS:
+                if size >= COUNT_TOKENS:
                     yield counted()
                     held, size = [[] for _ in range(order)], 0
         if size:
@@ -154,6 +157,8 @@ class Slice:
             counts.append(row["word_counts"])
             filters.append(row["filter"])
         self.words, self.counts = np.frombuffer(b"".join(words), np.uint64), np.frombuffer(b"".join(counts), np.int64)
+        if self.counts.max(initial=0) < 1 << 32:
+            self.counts = self.counts.astype(np.uint32)
         self.filter = np.frombuffer(b"".join(filters), np.uint8)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
@@ -244,18 +249,18 @@ def _step(docs: DataFrame, part: Slice, model: Model, state: Column | None, last
 
         @F.pandas_udf(_STATE)
         def first(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            hashes = WordHashes()
+            hashes = WordHashes(WORDS_KEPT)
             for batch in batches:
-                yield _joined(texts(cut, hashes) for cut in by_bytes([batch.to_frame("text")], "text"))
+                yield _joined(texts(cut, hashes) for cut in by_bytes([batch.to_frame("text")], "text", STEP_CHARS))
 
         return first.asNondeterministic()(F.col("text"))
 
     @F.pandas_udf(_STATE)
     def later(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = WordHashes(WORDS_KEPT)
         for batch, states in batches:
             rows = pd.DataFrame({"text": batch, "state": states.to_dict("records")})
-            yield _joined(texts(cut, hashes) for cut in by_bytes([rows], "text"))
+            yield _joined(texts(cut, hashes) for cut in by_bytes([rows], "text", STEP_CHARS))
 
     return later.asNondeterministic()(F.col("text"), state)
 

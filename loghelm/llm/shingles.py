@@ -11,7 +11,11 @@ WORDS_KEPT = 400_000
 
 
 class WordHashes(dict):
-    """Maps a word (text or UTF-8 bytes) to a 64-bit hash of it; starts anew when it is full."""
+    """Maps a word (text or UTF-8 bytes) to a 64-bit hash of it; starts anew when it holds ``kept`` words."""
+
+    def __init__(self, kept: int = WORDS_KEPT):
+        super().__init__()
+        self.kept = kept
 
     def __missing__(self, word: str | bytes) -> int:
         raw = word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")
@@ -19,7 +23,7 @@ class WordHashes(dict):
         return found
 
     def of(self, words: list[str] | list[bytes]) -> np.ndarray:
-        if len(self) > WORDS_KEPT:
+        if len(self) > self.kept:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

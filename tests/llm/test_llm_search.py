@@ -31,6 +31,7 @@ def test_language_model(spark, monkeypatch, order, slice_bytes):
     monkeypatch.setattr(language_model, "PART_BYTES", 1 << 12)
     monkeypatch.setattr(language_model, "SLICE_BYTES", slice_bytes)
     monkeypatch.setattr(language_model, "STEP_TOKENS", 700)
+    monkeypatch.setattr(language_model, "COUNT_TOKENS", 900)
     rows = make_texts(150)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("Score", F.lit("own")).withColumn("state", F.lit(1))
     learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
