@@ -18,7 +18,7 @@ each slice fills in the levels of the n-grams that fall in its parts, which are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,7 +37,9 @@ PROBES = 6
 PART_BYTES, SLICE_BYTES = 8 << 20, 256 << 20
 #: Tokens that a task counts, and scores, at once (a text alone may have more).
 COUNT_TOKENS = 1_500_000
-STEP_TOKENS = 600_000
+STEP_TOKENS = 200_000
+#: N-grams that are probed at once.
+PROBED = 1 << 17
 #: Words whose hashes a task keeps, and characters that it cuts from a batch at once.
 WORDS_KEPT, STEP_CHARS = 100_000, 2 << 20
 #: Names of what isn't a word: texts end with one, and begin after the other.
@@ -145,24 +147,30 @@ def build_parts(counted: DataFrame, probes: int = PROBES) -> DataFrame:
 class Slice:
     """Parts of the model: the sorted hashes of their tokens with counts, and their filters one after the other."""
 
-    def __init__(self, rows: Iterator, bits: int, probes: int):
+    def __init__(self, rows: Iterable, bits: int, probes: int):
+        """rows: by part. They are appended as they come, so that one of them is held beside the slice."""
         self.bits, self.probes = bits, probes
         self.begin = np.zeros(1 << bits, np.int64)
         self.size = np.zeros(1 << bits, np.int64)  # 0: not in this slice
-        words, counts, filters, at = [], [], [], 0
-        for row in sorted(rows, key=lambda row: row["part"]):
-            self.begin[row["part"]], self.size[row["part"]] = at, 8 * len(row["filter"])
-            at += len(row["filter"])
-            words.append(row["words"])
-            counts.append(row["word_counts"])
-            filters.append(row["filter"])
-        self.words, self.counts = np.frombuffer(b"".join(words), np.uint64), np.frombuffer(b"".join(counts), np.int64)
+        words, counts, filters = bytearray(), bytearray(), bytearray()
+        for row in rows:
+            self.begin[row["part"]], self.size[row["part"]] = len(filters), 8 * len(row["filter"])
+            words += row["words"]
+            counts += row["word_counts"]
+            filters += row["filter"]
+        self.words, self.counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
         if self.counts.max(initial=0) < 1 << 32:
             self.counts = self.counts.astype(np.uint32)
-        self.filter = np.frombuffer(b"".join(filters), np.uint8)
+        self.filter = np.frombuffer(filters, np.uint8)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each n-gram of this slice's parts; 0 where it is not in the filter, or of another slice."""
+        found = np.zeros(len(grams), np.uint8)
+        for start in range(0, len(grams), PROBED):
+            found[start : start + PROBED] = self._probed(grams[start : start + PROBED])
+        return found
+
+    def _probed(self, grams: np.ndarray) -> np.ndarray:
         part = (grams >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(grams), np.int64)
         size, begin, found = self.size[part], self.begin[part] * 8, np.zeros(len(grams), np.uint8)
         alive = np.flatnonzero(size)
@@ -304,7 +312,7 @@ def language_model_scores(
         filled += row["bytes"]
     state = None
     for i, chosen in enumerate(slices):
-        rows = parts.where(F.col("part").between(chosen[0], chosen[-1])) if chosen else parts.limit(0)
+        rows = parts.where(F.col("part").between(chosen[0], chosen[-1])).orderBy("part") if chosen else parts.limit(0)
         step = _step(frame, Slice(rows.toLocalIterator(), bits, probes), model, state, last=i + 1 == len(slices))
         frame = frame.withColumn("state", step)
         if i + 1 < len(slices):
