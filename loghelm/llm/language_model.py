@@ -23,10 +23,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.llm.common import Columns, by_bytes, materialize, pieces
+from loghelm.llm.common import Columns, materialize, pieces
 from loghelm.llm.labelled import remainder
 from loghelm.llm.shingles import PLACES, WordHashes, mix
 
@@ -36,12 +37,12 @@ PROBES = 6
 #: Bytes of text for which there is one part, and bytes of parts that are broadcast at once.
 PART_BYTES, SLICE_BYTES = 8 << 20, 256 << 20
 #: Tokens that a task counts, and scores, at once (a text alone may have more).
-COUNT_TOKENS = 1_500_000
+COUNT_TOKENS = 500_000
 STEP_TOKENS = 200_000
 #: N-grams that are probed at once.
 PROBED = 1 << 17
-#: Words whose hashes a task keeps, and characters that it cuts from a batch at once.
-WORDS_KEPT, STEP_CHARS = 100_000, 2 << 20
+#: Words whose hashes a task keeps.
+WORDS_KEPT = 100_000
 #: Names of what isn't a word: texts end with one, and begin after the other.
 _END, _BEGIN = b"\n", b"\n\n"
 
@@ -52,9 +53,15 @@ LEVELS = LEVELS[LEVELS < 2**62].astype(np.int64)
 MEANS = np.concatenate([[0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2, LEVELS[-1:]])
 
 
-def token_hashes(text: str, hashes: WordHashes, order: int) -> np.ndarray:
-    """Hashes of ``order`` begin marks, the words in lower case (A to Z only) and the end."""
-    raw = text.encode("utf-8", "surrogatepass").lower()
+def utf8(texts: pa.Array) -> Iterator[bytes]:
+    """The texts one by one, as they lie in the batch; no second copy of all of them is made. Null is empty."""
+    for text in texts.cast(pa.binary()):
+        yield text.as_py() or b""
+
+
+def token_hashes(text: bytes, hashes: WordHashes, order: int) -> np.ndarray:
+    """Hashes of ``order`` begin marks, the words in lower case (A to Z only) and the end. text: in UTF-8."""
+    raw = text.lower()
     words = [hashes.of(piece.split()) for piece in pieces(raw)]
     return np.concatenate([hashes.of([_BEGIN] * order), *words, hashes.of([_END])])
 
@@ -70,10 +77,10 @@ def grams_of(tokens: np.ndarray, order: int, longest: int) -> np.ndarray:
 def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """part, n, grams, counts of (text): n-grams of each order with their counts, sorted, by the leading ``bits`` bits."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(WORDS_KEPT), [[] for _ in range(order)], 0
 
-        def counted() -> pd.DataFrame:
+        def counted() -> pa.RecordBatch:
             rows = []
             for n, parts in enumerate(held, 1):
                 grams, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -81,10 +88,11 @@ def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
                 for part, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(grams)))):
                     if b > a:
                         rows.append((part, n, grams[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()))
-            return pd.DataFrame(rows, columns=["part", "n", "grams", "counts"])
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["part", "n", "grams", "counts"])
 
-        for batch in by_bytes(batches, "text", STEP_CHARS):
-            for text in batch["text"]:
+        for batch in batches:
+            for text in utf8(batch.column("text")):
                 tokens = token_hashes(text, hashes, order)
                 for n in range(order):
                     held[n].append(grams_of(tokens, n + 1, order))
@@ -95,7 +103,7 @@ def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
         if size:
             yield counted()
 
-    return docs.mapInPandas(count, "part int, n int, grams binary, counts binary")
+    return docs.mapInArrow(count, "part int, n int, grams binary, counts binary")
 
 
 def _summed(grams: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,13 +224,17 @@ def probabilities(levels: list[np.ndarray], model: Model) -> np.ndarray:
 
 
 _STATE = "struct<levels:binary,n_known:long,base:double,n_tokens:long,score:double>"
+_STATE_FIELDS = [
+    pa.field("levels", pa.binary()), pa.field("n_known", pa.int64()), pa.field("base", pa.float64()),
+    pa.field("n_tokens", pa.int64()), pa.field("score", pa.float64()),
+]
 
 
 def _step(docs: DataFrame, part: Slice, model: Model, state: Column | None, last: bool) -> Column:
     """The state of each text after this slice. Of the last one levels aren't kept."""
     sent = docs.sparkSession.sparkContext.broadcast((part, model))
 
-    def texts(batch: pd.DataFrame, hashes: WordHashes) -> pd.DataFrame:
+    def texts(batch: pa.Array, states: pa.Array | None, hashes: WordHashes) -> pa.Array:
         here, known = sent.value
         out, held, size = [], [], 0
 
@@ -241,43 +253,38 @@ def _step(docs: DataFrame, part: Slice, model: Model, state: Column | None, last
                     own = [x + y for x, y in zip(own, np.frombuffer(old["levels"], np.uint8).reshape(known.order, -1))]
                     n_known, base = n_known + old["n_known"], base + old["base"]
                 score = float(np.log10(probabilities(own, known)).sum()) if last else 0.0
-                out.append((None if last else np.concatenate(own).tobytes(), n_known, base, b - a - 1, score))
+                out.append((None if last else np.concatenate(own).tobytes(), n_known, base, int(b - a - 1), score))
 
-        for i, text in enumerate(batch["text"].fillna("")):
-            held.append((token_hashes(text, hashes, known.order), batch["state"].iloc[i] if "state" in batch else None))
+        for i, text in enumerate(utf8(batch)):
+            held.append((token_hashes(text, hashes, known.order), None if states is None else states[i].as_py()))
             size += len(held[-1][0])
             if size >= STEP_TOKENS:
                 scored()
                 held, size = [], 0
         if held:
             scored()
-        return pd.DataFrame(out, columns=["levels", "n_known", "base", "n_tokens", "score"])
+        columns = zip(*out) if out else [()] * len(_STATE_FIELDS)
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STATE_FIELDS)], fields=_STATE_FIELDS)
 
     if state is None:
 
-        @F.pandas_udf(_STATE)
-        def first(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf(_STATE)
+        def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             hashes = WordHashes(WORDS_KEPT)
             for batch in batches:
-                yield _joined(texts(cut, hashes) for cut in by_bytes([batch.to_frame("text")], "text", STEP_CHARS))
+                yield texts(batch, None, hashes)
 
         return first.asNondeterministic()(F.col("text"))
 
-    @F.pandas_udf(_STATE)
-    def later(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_STATE)
+    def later(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         hashes = WordHashes(WORDS_KEPT)
         for batch, states in batches:
-            rows = pd.DataFrame({"text": batch, "state": states.to_dict("records")})
-            yield _joined(texts(cut, hashes) for cut in by_bytes([rows], "text", STEP_CHARS))
+            yield texts(batch, states, hashes)
 
     return later.asNondeterministic()(F.col("text"), state)
 
 
-def _joined(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(frames)
-    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=["levels", "n_known", "base", "n_tokens", "score"])
-
-
 def language_model_scores(
     docs: DataFrame, learn_from: Column, order: int = ORDER, probes: int = PROBES, prior: float = PRIOR
 ) -> DataFrame:
