@@ -7,6 +7,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loghelm.schema import LOG_DAY, utc_day
+
 
 @dataclass(frozen=True)
 class Filters:
@@ -26,12 +28,11 @@ class Filters:
         dataset = self.upload_id if self.upload_id is not None else self.dataset_id
         if dataset is not None:
             found.append(F.col("upload_id") == dataset)
-        if self.start_date:
-            found.append(F.col("timestamp") >= F.lit(self.start_date).cast("timestamp"))
-        if self.end_date:
-            # A bare date takes in its whole day.
-            whole_day = " 23:59:59.999999" if len(self.end_date) == 10 else ""
-            found.append(F.col("timestamp") <= F.lit(self.end_date + whole_day).cast("timestamp"))
+        start, end = self._range()
+        if start is not None:
+            found.append(F.col("timestamp") >= start)
+        if end is not None:
+            found.append(F.col("timestamp") <= end)
         for name in ("ip", "url", "normalized_url", "status_code", "bot_classification"):
             value = getattr(self, name)
             if value:
@@ -40,6 +41,20 @@ class Filters:
             found.append(F.col("user_agent").contains(self.user_agent))
         return found
 
+    def _range(self) -> tuple[Column | None, Column | None]:
+        """First and last time. A bare end date takes in its whole day."""
+        whole_day = " 23:59:59.999999" if self.end_date and len(self.end_date) == 10 else ""
+        return (
+            F.lit(self.start_date).cast("timestamp") if self.start_date else None,
+            F.lit(self.end_date + whole_day).cast("timestamp") if self.end_date else None,
+        )
+
+    def day_conditions(self) -> list[Column]:
+        """What the range of dates says of the stored log's days; folders of other days are never listed as input."""
+        start, end = self._range()
+        found = [] if start is None else [F.col(LOG_DAY) >= utc_day(start)]
+        return found if end is None else [*found, F.col(LOG_DAY) <= utc_day(end)]
+
     def condition(self) -> Column | None:
         """One conjunction, or None when no filter is set."""
         found = self.conditions()
@@ -48,4 +63,7 @@ class Filters:
 
 def apply_filters(df: DataFrame, filters: Filters | None) -> DataFrame:
     condition = filters.condition() if filters else None
+    if filters and LOG_DAY in df.columns:
+        for day in filters.day_conditions():
+            df = df.where(day)
     return df if condition is None else df.where(condition)

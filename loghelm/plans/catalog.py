@@ -26,6 +26,7 @@ from loghelm.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-25"
 LONG_TIMEOUT = 43_200
+SOME_DAYS = {"start_date": "2024-01-05 06:00:00", "end_date": "2024-01-20"}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -246,6 +247,13 @@ def _dataset_delete(spark: SparkSession, directory: str) -> DataFrame:
     return kept.join(names, "upload_id")
 
 
+def _date_range_store(spark: SparkSession, directory: str) -> DataFrame:
+    """The range of dates on the stored log, which reads the folders of those days."""
+    store = LogStore(spark, scratch_dir(spark, "by-day"))
+    store.append(read_access_log(spark, directory))
+    return apply_filters(store.log(), Filters(**SOME_DAYS)).select(*BASE_COLUMNS)
+
+
 # --- enrichment -----------------------------------------------------------------------
 
 
@@ -543,7 +551,8 @@ QUERIES: dict[str, Query] = {
     ),
     "log_explorer_count": _log_query(lambda log: reports.log_explorer_count(log, Filters(upload_id=2))),
     "filter_dataset": _filtered(dataset_id=2),
-    "filter_date_range": _filtered(start_date="2024-01-05 06:00:00", end_date="2024-01-20"),
+    "filter_date_range": _filtered(**SOME_DAYS),
+    "filter_date_range_store": _query(_date_range_store),
     "filter_equality": _filtered(
         ip="10.0.0.8", status_code=200, bot_classification="human", normalized_url="/view/{id}"
     ),

@@ -629,5 +629,7 @@ ORACLES: dict[str, str] = {
     "stream_ip_risk_all": _sql("ip:s score:l risk_score:l severity:s findings:l", "SELECT * FROM risk", f"{ALL}, {RISK}"),
     "stream_dedup": _sql(BASE, "SELECT * FROM log"),
 }
+# The same rows, from the store.
+ORACLES["filter_date_range_store"] = ORACLES["filter_date_range"]
 # The same files, as they arrive.
 ORACLES["stream_folder_ingest"] = ORACLES["ingest_summary"]

@@ -25,6 +25,9 @@ LOG_SCHEMA = T.StructType([
     T.StructField("bot_classification", T.StringType(), False),
 ])
 
+# The stored log has this column besides: the UTC day of a row, by which its files are partitioned.
+LOG_DAY = "log_day"
+
 DATASET_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("filename", T.StringType()),
@@ -63,6 +66,11 @@ def conform(df: DataFrame, schema: T.StructType = LOG_SCHEMA) -> DataFrame:
     ])
 
 
+def utc_day(time: Column) -> Column:
+    """The day of a timestamp in UTC, whatever the session's zone, so that writers and readers agree."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(time) / F.lit(86_400_000_000)).cast("int"))
+
+
 def naive_time(column: Column) -> Column:
     """Time without zone, the way results are handed out (session zone is UTC)."""
     return column.cast("timestamp_ntz")

@@ -2,7 +2,8 @@
 
 The registry is append-only: a row per imported file and a row per deletion. The latest
 row of an id decides. An upload id is the hash of the file's checksum and the write
-replaces that partition, so an ingest that is cut off can simply be run again.
+replaces that dataset's folder, so an ingest that is cut off can simply be run again.
+Below a dataset's folder the log lies by UTC day, and a range of dates reads its days only.
 """
 
 from collections.abc import Iterator
@@ -19,11 +20,12 @@ from loghelm.functions.urls import percent_decode
 from loghelm.operators.detect_format import detect_formats, sample_lines
 from loghelm.operators.parse import entries, parse, parse_stats
 
-from loghelm.schema import DATASET_SCHEMA, LOG_SCHEMA, REJECT_SCHEMA, conform
+from loghelm.schema import DATASET_SCHEMA, LOG_DAY, LOG_SCHEMA, REJECT_SCHEMA, conform, utc_day
 from loghelm.session import materialized
 from loghelm.sources.lines import checksums, empty_files, file_heads, plain_path, read_lines, stream_files, with_checksums
 
 FILES_PER_BATCH = 10_000  # bounds the file list that one job carries
+STORED_SCHEMA = T.StructType(LOG_SCHEMA.fields + [T.StructField(LOG_DAY, T.DateType())])
 REGISTRY_SCHEMA = T.StructType(DATASET_SCHEMA.fields + [T.StructField("deleted", T.BooleanType())])
 
 
@@ -47,30 +49,37 @@ class LogStore:
         return f"{self.root}/rejected"
 
     def append(self, rows: DataFrame) -> None:
-        """Add log rows. Sorted by time inside files, so Parquet statistics prune on it."""
-        (
-            conform(rows).sortWithinPartitions("upload_id", "timestamp")
-            .write.mode("append").partitionBy("upload_id").parquet(self.entries_path)
-        )
+        """Add log rows, by dataset and day. Sorted by time inside files, so Parquet statistics prune on it."""
+        _by_day(rows).write.mode("append").partitionBy("upload_id", LOG_DAY).parquet(self.entries_path)
 
-    def replace_datasets(self, rows: DataFrame) -> None:
-        """Write the datasets in ``rows``, each replacing what it held before."""
-        self._replace(conform(rows).sortWithinPartitions("upload_id", "timestamp"), self.entries_path)
+    def replace_datasets(self, rows: DataFrame, ids: list[int]) -> None:
+        """Write the datasets ``ids``, whose entries are ``rows``, each replacing what it held before.
 
-    def _replace(self, rows: DataFrame, path: str) -> None:
-        (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("upload_id").parquet(path)
-        )
+        What an earlier write left goes first, as its days may differ (another ``as_of``). A write that is cut off after
+        that has to be repeated, as an ingest is: datasets are registered once they are written.
+        """
+        self._drop_folders(self.entries_path, ids)
+        self._replace(_by_day(rows), self.entries_path, "upload_id", LOG_DAY)
+
+    def _replace(self, rows: DataFrame, path: str, *by: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+    def _drop_folders(self, path: str, ids: list[int]) -> None:
+        """Drop those folders of the datasets that exist (few do); one listing finds them."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/upload_id={{{','.join(str(int(i)) for i in ids)}}}")
+        system = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in system.globStatus(pattern) or []:
+            system.delete(found.getPath(), True)
 
     def _exists(self, path: str) -> bool:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
     def log(self) -> DataFrame:
+        """All log rows and their day, on which filters with a range of dates prune."""
         if not self._exists(self.entries_path):
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(self.entries_path)
+            return self.spark.createDataFrame([], STORED_SCHEMA)
+        return self.spark.read.schema(STORED_SCHEMA).parquet(self.entries_path)
 
     def rejects(self) -> DataFrame:
         """Rejected lines: dataset, file and line."""
@@ -197,9 +206,9 @@ class LogStore:
         ids = F.broadcast(known.select("path", "upload_id"))
         flagged = flagged.join(ids, "path").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.replace_datasets(entries(flagged))
+            self.replace_datasets(entries(flagged), [row.upload_id for row in batch])
             rejected = flagged.where(~F.col("parsed")).select("upload_id", "path", F.col("value").alias("line"))
-            self._replace(conform(rejected, REJECT_SCHEMA), self.rejects_path)
+            self._replace(conform(rejected, REJECT_SCHEMA), self.rejects_path, "upload_id")
             self._register_files(known, parse_stats(flagged, ["upload_id"]))
         finally:
             flagged.unpersist()
@@ -220,6 +229,15 @@ class LogStore:
         self.register(registry)
 
 
+def _by_day(rows: DataFrame) -> DataFrame:
+    """Log rows with their day, the rows of a day and dataset together, so that a day gets few files.
+
+    The hint leaves the size of partitions to the adaptive plan: it splits a day with many rows and merges small ones.
+    """
+    dated = conform(rows).withColumn(LOG_DAY, utc_day(F.col("timestamp")))
+    return dated.hint("rebalance", "upload_id", LOG_DAY).sortWithinPartitions("upload_id", LOG_DAY, "timestamp")
+
+
 def _file_batches(planned: DataFrame) -> Iterator[list[Row]]:
     """The file list in batches. Like any file listing it passes the driver, no data does."""
     columns = ["path", "length", "modificationTime", "checksum", "format", "confidence", "upload_id"]

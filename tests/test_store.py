@@ -1,13 +1,15 @@
 import bz2
 import gzip
 import hashlib
+import re
 
 import pytest
 from conftest import at
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from loghelm.operators import panels
+from loghelm.operators import panels, reports
+from loghelm.operators.filters import Filters, apply_filters
 from loghelm.plans import bundles
 from loghelm.session import scratch_dir
 from loghelm.sources.datasets import LogStore
@@ -113,6 +115,45 @@ def test_partition_and_filter_pushdown(spark, make_log, tmp_path):
     assert "ReadSchema: struct<ip:string,status_code:int>" in plan
 
 
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_days_prune(spark, make_log, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    times = ["2022-12-31 23:59:59", "2023-01-01 00:00:00", "2023-01-02 12:00:00", "2023-01-02 23:59:59", "2023-01-03 00:00:00"]
+    log = make_log(*[dict(timestamp=at(time), ip=f"1.1.1.{i}", upload_id=i % 2) for i, time in enumerate(times)])
+    store.append(log)
+    assert len(list((tmp_path / "store" / "log_entries").glob("upload_id=*/log_day=*/*.parquet"))) == 5
+    for only in (Filters(start_date="2023-01-01", end_date="2023-01-02"), Filters(start_date="2023-01-02 12:00:00"), Filters(end_date="2022-12-31")):
+        found = apply_filters(store.log(), only)
+        assert {r.ip for r in found.collect()} == {r.ip for r in apply_filters(log, only).collect()} != set()
+        filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", _plan(found.select("ip"))).group(1)
+        assert ("log_day#" in filters) and (">=" in filters) == (only.start_date is not None) and ("<=" in filters) == (only.end_date is not None)
+    day = apply_filters(store.log(), Filters(start_date="2023-01-02", end_date="2023-01-02")).select("ip")
+    assert len(set(r[0].rsplit("/", 1)[0] for r in day.select(F.input_file_name()).collect())) == 2
+    assert reports.traffic_summary(store.log(), Filters(start_date="2023-01-02")).first() == reports.traffic_summary(log, Filters(start_date="2023-01-02")).first()
+
+
+def test_days_do_not_hang_on_the_zone(spark, make_log, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    store.append(make_log(dict(timestamp=at("2023-01-01 23:30:00")), dict(timestamp=at("1969-12-31 23:30:00"))))
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        found = apply_filters(store.log(), Filters(start_date="2023-01-02", end_date="2023-01-02"))
+        assert [str(r.log_day) for r in found.collect()] == ["2023-01-01"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {str(r.log_day) for r in store.log().collect()} == {"2023-01-01", "1969-12-31"}
+
+
+def test_replaced_datasets_keep_no_days(spark, make_log, tmp_path):
+    store = LogStore(spark, str(tmp_path / "the store"))
+    store.replace_datasets(make_log(dict(upload_id=-7), dict(upload_id=8)), [-7, 8])
+    store.replace_datasets(make_log(dict(upload_id=-7, timestamp=at("2024-05-05 00:00:00"))), [-7])
+    assert {(r.upload_id, str(r.log_day)) for r in store.log().collect()} == {(-7, "2024-05-05"), (8, "2023-01-01")}
+
+
 def test_report_file(spark, make_log, tmp_path):
     panels.write_report(panels.panel_report(make_log(dict(), dict())), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).where("panel = 'general'").first().hits == 2
