@@ -23,7 +23,8 @@ def _per_rule(findings: DataFrame) -> DataFrame:
     return findings.groupBy("ip", "rule_title", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _points() -> Column:
+def severity_points() -> Column:
+    """The points of a finding by its severity."""
     points = F.lit(OTHER_POINTS)
     for severity, value in SEVERITY_POINTS.items():
         points = F.when(F.col("severity") == severity, value).otherwise(points)
@@ -34,7 +35,7 @@ def ip_risk(findings: DataFrame) -> DataFrame:
     """Score, class, counts per severity and the rule titles, one row per address."""
     other = ~F.coalesce(F.col("severity").isin(*SEVERITY_POINTS), F.lit(False))
     per_ip = _per_rule(findings).groupBy("ip").agg(
-        F.sum(F.col("n") * _points()).alias("score"),
+        F.sum(F.col("n") * severity_points()).alias("score"),
         *[
             F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)).alias(f"{s}_count")
             for s in SEVERITY_POINTS

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from loghelm.functions.agents import bot_class
 from loghelm.functions.urls import percent_decode, target_path, target_query, url_template
-from loghelm.operators import detectors, panels, reports, risk, sessions
+from loghelm.operators import detectors, latency_sketches, panels, reports, risk, sessions
 from loghelm.operators import parse as p
 from loghelm.operators.detect_format import detect_formats, sample_lines
 from loghelm.operators.filters import Filters, apply_filters
@@ -22,6 +22,7 @@ from loghelm.sources.datasets import LogStore, files_to_import, inventory, scan_
 from loghelm.sources.lines import read_lines
 from loghelm.sources.render import line, render
 from loghelm.streaming import jobs
+from loghelm.streaming.moving import moving_risk, rocksdb_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-25"
@@ -475,6 +476,21 @@ def _stream_sessions(spark: SparkSession, directory: str) -> DataFrame:
     return _closed(spark, directory, jobs.visitor_sessions, "stream-sessions")
 
 
+def _stream_open_sessions(spark: SparkSession, directory: str) -> DataFrame:
+    """All sessions, without an end mark: those the stream has closed, and those its state holds open."""
+    folder = scratch_dir(spark, "stream-open")
+    result = jobs.visitor_sessions(_log_stream(spark, directory))
+    jobs.run_to_files(result, f"{folder}/out", f"{folder}/checkpoint")
+    closed = spark.read.schema(result.schema).parquet(f"{folder}/out").withColumn("is_open", F.lit(False))
+    return closed.unionByName(jobs.open_sessions(spark, f"{folder}/checkpoint").withColumn("is_open", F.lit(True)))
+
+
+def _stream_latency(spark: SparkSession, directory: str) -> DataFrame:
+    """Sketches of the stream's hours, merged by day, with whether their quantiles are close to the exact ones."""
+    hours = _closed(spark, directory, jobs.latency_windows, "stream-latency").withColumn("day", F.date_trunc("day", "window_start"))
+    return _checked_sketches(hours, read_access_log(spark, directory).withColumn("day", F.date_trunc("day", "timestamp")), "day")
+
+
 def _stream_alerts(spark: SparkSession, directory: str) -> DataFrame:
     return _closed(spark, directory, lambda log: jobs.probe_alerts(log, size="7 days"), "stream-alerts", dt.timedelta(days=8))
 
@@ -501,6 +517,14 @@ def _stream_ip_risk_all(spark: SparkSession, directory: str) -> DataFrame:
     return jobs.total_risk(_running_risk(spark, directory), latest)
 
 
+def _stream_ip_risk_window(spark: SparkSession, directory: str) -> DataFrame:
+    """Row findings of the last seven days of the log."""
+    found = jobs.row_findings(_log_stream(spark, directory), default_pack().rules)
+    with rocksdb_state(spark):
+        latest = _updated(spark, moving_risk(found, dt.timedelta(days=7)), ["ip"], "stream-moving")
+    return latest.where("score > 0")
+
+
 def _stream_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Every request twice, as if replayed, must come out once."""
     twice = _log_stream(spark, directory).unionByName(_log_stream(spark, directory))
@@ -516,6 +540,18 @@ def _merged_sketches(log: DataFrame) -> DataFrame:
     return merged.join(exact, ["panel", "key"]).select("panel", "key", "hits", "bytes", close.alias("visitors_close"))
 
 
+def _checked_sketches(parts: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    merged = latency_sketches.sketched_quantiles(latency_sketches.merge_latencies(parts, [key]))
+    close = latency_sketches.within_rank_error(merged, log, [key])
+    return merged.select(key, "timed_requests", "avg_response_time").join(close, key)
+
+
+def _latency_merge_kll(log: DataFrame) -> DataFrame:
+    """Reports of a dataset's days, merged over the days."""
+    dated = log.withColumn("day", F.date_trunc("day", "timestamp"))
+    return _checked_sketches(latency_sketches.latency_sketches(dated, ["upload_id", "day"]), log, "upload_id")
+
+
 def _merged_by_dataset(build: Callable, merge: Callable) -> Query:
     return _log_query(lambda log: merge(build(log, by=["upload_id"]).drop("upload_id")))
 
@@ -578,6 +614,7 @@ QUERIES: dict[str, Query] = {
     "bounce_pages": _log_query(sessions.bounce_pages),
     "panel_report": _log_query(panels.panel_report),
     "panel_merge": _merged_by_dataset(panels.panel_report, panels.merge_rows),
+    "latency_merge_kll": _log_query(_latency_merge_kll),
     "panel_merge_hll": _log_query(_merged_sketches),
     "files_by_format": _log_query(lambda log: panels.files_by_format(_registry(log))),
     "det_brute_force": _log_query(detectors.detect_brute_force),
@@ -633,9 +670,12 @@ QUERIES: dict[str, Query] = {
     "stream_traffic": _query(_stream_traffic),
     "stream_sliding": _query(_stream_sliding),
     "stream_sessions": _query(_stream_sessions),
+    "stream_open_sessions": _query(_stream_open_sessions),
+    "stream_latency": _query(_stream_latency),
     "stream_alerts": _query(_stream_alerts),
     "stream_findings": _query(_stream_findings),
     "stream_ip_risk": _query(_stream_ip_risk),
     "stream_ip_risk_all": _query(_stream_ip_risk_all),
+    "stream_ip_risk_window": _query(_stream_ip_risk_window),
     "stream_dedup": _query(_stream_dedup),
 }

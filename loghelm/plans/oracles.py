@@ -313,6 +313,17 @@ DOCUMENT_FILES = """files AS (SELECT concat('doc-', lpad(CAST(doc_id AS VARCHAR)
 INGESTED = "CASE upload_id WHEN 1 THEN 'apache_access' WHEN 2 THEN 'nginx_access' ELSE 'iis_w3c' END"
 BAD_LINE = "concat('?? ', ip, ' ', CAST(bytes_sent AS VARCHAR))"
 
+def _sketched(key: str, column: str) -> str:
+    """The counts and means of merged sketches, whose quantiles are to be close."""
+    close = [f"{name}_response_time_close" for name in ("median", "p90", "p95", "p99")]
+    columns = f"{key} timed_requests:l avg_response_time:d " + " ".join(f"{name}:s" for name in close)
+    return _sql(
+        columns,
+        f"""SELECT {column} AS {key.split(":")[0]}, count(*) AS timed_requests, avg(response_time_ms) AS avg_response_time,
+        {", ".join(f"TRUE AS {name}" for name in close)} FROM log WHERE response_time_ms IS NOT NULL GROUP BY 1""",
+    )
+
+
 ORACLES: dict[str, str] = {
     "traffic_minute": _over_time("minute"),
     "traffic_hour": _over_time("hour"),
@@ -448,6 +459,7 @@ ORACLES: dict[str, str] = {
         WHERE key <> '' GROUP BY panel, key""",
         _panels("upload_id, "),
     ),
+    "latency_merge_kll": _sketched("upload_id:l", "upload_id"),
     "panel_merge_hll": _sql(
         "panel:s key:s hits:l bytes:l visitors_close:s",
         "SELECT panel, key, hits, bytes, TRUE AS visitors_close FROM panels WHERE key <> ''", _panels(""),
@@ -611,6 +623,12 @@ ORACLES: dict[str, str] = {
         "upload_id:l ip:s ua_fixed:s started:t ended:t hits:l",
         "SELECT upload_id, ip, ua_fixed, started, ended, hits FROM stats", _session_ctes(1800) + ", " + _session_stats(),
     ),
+    "stream_open_sessions": _sql(
+        "upload_id:l ip:s ua_fixed:s started:t ended:t hits:l is_open:s",
+        """SELECT upload_id, ip, ua_fixed, started, ended, hits, ended + INTERVAL 30 MINUTE > (SELECT date_trunc('millisecond',
+        max(timestamp)) FROM log) - INTERVAL 10 MINUTE AS is_open FROM stats""", _session_ctes(1800) + ", " + _session_stats(),
+    ),
+    "stream_latency": _sketched("day:t", "date_trunc('day', timestamp)"),
     "stream_alerts": _sql(
         "window_start:t upload_id:l ip:s alert:s target:s hits:l denied:l missing:l paths:l severity:s",
         f"""SELECT time_bucket(INTERVAL 7 DAY, timestamp, TIMESTAMP '1970-01-01') AS window_start, upload_id, ip, alert, target,
@@ -627,6 +645,11 @@ ORACLES: dict[str, str] = {
         "ip:s score:l risk_score:l severity:s findings:l", "SELECT * FROM risk", f"found AS ({NATIVE_ROWS} UNION ALL {SIGMA}), {RISK}"
     ),
     "stream_ip_risk_all": _sql("ip:s score:l risk_score:l severity:s findings:l", "SELECT * FROM risk", f"{ALL}, {RISK}"),
+    "stream_ip_risk_window": _sql(
+        "ip:s score:l risk_score:l severity:s findings:l", "SELECT * FROM risk",
+        f"""every AS ({NATIVE_ROWS} UNION ALL {SIGMA}), found AS (SELECT * FROM every WHERE date_trunc('day', timestamp)
+        + INTERVAL 8 DAY >= (SELECT date_trunc('millisecond', max(timestamp)) FROM every) - INTERVAL 1 DAY), {RISK}""",
+    ),
     "stream_dedup": _sql(BASE, "SELECT * FROM log"),
 }
 # The same rows, from the store.

@@ -22,10 +22,17 @@ from loghelm.operators.parse import entries, parse, parse_stats
 
 from loghelm.schema import DATASET_SCHEMA, LOG_DAY, LOG_SCHEMA, REJECT_SCHEMA, conform, utc_day
 from loghelm.session import materialized
-from loghelm.sources.lines import checksums, empty_files, file_heads, plain_path, read_lines, stream_files, with_checksums
+from loghelm.sources.lines import checksums, empty_files, file_heads, plain_path, spread_lines, stream_files, with_checksums
 
 FILES_PER_BATCH = 10_000  # bounds the file list that one job carries
 STORED_SCHEMA = T.StructType(LOG_SCHEMA.fields + [T.StructField(LOG_DAY, T.DateType())])
+# Columns that single values are looked up by. Their Bloom filters are written where a column chunk has no whole dictionary
+# (which serves the same end), in the smallest of several sizes that fits what the chunk holds.
+LOOKED_UP = ["ip", "normalized_url"]
+BLOOM_FILTERS = {
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    **{f"parquet.bloom.filter.enabled#{column}": "true" for column in LOOKED_UP},
+}
 REGISTRY_SCHEMA = T.StructType(DATASET_SCHEMA.fields + [T.StructField("deleted", T.BooleanType())])
 
 
@@ -50,7 +57,7 @@ class LogStore:
 
     def append(self, rows: DataFrame) -> None:
         """Add log rows, by dataset and day. Sorted by time inside files, so Parquet statistics prune on it."""
-        _by_day(rows).write.mode("append").partitionBy("upload_id", LOG_DAY).parquet(self.entries_path)
+        _by_day(rows).write.mode("append").options(**BLOOM_FILTERS).partitionBy("upload_id", LOG_DAY).parquet(self.entries_path)
 
     def replace_datasets(self, rows: DataFrame, ids: list[int]) -> None:
         """Write the datasets ``ids``, whose entries are ``rows``, each replacing what it held before.
@@ -62,7 +69,8 @@ class LogStore:
         self._replace(_by_day(rows), self.entries_path, "upload_id", LOG_DAY)
 
     def _replace(self, rows: DataFrame, path: str, *by: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        options = {"partitionOverwriteMode": "dynamic", **BLOOM_FILTERS}
+        rows.write.mode("overwrite").options(**options).partitionBy(*by).parquet(path)
 
     def _drop_folders(self, path: str, ids: list[int]) -> None:
         """Drop those folders of the datasets that exist (few do); one listing finds them."""
@@ -201,7 +209,7 @@ class LogStore:
         flagged = None
         for name in sorted({row.format for row in batch}):
             paths = [plain_path(row.path) for row in batch if row.format == name]
-            rows = parse(read_lines(self.spark, paths), name, as_of)
+            rows = parse(spread_lines(self.spark, paths), name, as_of)
             flagged = rows if flagged is None else flagged.unionByName(rows)
         ids = F.broadcast(known.select("path", "upload_id"))
         flagged = flagged.join(ids, "path").persist(StorageLevel.MEMORY_AND_DISK)

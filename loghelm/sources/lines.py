@@ -28,6 +28,23 @@ def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     return reader.text(paths).select(value.alias("value"), F.col("_metadata.file_path").alias("path"))
 
 
+# Extensions of codecs whose files only one task can read.
+UNSPLITTABLE = (".gz", ".zst", ".snappy", ".deflate", ".lz4")
+
+
+def spread_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``read_lines`` of files, with the lines of those that one task has to decompress dealt out again.
+
+    The exchange has no key and lies before anything else is done to a line, so what follows uses all tasks however large
+    such a file is; the adaptive plan cuts its output to the advised size, so small files are not torn apart.
+    """
+    whole = [path for path in paths if path.lower().endswith(UNSPLITTABLE)]
+    rest = [path for path in paths if not path.lower().endswith(UNSPLITTABLE)]
+    parts = [read_lines(spark, whole).hint("rebalance")] if whole else []
+    parts += [read_lines(spark, rest)] if rest else []
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.withColumn("path", F.col("_metadata.file_path"))

@@ -7,7 +7,7 @@ state. Sinks are files written with a checkpoint, or ``foreachBatch`` for update
 import datetime as dt
 import threading
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -16,10 +16,12 @@ from loghelm.operators.detectors import (
     COUNT_KEYS, COUNTING_DETECTORS, LOGIN_WORDS, PROBE_PATHS, RowRule, candidates, counts_of_candidates, findings_of_counts,
     match_rows, native_row_rules,
 )
+from loghelm.operators.latency_sketches import sketch_measures
 from loghelm.operators.parse import entries, parse
-from loghelm.operators.risk import MAX_SCORE, OTHER_POINTS, SEVERITY_POINTS, risk_class
+from loghelm.operators.risk import MAX_SCORE, risk_class, severity_points
 from loghelm.functions.text import contains_any
 from loghelm.schema import REJECT_SCHEMA, conform
+from loghelm.streaming.updates import latest_updates, write_updates  # noqa: F401
 
 WATERMARK = "10 minutes"
 
@@ -66,26 +68,6 @@ def write_log_and_rejects(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def write_updates(
-    result: DataFrame, path: str, checkpoint: str, mode: str = "update", available_now: bool = False
-) -> StreamingQuery:
-    """Write each batch of changed rows as its own folder, so a repeated batch replaces itself."""
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    writer = result.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row per key among the batches that ``write_updates`` left."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return newest.select(*keys, "_v.*")
-
-
 def traffic_windows(
     log: DataFrame, size: str = "1 hour", slide: str | None = None, watermark: str = WATERMARK
 ) -> DataFrame:
@@ -129,6 +111,14 @@ def closed_windows(
     )
 
 
+def latency_windows(log: DataFrame, size: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
+    """A latency sketch per window, once the watermark has passed it; ``merge_latencies`` makes sketches of longer times."""
+    windows = log.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", size).alias("_w")).agg(*sketch_measures())
+    return windows.where("timed_requests > 0").select(
+        F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "timed_requests", "total_time", "latencies"
+    )
+
+
 def visitor_sessions(log: DataFrame, gap: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
     """Sessions per dataset, address and user agent, emitted once the watermark passes them."""
     return (
@@ -144,6 +134,19 @@ def visitor_sessions(log: DataFrame, gap: str = "30 minutes", watermark: str = W
     )
 
 
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions that a stream of ``visitor_sessions`` still holds open, in its columns, out of its checkpoint's state.
+
+    Read after a batch they are those the stream has not emitted: with its output they make up all sessions so far.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    # The state's values are the keys, the session, and the buffers of the aggregates in their order.
+    upload_id, ip, agent, session, hits, ended = (F.col("value")[name] for name in state.schema["value"].dataType.names)
+    return state.select(
+        upload_id.alias("upload_id"), ip.alias("ip"), agent.alias("ua_fixed"), session["start"].alias("started"), ended.alias("ended"), hits.alias("hits")
+    ).where("hits > 0")
+
+
 def with_end_marks(log: DataFrame, marks: DataFrame) -> DataFrame:
     """The stream and a second one of marks: rows without a dataset and address, of a time only.
 
@@ -207,18 +210,11 @@ def running_risk(findings: DataFrame, period: str = "365 days", watermark: str =
     """
     totals = findings.withWatermark("timestamp", watermark).groupBy(
         F.window("timestamp", period).alias("_w"), "ip"
-    ).agg(F.sum(_points()).alias("score"), F.count(F.lit(1)).alias("findings"))
+    ).agg(F.sum(severity_points()).alias("score"), F.count(F.lit(1)).alias("findings"))
     risk = F.least(F.col("score"), F.lit(MAX_SCORE).cast("bigint"))
     return totals.select(F.col("_w.start").alias("period_start"), "ip", "score", risk.alias("risk_score"), risk_class(risk).alias("severity"), "findings")
 
 
-def _points() -> Column:
-    points = F.lit(OTHER_POINTS)
-    for severity, value in SEVERITY_POINTS.items():
-        points = F.when(F.col("severity") == severity, value).otherwise(points)
-    return points
-
-
 def candidate_counts(log: DataFrame, period: str = "365 days", watermark: str = "1 day") -> DataFrame:
     """Counts of brute force, enumeration and scanner candidates per path and period so far (update mode).
 
@@ -234,7 +230,7 @@ def total_risk(running: DataFrame, counts: DataFrame | None = None) -> DataFrame
     counting detectors, of ``candidate_counts``. A target's counts are summed over periods before they are judged."""
     parts = running.select("ip", "score", "findings")
     if counts is not None:
-        found = findings_of_counts(counts).groupBy("ip").agg(F.sum(_points()).alias("score"), F.count(F.lit(1)).alias("findings"))
+        found = findings_of_counts(counts).groupBy("ip").agg(F.sum(severity_points()).alias("score"), F.count(F.lit(1)).alias("findings"))
         parts = parts.unionByName(found)
     totals = parts.groupBy("ip").agg(F.sum("score").alias("score"), F.sum("findings").alias("findings"))
     risk = F.least(F.col("score"), F.lit(MAX_SCORE).cast("bigint"))
@@ -247,16 +243,16 @@ def distinct_lines(log: DataFrame, keys: list[str], watermark: str = "1 day") ->
 
 
 def run_to_files(
-    result: DataFrame, path: str, checkpoint: str, mode: str = "append"
+    result: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None
 ) -> StreamingQuery:
-    """Process what is available, write it, and return once done."""
+    """Process what is available, write it, and return once done. With ``keys`` updates are compacted."""
     if mode == "append":
         query = (
             result.writeStream.format("parquet").outputMode("append").option("path", path)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
     else:
-        query = write_updates(result, path, checkpoint, mode, available_now=True)
+        query = write_updates(result, path, checkpoint, mode, available_now=True, keys=keys)
     query.awaitTermination()
     return query
 

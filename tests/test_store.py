@@ -13,7 +13,7 @@ from loghelm.operators.filters import Filters, apply_filters
 from loghelm.plans import bundles
 from loghelm.session import scratch_dir
 from loghelm.sources.datasets import LogStore
-from loghelm.sources.lines import checksums, empty_files, file_heads, list_files, read_lines
+from loghelm.sources.lines import checksums, empty_files, file_heads, list_files, read_lines, spread_lines
 from loghelm.streaming import jobs
 
 CLF = '1.1.1.{} - - [10/Oct/2023:13:55:36 +0000] "GET /{} HTTP/1.1" 200 10\n'
@@ -214,3 +214,47 @@ def test_scratch_is_under_the_shared_folder(spark):
     assert "/loghelm/x-" in path and path != scratch_dir(spark, "x")
     if shared:
         assert path.startswith(shared.rstrip("/") + "/loghelm/x-")
+
+
+def test_lookups_skip_row_groups(spark, make_log, tmp_path):
+    """An address that is in the range of a file's addresses but not among them reads no row."""
+    one = make_log({})
+    many = spark.range(0, 400_000, 2, 1).select(F.concat(F.lit("10."), F.lpad(F.col("id").cast("string"), 9, "0")).alias("_ip"))
+    rows = one.drop("ip").crossJoin(many).withColumnRenamed("_ip", "ip")
+    store = LogStore(spark, str(tmp_path / "store"))
+    store.append(rows)
+
+    def rows_read(address):
+        found = store.log().where(F.col("ip") == address)
+        kept = found.collect()
+        scan = found._jdf.queryExecution().executedPlan()
+        while scan.children().size():
+            scan = scan.children().head()
+        found._jdf.collectToPython()
+        return len(kept), scan.metrics().apply("numOutputRows").value()
+
+    assert rows_read("10.000000001") == (0, 0)
+    found, read = rows_read("10.000000002")
+    assert found == 1 and read > 0
+
+
+def test_lines_of_a_compressed_file_are_dealt_out(spark, tmp_path):
+    """An exchange without key lies between the decompression of one file and what follows; plain files have none."""
+    text = "".join(f"line {i} {i * 7919 % 1000003}\n" for i in range(50_000))
+    (tmp_path / "a.log.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "b.log").write_text("plain\n")
+    packed, plain = f"file://{tmp_path}/a.log.gz", f"file://{tmp_path}/b.log"
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        lines = spread_lines(spark, [packed, plain])
+        assert "RoundRobinPartitioning" in plan(lines) and "RoundRobinPartitioning" not in plan(spread_lines(spark, [plain]))
+        assert lines.count() == 50_001
+        spread = spread_lines(spark, [packed]).groupBy(F.spark_partition_id()).agg(F.max("value"))
+        assert spread.count() >= 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert {r.value for r in lines.collect()} == {*text.splitlines(), "plain"}
