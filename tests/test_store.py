@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loghelm.operators import panels, reports
 from loghelm.operators.filters import Filters, apply_filters
 from loghelm.plans import bundles
-from loghelm.session import scratch_dir
+from loghelm.session import CLUSTER_SETTINGS, scratch_dir
 from loghelm.sources.datasets import LogStore
 from loghelm.sources.lines import checksums, empty_files, file_heads, list_files, read_lines, spread_lines
 from loghelm.streaming import jobs
@@ -248,13 +248,17 @@ def test_lines_of_a_compressed_file_are_dealt_out(spark, tmp_path):
     def plan(frame):
         return frame._jdf.queryExecution().executedPlan().toString()
 
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    small = {"advisoryPartitionSizeInBytes": "64k", "coalescePartitions.minPartitionSize": "16k"}
+    for name, value in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
     try:
         lines = spread_lines(spark, [packed, plain])
         assert "RoundRobinPartitioning" in plan(lines) and "RoundRobinPartitioning" not in plan(spread_lines(spark, [plain]))
         assert lines.count() == 50_001
-        spread = spread_lines(spark, [packed]).groupBy(F.spark_partition_id()).agg(F.max("value"))
-        assert spread.count() >= 4
+        spread = spread_lines(spark, [packed]).select(F.upper("value").alias("upper"), F.spark_partition_id().alias("task"))
+        spread.write.parquet(str(tmp_path / "out"))
+        assert spark.read.parquet(str(tmp_path / "out")).select("task").distinct().count() >= 4
     finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", CLUSTER_SETTINGS["spark.sql.adaptive.advisoryPartitionSizeInBytes"])
     assert {r.value for r in lines.collect()} == {*text.splitlines(), "plain"}
