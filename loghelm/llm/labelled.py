@@ -1,4 +1,4 @@
-"""Labelled training rows of a bounded number, and the scoring of whole tables, for the text classifiers."""
+"""Labelled training rows, all of them or a bounded number, and the scoring of whole tables, for the text classifiers."""
 
 from __future__ import annotations
 
@@ -31,6 +31,22 @@ def label_weights(labels: DataFrame, label: str, learn_from: Column, per_class:
     return tuple(max(1.0, counts.get(which, 0) / per_class) for which in (0, 1))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column) -> DataFrame:
+    """``place, label, text`` of every id that training may use: the whole text, the 0/1 label and a hash of the id.
+
+    Of an id's rows the smallest text counts. Nothing is broadcast by hint, as labels grow with the documents.
+    """
+    rows = learnable(labels, label, learn_from).where("label IN (0, 1)").withColumn("place", F.xxhash64("doc_id", F.lit(label)))
+    texts = docs.where(learn_from).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(rows, "doc_id").groupBy("doc_id", "place", "label").agg(F.min("text").alias("text"))
+    return found.select("place", F.col("label").cast("int").alias("label"), "text")
+
+
+def part_of(place: str) -> Column:
+    """A number in [0, 1) for each ``place``, the one ``labelled_sample`` gives."""
+    return F.pmod(F.col(place), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, per_class: int
 ) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -5,21 +5,32 @@ widths slide over the words; of each filter the largest response in the text cou
 filter is linear before the maximum, its part for each distinct word is computed once and the parts of neighbours added.
 The logit is moved and scaled by language, on rows that training doesn't see, so that 0.5 separates best in each; the
 language is told from function words in the text.
+
+Training takes all labelled rows: they are dealt to shards of bounded size, a task fits a net to each shard from a common
+start (log odds of all rows), and the nets are averaged. The thresholds come from counts of all rows kept from training.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loghelm.llm.labelled import label_weights, labelled_sample, remainder, score_texts
+from loghelm.llm.common import by_bytes, materialize
+from loghelm.llm.labelled import labelled_texts, part_of, remainder, score_texts
 from loghelm.llm.words import BUCKETS, LANGUAGES, WordTable, affixes, languages
 
-#: Labelled rows of either label that training takes at most.
-PER_CLASS = 4000
+#: Rows and words of a shard, on average: what one task fits a net to, and holds.
+SHARD_ROWS, SHARD_WORDS = 4096, 4_000_000
+#: Passes over the rows: of one shard alone, and of each of several.
+EPOCHS, SHARED_EPOCHS = 6, 3
+#: Buckets of a piece of a net, and steps of a logit between which thresholds lie.
+PIECE, STEPS = 1024, 256
 DIMENSIONS, WIDTHS, FILTERS, AFFIXES = 16, (1, 2, 3), 12, 7
 #: Rows of a language and label that its own threshold needs; with fewer the common one holds.
 LEAST_ROWS = 8
@@ -120,14 +131,18 @@ def begin_from_odds(net: ConvolutionalNet, ids: list[np.ndarray], rows: np.ndarr
     seen = np.zeros((2, BUCKETS))
     for i in learn:
         seen[int(labels[i]), np.unique(rows[np.unique(ids[i])])] += 1
-    texts = np.array([(labels[learn] == 0).sum(), labels[learn].sum()])
+    begin_from_counts(net, seen, np.array([(labels[learn] == 0).sum(), labels[learn].sum()]))
+
+
+def begin_from_counts(net: ConvolutionalNet, seen: np.ndarray, texts: np.ndarray) -> None:
+    """seen: for either label, how many texts have each bucket; texts: how many there are."""
     odds = np.log((seen[1] + 0.5) / (texts[1] + 1)) - np.log((seen[0] + 0.5) / (texts[0] + 1))
     net.embedding[:, 0] = odds * (1 - np.exp(-seen.sum(axis=0) / 4)) / AFFIXES
     net.filters[0] = np.abs(net.filters[0]) + 0.5
 
 
 def train(
-    texts: list[str], labels: np.ndarray, part: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.02, seed: int = 11,
+    texts: list[str], labels: np.ndarray, part: np.ndarray, epochs: int = EPOCHS, batch: int = 48, rate: float = 0.02, seed: int = 11,
     weights: tuple[float, float] = (1.0, 1.0),
 ) -> ConvolutionalNet:
     """Fit by Adagrad on the rows with ``part`` of 0.2 and more; the others set the thresholds. ``weights``: how many rows
@@ -147,8 +162,18 @@ def train(
     if len(learn) < 2 or labels[learn].min() == labels[learn].max():
         learn = np.arange(len(labels))
     begin_from_odds(net, ids, rows, labels, learn)
+    descend(net, ids, rows, labels, learn, float(labels[learn].mean()), epochs, batch, rate, seed)
+    return calibrate(net, texts, labels, part, weights)
+
+
+def descend(
+    net: ConvolutionalNet, ids: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, learn: np.ndarray, share: float, epochs: int,
+    batch: int = 48, rate: float = 0.02, seed: int = 11,
+) -> np.ndarray:
+    """Adagrad from ``net`` on the texts ``learn``, whose words are ``ids`` of ``rows``, buckets of words. share: of label 1
+    in all rows; the labels are balanced by it. Returns which buckets have moved."""
     rng = np.random.default_rng(seed)
-    weight = np.where(labels == 1, 0.5 / max(labels[learn].mean(), 1e-6), 0.5 / max(1 - labels[learn].mean(), 1e-6)).astype(np.float32)
+    weight = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
     memory = {n: np.full_like(getattr(net, n), 1e-2) for n in ("embedding", "filters", "bias", "dense")}
     memory_offset = 1e-2
 
@@ -193,7 +218,7 @@ def train(
                 np.add.at(summed, inverse.ravel(), np.repeat(grad_vectors[touched], AFFIXES, axis=0))
                 step("embedding", summed, at)
             step("filters", grad_filters)
-    return calibrate(net, texts, labels, part, weights)
+    return (memory["embedding"] > 1e-2 + 1e-12).any(axis=1)
 
 
 def _threshold(logits: np.ndarray, labels: np.ndarray, weights: tuple[float, float]) -> float:
@@ -238,11 +263,135 @@ def toxicity_scores(
     return score_texts(docs, Scorer(train(texts, labels, part, weights=weights)), name)
 
 
+def _bucketed(frame: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of the texts as rows of an array of buckets."""
+    table = WordTable(affixes, AFFIXES)
+    return [table.ids(text.split()) for text in frame["text"]], table.new_rows()
+
+
+def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For either label, how many texts of a task have each bucket; how many texts there are comes as bucket -1."""
+    seen, texts = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+    table, rows = None, None
+    for batch in by_bytes(batches, "text"):
+        if table is None or table.full():
+            table, rows = WordTable(affixes, AFFIXES), np.empty((0, AFFIXES), np.int32)
+        ids = [table.ids(text.split()) for text in batch["text"]]
+        rows = np.concatenate([rows, table.new_rows()])
+        for label, words in zip(batch["label"], ids, strict=True):
+            seen[label, rows[words].ravel()] += 1  # numpy adds once for a bucket, however often it is listed
+            texts[label] += 1
+    some = np.flatnonzero(seen.any(axis=0))
+    yield pd.DataFrame({"bucket": [-1, *some], "seen0": [texts[0], *seen[0, some]], "seen1": [texts[1], *seen[1, some]]})
+
+
+def _fitted(start: ConvolutionalNet, share: float, epochs: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Nets fitted to the shards of a task, in pieces: those embeddings that have moved, and all the rest as the last piece."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches, ignore_index=True)
+        for _, shard in rows.sort_values(["shard", "place", "text"], kind="stable").groupby("shard"):
+            net, (ids, buckets) = deepcopy(start), _bucketed(shard)
+            moved = descend(net, ids, buckets, shard["label"].to_numpy(np.float32), np.arange(len(shard)), share, epochs)
+            pieces = [(p, np.flatnonzero(moved[p * PIECE : (p + 1) * PIECE])) for p in range(BUCKETS // PIECE)]
+            out = [(p, at.astype(np.int32).tobytes(), net.embedding[p * PIECE + at].tobytes()) for p, at in pieces if len(at)]
+            rest = np.concatenate([net.filters.ravel(), net.bias, net.dense, [net.offset]]).astype(np.float64)
+            yield pd.DataFrame([*out, (-1, b"", rest.tobytes())], columns=["piece", "at", "numbers"])
+
+    return fit
+
+
+def _averaged(pieces: pd.DataFrame) -> pd.DataFrame:
+    """The mean of a piece over the shards; of an embedding over those in which it has moved."""
+    if pieces["piece"].iloc[0] == -1:
+        rest = np.mean([np.frombuffer(raw) for raw in sorted(pieces["numbers"])], axis=0)
+        return pd.DataFrame([(-1, b"", rest.tobytes())], columns=["piece", "at", "numbers"])
+    total, times = np.zeros((PIECE, DIMENSIONS)), np.zeros(PIECE)
+    for at, raw in sorted(zip(pieces["at"], pieces["numbers"], strict=True)):  # sums must not depend on the order of arrival
+        where = np.frombuffer(at, np.int32)
+        total[where] += np.frombuffer(raw, np.float32).reshape(-1, DIMENSIONS)
+        times[where] += 1
+    at = np.flatnonzero(times)
+    mean = (total[at] / times[at, None]).astype(np.float32)
+    return pd.DataFrame([(pieces["piece"].iloc[0], at.astype(np.int32).tobytes(), mean.tobytes())], columns=["piece", "at", "numbers"])
+
+
+def _counted(net: ConvolutionalNet) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of either label by language and step of the logit, with the least and the largest logit."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(net)
+        for batch in by_bytes(batches, "text"):
+            logits, language = scorer.raw(batch["text"].tolist())
+            logits = logits.astype(float)
+            step = np.floor(np.clip(logits, -32, 32) * STEPS).astype(np.int64)
+            found = pd.DataFrame({"language": language, "step": step, "label": batch["label"].to_numpy(), "logit": logits})
+            groups = found.groupby(["language", "step"])
+            yield groups.agg(rows=("label", "size"), hits=("label", "sum"), low=("logit", "min"), high=("logit", "max")).reset_index()
+
+    return count
+
+
+def _threshold_of_steps(steps: pd.DataFrame) -> float:
+    """As ``_threshold``, from the counts of steps of the logit."""
+    steps = steps.groupby("step").agg({"rows": "sum", "hits": "sum", "low": "min", "high": "max"}).sort_index(ascending=False)
+    rows, hits, low, high = (steps[name].to_numpy(float) for name in ("rows", "hits", "low", "high"))
+    f1 = 2 * hits.cumsum() / (rows.cumsum() + hits.sum())
+    best = int(np.argmax(f1))
+    return float((low[best] + (high[best + 1] if best + 1 < len(low) else low[best] - 2)) / 2)
+
+
+def fit_all(rows: DataFrame) -> ConvolutionalNet:
+    """A net fitted to all rows (place, label, text). What reaches the driver is bounded: counts by bucket, one net, counts
+    by language and step of the logit."""
+    rows = materialize(rows.withColumn("part", part_of("place")), "toxicity-rows")
+    size = F.sum(F.length("text") / 6)  # about the number of words
+    counts = rows.groupBy("label", (F.col("part") >= 0.2).alias("learn")).agg(F.count(F.lit(1)).alias("rows"), size.alias("words")).collect()
+    if len({c["label"] for c in counts}) < 2:
+        return train([], np.array([float(c["label"]) for c in counts][:1]), np.empty(0))
+
+    def side(learn: bool) -> tuple[list, Column]:
+        """Rows that training takes, or those kept from it; all rows where these lack a label."""
+        mine = [c for c in counts if c["learn"] == learn]
+        return (mine, (F.col("part") >= 0.2) == learn) if len({c["label"] for c in mine}) == 2 else (counts, F.lit(True))
+
+    (used, learn), (_, held) = side(True), side(False)
+    n_rows = sum(c["rows"] for c in used)
+    start, seen = ConvolutionalNet.new(11), np.zeros((2, BUCKETS))
+    by_bucket = rows.where(learn).select("label", "text").mapInPandas(_seen, "bucket int, seen0 long, seen1 long")
+    by_bucket = by_bucket.groupBy("bucket").agg(F.sum("seen0").alias("seen0"), F.sum("seen1").alias("seen1")).toPandas().set_index("bucket")
+    texts = by_bucket.loc[-1].to_numpy()
+    by_bucket = by_bucket.drop(-1)
+    seen[:, by_bucket.index] = by_bucket.to_numpy().T
+    begin_from_counts(start, seen, texts)
+    shards = max(-(-n_rows // SHARD_ROWS), int(sum(c["words"] for c in used) // SHARD_WORDS) + 1)
+    dealt = rows.where(learn).withColumn("shard", F.pmod(F.xxhash64("place", F.lit("shard")), F.lit(shards)).cast("int"))
+    dealt = dealt.select("shard", "place", "label", "text").repartitionById(shards, "shard")
+    schema = "piece int, at binary, numbers binary"
+    fitted = dealt.mapInPandas(_fitted(start, texts[1] / texts.sum(), EPOCHS if shards == 1 else SHARED_EPOCHS), schema)
+    net = start
+    for piece, at, numbers in fitted.groupBy("piece").applyInPandas(_averaged, schema).collect():
+        if piece >= 0:
+            net.embedding[piece * PIECE + np.frombuffer(at, np.int32)] = np.frombuffer(numbers, np.float32).reshape(-1, DIMENSIONS)
+            continue
+        filters, bias, dense, offset = np.split(np.frombuffer(numbers), np.cumsum([net.filters.size, net.bias.size, net.dense.size]))
+        net.filters, net.bias = filters.astype(np.float32).reshape(net.filters.shape), bias.astype(np.float32)
+        net.dense, net.offset = dense.astype(np.float32), float(offset[0])
+    steps = rows.where(held).select("label", "text").mapInPandas(
+        _counted(net), "language int, step long, rows long, hits long, low double, high double"
+    ).groupBy("language", "step").agg(
+        F.sum("rows").alias("rows"), F.sum("hits").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high")
+    ).toPandas()
+    net.shift[:] = _threshold_of_steps(steps)
+    for language, mine in steps.groupby("language"):
+        if min(mine["hits"].sum(), (mine["rows"] - mine["hits"]).sum()) >= LEAST_ROWS:
+            net.shift[language] = _threshold_of_steps(mine)
+    return net
+
+
 def op1_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    learn_from = remainder(5) != 0
-    sample = labelled_sample(documents, labels, "toxic", learn_from, PER_CLASS)
-    weights = label_weights(labels, "toxic", learn_from, PER_CLASS)
-    scored = toxicity_scores(documents.select("doc_id", "text"), *sample, weights=weights)
+    net = fit_all(labelled_texts(documents, labels, "toxic", remainder(5) != 0))
+    scored = score_texts(documents.select("doc_id", "text"), Scorer(net))
     return scored.select(
         "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
