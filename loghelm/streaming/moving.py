@@ -1,8 +1,9 @@
 """Risk per address over a moving period: findings count until the period after their day has passed.
 
 Each task folds its findings to one row per address and day before the shuffle, so an address with a third of all findings
-sends a row per Arrow batch and day. State is a total per day of an address, which a timer drops when its time has come, so it
-holds a period and no more. Changed totals are emitted, also when findings leave, down to a score of 0.
+sends a row per Arrow batch and day. State is a list of totals per day of an address, so it is read and written in one call each; one timer, of the first
+day's end, drops all days whose time has come and sets the next, so the state holds a period and no more. Changed totals are
+emitted, also when findings leave, down to a score of 0.
 """
 
 import datetime as dt
@@ -42,46 +43,48 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _DayTotals(StatefulProcessor):
-    """Totals per day of one address; a day's timer is set when the day is first seen, and drops it."""
+    """Totals per day of one address. While there are any, a timer not later than the first day's end is set."""
 
     def __init__(self, period_ms: int) -> None:
         self._period_ms = period_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._days = handle.getMapState("days", "day bigint", "score bigint, findings bigint")
+        self._days = handle.getListState("days", "day bigint, score bigint, findings bigint")
 
     def _ends(self, day: int) -> int:
         return (day + 1) * DAY_MS + self._period_ms
 
-    def _total(self, key: tuple) -> pd.DataFrame:
-        totals = [value for _, value in self._days.iterator()]
-        return pd.DataFrame({"ip": [key[0]], "score": [sum(t[0] for t in totals)], "findings": [sum(t[1] for t in totals)]})
+    def _store(self, key: tuple, days: dict[int, list[int]], now: int) -> tuple[dict[int, list[int]], pd.DataFrame]:
+        """Keep the days whose time has not come, as timers count it, and give them and their total."""
+        kept = {day: total for day, total in days.items() if self._ends(day) >= now}
+        if kept:
+            self._days.put([(day, *total) for day, total in sorted(kept.items())])
+        else:
+            self._days.clear()
+        score, findings = (sum(total[i] for total in kept.values()) for i in (0, 1))
+        return kept, pd.DataFrame({"ip": [key[0]], "score": [score], "findings": [findings]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        added: dict[int, list[int]] = {}
+        days = {day: [score, findings] for day, score, findings in self._days.get()}
+        first = min(days, default=None)
         for batch in rows:  # at most one entry per day of the period
             for day, score, findings in zip(batch["day"], batch["score"], batch["findings"]):
-                total = added.setdefault(int(day), [0, 0])
+                total = days.setdefault(int(day), [0, 0])
                 total[0] += int(score)
                 total[1] += int(findings)
-        now = timerValues.getCurrentWatermarkInMs()
-        for day, (score, findings) in added.items():
-            if self._ends(day) < now:  # as timers are
-                continue
-            if self._days.containsKey((day,)):
-                old = self._days.getValue((day,))
-                score, findings = score + old[0], findings + old[1]
-            else:
-                self._handle.registerTimer(self._ends(day))
-            self._days.updateValue((day,), (score, findings))
-        yield self._total(key)
+        kept, total = self._store(key, days, timerValues.getCurrentWatermarkInMs())
+        # The timer of a first day that has gone comes later in this batch, and sets the next.
+        if kept and (first is None or min(kept) < first):
+            self._handle.registerTimer(self._ends(min(kept)))
+        yield total
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = (expiredTimerInfo.getExpiryTimeInMs() - self._period_ms) // DAY_MS - 1
-        if self._days.containsKey((day,)):
-            self._days.removeKey((day,))
-        yield self._total(key)
+        days = {day: [score, findings] for day, score, findings in self._days.get()}
+        kept, total = self._store(key, days, timerValues.getCurrentWatermarkInMs())
+        if kept:
+            self._handle.registerTimer(self._ends(min(kept)))
+        yield total
 
     def close(self) -> None:
         pass

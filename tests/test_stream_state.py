@@ -108,6 +108,27 @@ def test_risk_leaves_with_its_period(spark, tmp_path):
     assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or "")
 
 
+def test_days_of_an_address_leave_at_one_timer(spark, tmp_path):
+    """Days that leave in one batch are one change of their address, and the timer of the next day is set then."""
+    folder, schema = str(tmp_path / "in"), "ip string, timestamp timestamp, severity string"
+
+    def add(*rows):
+        rows = [(ip, dt.datetime(2023, 1, 1, 12) + dt.timedelta(days=day - 1), "medium") for ip, day in rows]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+        before = set(folders(tmp_path / "out", "batch=*")) if (tmp_path / "out").exists() else set()
+        with rocksdb_state(spark):
+            risk = moving_risk(spark.readStream.schema(schema).parquet(folder), dt.timedelta(days=5))
+            jobs.run_to_files(risk, str(tmp_path / "out"), str(tmp_path / "ck"), mode="update")
+        new = [r for name in set(folders(tmp_path / "out", "batch=*")) - before for r in spark.read.parquet(str(tmp_path / "out" / f"batch={name}")).collect()]
+        state = spark.read.format("statestore").option("stateVarName", "days").load(str(tmp_path / "ck"))
+        return sorted((r.ip, r.findings) for r in new), state.count()
+
+    # The watermark is the 29th at noon: days 1 to 23 have ended five days before it, days 24 to 30 have not.
+    assert add(*[("1.1.1.1", day) for day in range(1, 31)]) == ([("1.1.1.1", 7), ("1.1.1.1", 30)], 7)
+    assert add(("2.2.2.2", 33)) == ([("1.1.1.1", 4), ("2.2.2.2", 1)], 5)
+    assert add(("1.1.1.1", 33), ("2.2.2.2", 60)) == ([("1.1.1.1", 0), ("1.1.1.1", 5), ("2.2.2.2", 1), ("2.2.2.2", 2)], 1)
+
+
 def test_merged_latencies(spark, make_log):
     """Sketches of small groups are exact; merged ones of many rows are within the stated error; nulls take no part."""
     few = make_log(*[{"ip": str(i % 2), "response_time_ms": float(i) if i % 3 else None} for i in range(60)])
