@@ -63,6 +63,12 @@ ERROR_NGINX = (
     r"(?=(?:.*?host:\s*\"([^\"]+)\")?)"
 )
 
+# What every line holds that a layout can match, told much faster than by the layout: a request after the time, and
+# two more quoted texts.
+HAS_REQUEST = r'\]\s+"'
+HAS_THREE_QUOTED = r'(?s)^(?=.*?\]\s+")(?:[^"]*+"){6}'
+TWO_PROTOCOLS = r'(?s)HTTP/\d\.\d".*HTTP/\d\.\d"'
+
 
 def _access_time(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("d/MMM/yyyy:HH:mm:ss Z"))
@@ -82,6 +88,7 @@ class LogFormat:
     name: str
     layouts: tuple[Layout, ...]
     time: Callable[[Column], Column]
+    needs: str  # a pattern that is found in every line of a layout
     latency_per_ms: float | None = None  # latency units in a millisecond
     splits_target: bool = True
     decodes: bool = True
@@ -104,7 +111,7 @@ FORMATS = {
                 ),
                 COMBINED_MALFORMED,
             ),
-            _access_time,
+            _access_time, HAS_THREE_QUOTED,
             latency_per_ms=1000.0,
         ),
         LogFormat(
@@ -115,7 +122,7 @@ FORMATS = {
                     ("time", "ip"),
                 ),
             ),
-            _ctime, error_log=True, has_bytes=False, decodes=False,
+            _ctime, r"\[client", error_log=True, has_bytes=False, decodes=False,
         ),
         LogFormat(
             "clf",
@@ -123,7 +130,7 @@ FORMATS = {
                 Layout(CLIENT_AND_TIME + GREEDY_REQUEST + STATUS_AND_BYTES, REQUEST_GROUPS),
                 Layout(CLIENT_AND_TIME + ANY_REQUEST + STATUS_AND_BYTES, REQUEST_GROUPS),
             ),
-            _access_time,
+            _access_time, HAS_REQUEST,
         ),
         LogFormat(
             "iis_w3c",
@@ -135,6 +142,7 @@ FORMATS = {
                 ),
             ),
             lambda text: F.try_to_timestamp(F.regexp_replace(text, r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss")),
+            r"\d{4}-\d{2}-\d{2}\s",
             latency_per_ms=1.0, splits_target=False, decodes=False, plus_is_space=True,
             comment="#", has_bytes=False,
         ),
@@ -147,13 +155,13 @@ FORMATS = {
                 ),
                 COMBINED_MALFORMED,
             ),
-            _access_time,
+            _access_time, HAS_THREE_QUOTED,
             latency_per_ms=0.001,
         ),
         LogFormat(
             "nginx_error",
             (Layout(ERROR_NGINX, ("time", "ip", "method", "target", "protocol", "host")),),
-            _at("yyyy/MM/dd HH:mm:ss"), error_log=True, has_bytes=False, decodes=False,
+            _at("yyyy/MM/dd HH:mm:ss"), "#", error_log=True, has_bytes=False, decodes=False,
         ),
     ]
 }
@@ -197,16 +205,29 @@ def _valid(fmt: LogFormat, parts: str, timestamp: Column) -> Column:
 
 
 def parse_flags(lines: DataFrame, line: str) -> DataFrame:
-    """Adds a boolean column per format: whether the stripped ``line`` parses in it."""
-    tested = lines
+    """Adds a boolean column per format: whether the stripped ``line`` parses in it.
+
+    The layouts are tried on lines only that hold what they need. The access formats judge the same time, status and size
+    of a line with one protocol at most, as their layouts then part after it or only in how they cut the target: there
+    nginx is as Apache, and common as Apache if its first layout matches.
+    """
+    text, tested = F.col(line), lines
     for name, fmt in FORMATS.items():
-        tested = _fields_of(tested, fmt, line, name)
+        wanted = text.rlike(fmt.needs)
+        if name == "apache_access":
+            tested = tested.withColumn("_one", ~text.rlike(TWO_PROTOCOLS)).withColumn("_try", F.when(wanted, text))
+            tested = tested.withColumn("_first", F.coalesce(F.col("_one") & (F.instr(fmt.layouts[0].fields(F.col("_try")), "\n") > 0), F.lit(False)))
+        same = {"nginx_access": F.col("_one"), "clf": F.col("_first")}.get(name, F.lit(False))
+        tested = tested.withColumn("_try", F.when(wanted & ~same, text))
+        tested = _fields_of(tested, fmt, "_try", name)
         tested = tested.withColumn(name, F.split(name, "\n"))
         flag = _valid(fmt, name, fmt.time(_field(name, "time")))
         if fmt.comment:
-            flag = flag & ~F.col(line).startswith(fmt.comment)
+            flag = flag & ~text.startswith(fmt.comment)
+        if name in ("nginx_access", "clf"):
+            flag = F.when(same, F.col("apache_access")).otherwise(flag)
         tested = tested.withColumn(name, flag)
-    return tested
+    return tested.drop("_one", "_first", "_try")
 
 
 def parse_lines(lines: DataFrame, format_name: str, line: str = "value") -> DataFrame:
