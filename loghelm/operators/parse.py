@@ -183,7 +183,11 @@ def strip(line: Column) -> Column:
 
 def _fields_of(lines: DataFrame, fmt: LogFormat, line: str, hit: str) -> DataFrame:
     """Adds ``hit``: the fields of ``line`` by the first layout that matches, joined."""
-    found = lines.withColumn(hit, fmt.layouts[0].fields(F.col(line)))
+    return _other_fields(lines.withColumn(hit, fmt.layouts[0].fields(F.col(line))), fmt, line, hit)
+
+
+def _other_fields(found: DataFrame, fmt: LogFormat, line: str, hit: str) -> DataFrame:
+    """Where the first layout has not matched, ``hit`` by the others."""
     for layout in fmt.layouts[1:]:
         matched = F.instr(hit, "\n") > 0
         found = found.withColumn(hit, F.when(matched, F.col(hit)).otherwise(layout.fields(F.col(line))))
@@ -211,15 +215,16 @@ def parse_flags(lines: DataFrame, line: str) -> DataFrame:
     of a line with one protocol at most, as their layouts then part after it or only in how they cut the target: there
     nginx is as Apache, and common as Apache if its first layout matches.
     """
-    text, tested = F.col(line), lines
+    text = F.col(line)
+    tested = lines.withColumn("_request", text.contains("[") & text.rlike(HAS_REQUEST))
+    tested = tested.withColumn("_one", ~(F.col("_request") & text.rlike(TWO_PROTOCOLS)))
     for name, fmt in FORMATS.items():
-        wanted = text.rlike(fmt.needs)
-        if name == "apache_access":
-            tested = tested.withColumn("_one", ~text.rlike(TWO_PROTOCOLS)).withColumn("_try", F.when(wanted, text))
-            tested = tested.withColumn("_first", F.coalesce(F.col("_one") & (F.instr(fmt.layouts[0].fields(F.col("_try")), "\n") > 0), F.lit(False)))
         same = {"nginx_access": F.col("_one"), "clf": F.col("_first")}.get(name, F.lit(False))
-        tested = tested.withColumn("_try", F.when(wanted & ~same, text))
-        tested = _fields_of(tested, fmt, "_try", name)
+        tested = tested.withColumn("_try", F.when(~same & _needed(text, fmt), text))
+        tested = tested.withColumn(name, fmt.layouts[0].fields(F.col("_try")))
+        if name == "apache_access":
+            tested = tested.withColumn("_first", F.coalesce(F.col("_one") & (F.instr(name, "\n") > 0), F.lit(False)))
+        tested = _other_fields(tested, fmt, "_try", name)
         tested = tested.withColumn(name, F.split(name, "\n"))
         flag = _valid(fmt, name, fmt.time(_field(name, "time")))
         if fmt.comment:
@@ -227,7 +232,14 @@ def parse_flags(lines: DataFrame, line: str) -> DataFrame:
         if name in ("nginx_access", "clf"):
             flag = F.when(same, F.col("apache_access")).otherwise(flag)
         tested = tested.withColumn(name, flag)
-    return tested.drop("_one", "_first", "_try")
+    return tested.drop("_request", "_one", "_first", "_try")
+
+
+def _needed(text: Column, fmt: LogFormat) -> Column:
+    """Whether a line holds what the format needs; plain texts and what formats share are looked up first."""
+    if not fmt.error_log and fmt.has_bytes:
+        return F.col("_request") if fmt.needs == HAS_REQUEST else F.col("_request") & text.rlike(fmt.needs)
+    return text.contains("#") if fmt.needs == "#" else text.contains("[client") if fmt.needs == r"\[client" else text.rlike(fmt.needs)
 
 
 def parse_lines(lines: DataFrame, format_name: str, line: str = "value") -> DataFrame:
